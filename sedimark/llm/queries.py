@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sedimark.llm._common import shared_folder, table
 from sedimark.llm.exact_dedup import exact_groups
+from sedimark.llm.max_score import embedding_top_k
+from sedimark.llm.near_dedup import NearRules, near_components
 from sedimark.llm.packing import pack
+from sedimark.llm.quality import score_documents, train
+from sedimark.llm.secret_scan import scan
 from sedimark.llm.sharding import shard_rows
 from sedimark.llm.token_store import read_tokens, write_tokens
 from sedimark.llm.word_tokens import tokenizer_path
+from sedimark.llm.zip_archives import archive
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
@@ -30,8 +43,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), NearRules(shingle=3, percent=85, bands=32, rows=8))
+
+
+def op10_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op3_exact_dedup, op5_sharding, op6_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op3_exact_dedup, op4_top_k_search, op5_sharding, op6_packing, op8_quality, op9_near_dedup, op10_zip_archives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -41,4 +67,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, text_sha256
             FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+        "op4_top_k_search": """
+            WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS codes
+                       FROM embeddings
+                       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                         AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+            pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
+                             CAST(list_inner_product(CAST(q.codes AS DOUBLE[]), CAST(c.codes AS DOUBLE[])) AS BIGINT) AS score
+                      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM pairs)
+            SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5""",
+        "op10_zip_archives": """
+            WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+            n AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+            FROM n""",
     }
