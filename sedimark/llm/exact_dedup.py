@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm._common import shared_folder, stored, text_of
+from sedimark.llm._common import fresh, shared_folder, stored, text_of
 
 SLOTS, MAX_KICKS = 4, 200
 GROUPS = "digest binary, keep_id long, keep_row long, group_size long"
@@ -157,12 +157,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Which rows stay is decided on (doc_id, digest); rows that are equal in both
-    are reduced to one of them.
+    What goes is listed by (doc_id, digest), which is far less than what stays, so
+    the texts are moved only if that list is too large to send to every task.
+    Rows that repeat both id and text are reduced to one in a step of their own,
+    run only if there are any.
     """
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"), F.col("group_size").alias("_size"))
-    found = docs.withColumn("_text_digest", F.unhex(F.sha2(text_of(), 256)))
-    joined = found.join(kept, found["_text_digest"].eqNullSafe(kept["_digest"]) & found["doc_id"].cast("long").eqNullSafe(kept["_id"]))
-    single = joined.filter("_size = 1")
-    several = joined.filter("_size > 1").dropDuplicates(["_id", "_digest"])
-    return single.unionByName(several).select(*docs.columns)
+    groups = stored(exact_groups(docs), shared_folder(docs.sparkSession), "groups").filter("NOT kept")
+    old_id, old_digest, digest, row_id = fresh(docs, "_id", "_digest", "_text_digest", "_row_id")
+    repeats = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    keys = [F.col("doc_id").alias(old_id), F.unhex("text_sha256").alias(old_digest)]
+    gone, repeated = groups.filter(~repeats).select(*keys).distinct(), groups.filter(repeats).select(*keys).distinct()
+    marked = docs.withColumns({digest: F.unhex(F.sha2(text_of(), 256)), row_id: F.col("doc_id").cast("long")})
+    same = (F.col(digest) == F.col(old_digest)) & F.col(row_id).eqNullSafe(F.col(old_id))
+    left = marked.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        several = left.join(repeated, same, "left_semi").dropDuplicates([row_id, digest])
+        left = left.join(repeated, same, "left_anti").unionByName(several)
+    return left.select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm._common import mix64, runs, shared_folder, stored, text_of
+from sedimark.llm._common import fresh, mix64, runs, shared_folder, stored, text_of
 from sedimark.llm.components import connected_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -255,5 +255,6 @@ def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     """The rows of docs that stay: one document of each component, with all columns."""
-    gone = near_components(docs, rules).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (old,) = fresh(docs, "_gone")
+    gone = near_components(docs, rules).filter("NOT kept").select(F.col("doc_id").alias(old)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(old), "left_anti")

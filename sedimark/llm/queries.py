@@ -11,6 +11,7 @@ from sedimark.llm.exact_dedup import exact_groups
 from sedimark.llm.max_score import embedding_top_k
 from sedimark.llm.near_dedup import NearRules, near_components
 from sedimark.llm.packing import pack
+from sedimark.llm.piece_dropout import PIECE_BPE, round_trip
 from sedimark.llm.quality import score_documents, train
 from sedimark.llm.secret_scan import scan
 from sedimark.llm.sharding import shard_rows
@@ -43,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op7_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +62,7 @@ def op10_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op3_exact_dedup, op4_top_k_search, op5_sharding, op6_packing, op8_quality, op9_near_dedup, op10_zip_archives)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op3_exact_dedup, op4_top_k_search, op5_sharding, op6_packing, op7_piece_dropout, op8_quality, op9_near_dedup, op10_zip_archives)}
 
 
 def oracle_sql() -> dict[str, str]:
