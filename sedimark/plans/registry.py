@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "agg_pricing_summary"
+FLAGSHIP = "consensus_stats"
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -25,9 +25,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from sedimark.plans import aggregates, graphs, joins, search, windows  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
