@@ -39,7 +39,7 @@ def change_percent(value: Column, base: Column) -> Column:
 def iso_date(text: Column) -> Column:
     """A date from YYYY-MM-DD or YYYYMMDD, null where there is no such day."""
     compact = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    return F.when(compact.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(compact, F.lit("yyyy-MM-dd")))
+    return F.when(compact.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(compact, "yyyy-MM-dd"))
 
 
 def period(text: Column) -> Column:

@@ -123,4 +123,4 @@ def html_text(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
