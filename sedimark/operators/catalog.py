@@ -59,3 +59,29 @@ def fingerprint(rows: DataFrame, keys: list[str], order: list[str], parts: list[
 def pending(every: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What isn't done yet."""
     return every.join(done.select(*keys), keys, "left_anti")
+
+
+def one_dataset(df: DataFrame, column: str = "dataset_id") -> str:
+    """The only non-blank dataset id of a collection; anything else is an error."""
+    found = [r[0] for r in df.filter(F.trim(column) != "").select(column).distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"a collection has one {column}, this one has {len(found) or 'none'}")
+    return found[0]
+
+
+def page_range(pages: DataFrame, first: int, last: int) -> DataFrame:
+    """Pages first to last with complete: whether all of them are there."""
+    inside = pages.filter(F.col("page_number").between(first, last))
+    whole = inside.groupBy("doc_id").agg((F.countDistinct("page_number") == last - first + 1).alias("complete"))
+    return inside.join(whole, "doc_id")
+
+
+def cells_of(cells: DataFrame, bounds: Column, offset: int, limit: int) -> DataFrame:
+    """A page of the cells inside bounds (struct of rows and columns) in sheet, row and column order."""
+    inside = F.col("row_index").between(bounds["row_start"], bounds["row_end"]) & F.col("col_index").between(bounds["col_start"], bounds["col_end"])
+    return cells.filter(inside).orderBy("sheet_index", "row_index", "col_index").offset(offset).limit(limit)
+
+
+def conformed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with exactly these columns; those that it lacks are null."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])

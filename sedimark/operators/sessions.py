@@ -97,3 +97,68 @@ def usage_rollup(usage: DataFrame, levels: list[str], sums: dict[str, Column], d
     """Sums and distinct sessions at every prefix of levels, down to the grand total; level tells which."""
     out = usage.rollup(*levels).agg(F.grouping_id().alias("level"), *[F.sum(c).alias(n) for n, c in sums.items()], F.countDistinct(distinct).alias("sessions"))
     return out.withColumn("level", F.col("level").cast("long"))
+
+
+PATH = "session string, leaf string, position int, id string"
+
+
+def leaf_paths(entries: DataFrame, tips: DataFrame) -> DataFrame:
+    """The way from the root to each tip (session, leaf): position and id, the root first.
+
+    entries has session, id and parent_id. A session's entries are walked in one
+    task, as chains are thousands of entries deep; a loop ends the walk. An unknown
+    tip gives nothing.
+    """
+    import pandas as pd
+
+    def walk(key, nodes: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        parent = dict(zip(nodes["id"], nodes["parent_id"], strict=True))
+        out = []
+        for leaf in ends["leaf"]:
+            path, seen, at = [], set(), leaf
+            while at in parent and at not in seen:
+                path.append(at)
+                seen.add(at)
+                at = parent[at]
+            out += [(key[0], leaf, i, x) for i, x in enumerate(reversed(path))]
+        return pd.DataFrame(out, columns=["session", "leaf", "position", "id"])
+
+    return entries.select("session", "id", "parent_id").groupBy("session").cogroup(tips.select("session", "leaf").groupBy("session")).applyInPandas(walk, PATH)
+
+
+def forked(entries: DataFrame, path: DataFrame, new_session: str) -> DataFrame:
+    """A path's entries as a session of their own, numbered from 1."""
+    joined = path.join(entries.select("session", "id", "parent_id", "type"), ["session", "id"])
+    return joined.select(F.lit(new_session).alias("session"), (F.col("position") + 1).alias("seq"), "id", "parent_id", "type")
+
+
+def tool_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Calls, results, errors, unresolved calls and mean tokens of each tool."""
+    joined = calls.join(results.select("call_id", "is_error", "tokens"), "call_id", "left")
+    return joined.groupBy("tool").agg(F.count("*").alias("calls"), F.count("is_error").alias("results"), F.count_if("is_error").alias("errors"), F.count_if(F.col("is_error").isNull()).alias("unresolved"), F.avg("tokens").alias("mean_tokens"))
+
+
+def pending_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The last call of each session that has no result."""
+    open_ = calls.join(results.select("call_id"), "call_id", "left_anti")
+    return open_.groupBy("session").agg(F.max_by("call_id", "seq").alias("call_id"), F.count("*").alias("pending"))
+
+
+def context_usage(sessions: DataFrame, group: list[str], windows: DataFrame) -> DataFrame:
+    """Mean and median of the largest prompt as a share of its model's window, and how many went over 80, 90 and 100 %.
+
+    sessions has model, prompt and compacted; windows (model, window) is a
+    dimension of a few thousand rows.
+    """
+    joined = sessions.join(windows, "model").withColumn("share", F.col("prompt") / F.col("window"))
+    return joined.groupBy(*group).agg(
+        F.count("*").alias("sessions"), F.avg("share").alias("mean_share"), F.expr("percentile(share, 0.5D)").alias("median_share"), F.avg(F.col("compacted").cast("int")).alias("compaction_rate"),
+        *[F.count_if(F.col("share") > t / 100).alias(f"over_{t}") for t in (80, 90, 100)],
+    )
+
+
+def attempt_gaps(records: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Records whose attempt number isn't the one after the last of their operation."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    expected = F.coalesce(F.lag("attempt").over(w), F.lit(0)) + 1
+    return records.withColumn("expected", expected).filter("attempt <> expected")
