@@ -240,7 +240,9 @@ def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFram
     dealt = dealt.withColumn("y", F.explode(F.expr("CASE WHEN parts = 1 THEN array(0) ELSE filter(sequence(0, parts - 1), y -> y <> x) END")))
     dealt = dealt.select("node", F.col("component").alias("family"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().cast("binary").alias("text"))
-    members = dealt.join(texts, "node").select("family", "i", "j", "node", "text")
+    members = dealt.hint("merge").join(texts, "node").select(  # members grow with the corpus: one plan, never a broadcast
+        "family", "i", "j", "node", "text"
+    )
     members = members.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     links = stored(_verified(members, rules), folder, "links")
     again = connected_components(links.filter("split").select("a", "b"), folder, "links-star")
@@ -257,4 +259,4 @@ def drop_near_duplicates(docs: DataFrame, rules: NearRules | None = None) -> Dat
     """The rows of docs that stay: one document of each component, with all columns."""
     (old,) = fresh(docs, "_gone")
     gone = near_components(docs, rules).filter("NOT kept").select(F.col("doc_id").alias(old)).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(old), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(old), "left_anti")
