@@ -157,8 +157,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    What goes is listed by (doc_id, digest), which is far less than what stays, so
-    the texts are moved only if that list is too large to send to every task.
+    What goes is listed by (doc_id, digest); the list grows with the corpus, so it
+    is joined by a shuffle at any size.
     Rows that repeat both id and text are reduced to one in a step of their own,
     run only if there are any.
     """
@@ -169,7 +169,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     gone, repeated = groups.filter(~repeats).select(*keys).distinct(), groups.filter(repeats).select(*keys).distinct()
     marked = docs.withColumns({digest: F.unhex(F.sha2(text_of(), 256)), row_id: F.col("doc_id").cast("long")})
     same = (F.col(digest) == F.col(old_digest)) & F.col(row_id).eqNullSafe(F.col(old_id))
-    left = marked.join(gone, same, "left_anti")
+    left = marked.join(gone.hint("merge"), same, "left_anti")
     if not repeated.isEmpty():
         several = left.join(repeated, same, "left_semi").dropDuplicates([row_id, digest])
         left = left.join(repeated, same, "left_anti").unionByName(several)
