@@ -113,6 +113,28 @@ def read_word(spark: SparkSession, path: str) -> DataFrame:
     return binary_files(spark, path, "*.docx").mapInPandas(work, "path string, block_no int, text string")
 
 
+_DRAW = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+
+
+def read_slides(spark: SparkSession, path: str) -> DataFrame:
+    """path, slide, part (slide or notes) and text of the slides below path."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.namelist():
+                        m = re.fullmatch(r"ppt/(slides|notesSlides)/(?:slide|notesSlide)(\d+)\.xml", member)
+                        if m:
+                            paragraphs = ElementTree.fromstring(z.read(member)).iter(_DRAW + "p")
+                            text = "\n".join(filter(None, ("".join(t.text or "" for t in p.iter(_DRAW + "t")).strip() for p in paragraphs)))
+                            rows.append((name, int(m[2]), "slide" if m[1] == "slides" else "notes", text))
+            yield pd.DataFrame(sorted(rows), columns=["path", "slide", "part", "text"])
+
+    return binary_files(spark, path, "*.pptx").mapInPandas(work, "path string, slide int, part string, text string")
+
+
 def delimited_rows(text: str, sample: int = 16_384) -> Iterator[list[str]]:
     """Rows of delimited text, short ones filled up.
 
