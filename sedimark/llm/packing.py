@@ -124,12 +124,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048) -> Da
         packer, end, rows, sequence = SumOfSquares(window), np.array([end_id], dtype=np.int32), [], 0
 
         def emit(windows: list[list]) -> None:
+            """A piece is ((doc_id, ids, place of these ids in the document, all its ids' number), start, length)."""
             nonlocal sequence
             for pieces in windows:
                 fill, offset = sum(x[2] for x in pieces), 0
                 padded = fill if fill & (fill - 1) == 0 else window
-                for (doc, ids), start, length in pieces:
-                    rows.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), base + sequence, offset, padded))
+                for (doc, ids, place, total), start, length in pieces:
+                    rows.append((doc, place + start, length, zlib.crc32(ids[start : start + length].tobytes()), total, base + sequence, offset, padded))
                     offset += length
                 sequence += 1
 
@@ -142,7 +143,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048) -> Da
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                emit(packer.add((doc, ids := np.concatenate([ids, end])), len(ids)))
+                ids = np.concatenate([ids, end])
+                rest = len(ids) % window
+                whole = len(ids) - rest
+                emit([[((doc, ids, 0, len(ids)), at, window)] for at in range(0, whole, window)])
+                if rest:  # what waits in an open window is a copy of the rest alone
+                    emit(packer.add((doc, ids[whole:].copy(), whole, len(ids)), rest))
             yield batch_of()
         emit(packer.finish())
         yield batch_of()
