@@ -1,8 +1,8 @@
 """WARC records in ZIP packages, read in place.
 
-A package has stored (uncompressed) members: ``archive/data.warc`` with the
-records and ``indexes/index.cdx`` with a line for each record (page, position,
-length, type, digest). The reader finds the central directory from the end of
+A package has stored members: ``archive/data.warc.gz``, in which each record is
+a gzip member of its own, and ``indexes/index.cdx`` with a line for each record
+(page, position, length, type, digest). The reader finds the central directory from the end of
 the file, follows the ZIP64 records where the plain fields overflow, locates the
 members and reads single records by range; nothing is extracted.
 
@@ -12,6 +12,7 @@ task, and a manifest table, committed by Spark, names those that count.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import struct
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sedimark.llm._common import open_filesystem, shared_folder, stored, text_of
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 MANIFEST = "path string, bytes long, n_records long"
 _CRLF = b"\r\n"
 
@@ -123,7 +124,7 @@ class Package:
     def record(self, position: int, length: int) -> tuple[dict[str, str], bytes]:
         if position + length > self.data_length:
             raise ValueError("a record beyond the archive")
-        return parse_record(self.read(self.data_at + position, length))
+        return parse_record(gzip.decompress(self.read(self.data_at + position, length)))
 
     def records(self) -> Iterator[tuple[str, dict[str, str], bytes]]:
         for name, position, length, *_ in self.index:
@@ -161,7 +162,7 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = 64 << 2
 
         for batch in batches:
             for key, uri, payload, digest, kind, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record = warc_record(kind, "null" if key is None else str(key), uri, payload, digest, None if refers is None else str(refers))
+                record = gzip.compress(warc_record(kind, "null" if key is None else str(key), uri, payload, digest, None if refers is None else str(refers)), 5, mtime=0)
                 if index and at + len(record) > package_bytes:
                     flush()
                 data.append(record)
