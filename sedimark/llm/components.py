@@ -26,18 +26,21 @@ def connected_components(edges: DataFrame, folder: str, name: str = "star") -> D
     edges has long columns a and b; loops and repeated edges don't matter.
     """
     spark = edges.sparkSession
-    current = stored(edges.filter("a <> b").select("a", "b").distinct(), folder, f"{name}-0")
+    oriented = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    current = stored(oriented, folder, f"{name}-0")
     state, n = _state(current), 0
     while state[0]:
-        both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        n += 1
+        # The smallest neighbour below each node. It is written so that the join has a shuffle on
+        # either side, which adaptive execution can split where a node has very many neighbours.
+        lower = stored(current.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")), folder, f"{name}-{n}-lower")
+        large = current.join(lower, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         turned = large.join(root, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        n += 1
         following = stored(turned.unionByName(root.select("a", F.col("m").alias("b"))).distinct(), folder, f"{name}-{n}")
         new_state = _state(following)
-        discard(spark, f"{folder}/{name}-{n - 1}")
+        for old in (f"{name}-{n - 1}", f"{name}-{n}-lower"):
+            discard(spark, f"{folder}/{old}")
         current = following
         if new_state == state:
             break
