@@ -4,10 +4,11 @@ A text gets a space in front, as the model asks for, and falls into units: space
 and what follows them up to the next space. No piece of the model goes on after
 a unit's end, so units are encoded one by one. An agenda holds the adjacent pairs
 that make a piece, best score first and then leftmost. A popped pair is skipped
-where a hash, keyed by seed, variant, unit and the pair's place, falls below the
-dropout rate; it comes back when a neighbour changes. A hash of seed, doc_id and
-the unit's place picks one of a few variants for each occurrence, so that an
-occurrence is reproducible and a segmentation can be kept for the next one.
+where its coin falls; it comes back when a neighbour changes. Each occurrence of a
+unit has coins of its own: a hash of seed, doc_id and the unit's place gives the
+numbers of pairs kept between one skipped and the next, which are geometric. What
+an agenda does follows from the unit and those numbers alone, so each segmentation
+is kept under them, as a tree that branches at the skips as far as they occurred.
 
 Characters without a piece become byte pieces, and so does U+2581, the mark that
 pieces use for a space; with dropout 0 all other texts give the library's ids.
@@ -18,7 +19,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,11 @@ SPACE = "▁"
 _UNITS = re.compile(r" *[^ ]+| +").findall
 _MASK = (1 << 64) - 1
 _NEVER = float("inf")
+#: A draw of so many kept pairs says nothing of the next pair: the draw after it goes on.
+_LONGEST = 64
+#: A segmentation that has only occurred with further skips.
+_OPEN = (1 << 60, b"")
+_STEP = 0x9E3779B97F4A7C15
 
 
 def _hash(x: int) -> int:
@@ -42,9 +50,9 @@ def _hash(x: int) -> int:
 
 
 class PieceCodec:
-    """Encodes and decodes with a SentencePiece BPE model. memo bounds the kept units."""
+    """Encodes and decodes with a SentencePiece BPE model. memo bounds the kept segmentations."""
 
-    def __init__(self, model: str, dropout: float = 0.1, seed: int = 7, variants: int = 2, memo: int = 800_000):
+    def __init__(self, model: str, dropout: float = 0.1, seed: int = 7, memo: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -65,20 +73,39 @@ class PieceCodec:
                 self.out.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece spans units")
-        self.limit, self.seed, self.variants, self.memo = int(dropout * (1 << 64)), seed, variants if dropout else 1, memo
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.limit, self.seed, self.memo = int(dropout * (1 << 64)), seed, memo
+        #: By number of skips: for those (a character for the pairs kept before each, last first) and the unit, the pairs kept from here to the end and the ids.
+        self.known: list[dict[str, tuple[int, bytes]]] = [{}]
+        left, self.borders = 1 << 64, []
+        for _ in range(_LONGEST):
+            left = left * ((1 << 64) - self.limit) >> 64
+            self.borders.append(min((1 << 64) - left, _MASK))
+        self.borders_array = np.array(self.borders, dtype=np.uint64)
 
     def pieces(self, unit: str, variant: int = 0) -> list[str | None]:
         """The pieces of one unit, U+2581 standing for its spaces; None is a literal U+2581.
 
+        The coins are keyed by seed, variant, unit and the pair's place.
+        """
+        key = (self.seed * 0x9E3779B97F4A7C15 + variant * 0xD1B54A32D192ED03 + zlib.crc32(unit.encode()) * 0xBF58476D1CE4E5B9) & _MASK
+        return self._merged(unit, self._placed(key))
+
+    def _placed(self, key: int) -> Callable[[int, int], int]:
+        limit = self.limit
+        return lambda i, n: 0 if (key + i * 0x632BE59BD9B4E019 + n) * 0x94D049BB133111EB & _MASK < limit else -1
+
+    def _merged(self, unit: str, skipped: Callable[[int, int], int], left: int = 0) -> list[str | None]:
+        """The pieces of one unit, where left pairs are kept and then skipped is asked.
+
+        It is given the pair's place and length and says how many pairs to keep after
+        it has been skipped, or -1 to keep it too and be asked again for the next.
         Short units keep their agenda as a list with a score for each pair that is
         left; long ones keep it as a heap. Both pop the same pairs in the same order.
         """
         symbols = [SPACE if c == " " else c if c != SPACE else None for c in unit]
-        key = (self.seed * 0x9E3779B97F4A7C15 + variant * 0xD1B54A32D192ED03 + zlib.crc32(unit.encode()) * 0xBF58476D1CE4E5B9) & _MASK
         if None in symbols or len(symbols) > 48:
-            return self._by_heap(symbols, key)
-        rank, limit, places = self.rank.get, self.limit, list(range(len(symbols)))
+            return self._heaped(symbols, skipped, left)
+        rank, places = self.rank.get, list(range(len(symbols)))
         agenda = [rank(a + b, _NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda:
             score = min(agenda)
@@ -86,8 +113,10 @@ class PieceCodec:
                 break
             i = agenda.index(score)
             piece = symbols[i] + symbols[i + 1]
-            if limit and (key + places[i] * 0x632BE59BD9B4E019 + len(piece)) * 0x94D049BB133111EB & _MASK < limit:
-                agenda[i] = _NEVER
+            if left:
+                left -= 1
+            elif (more := skipped(places[i], len(piece))) >= 0:
+                left, agenda[i] = more, _NEVER
                 continue
             symbols[i] = piece
             del symbols[i + 1], places[i + 1], agenda[i]
@@ -98,7 +127,10 @@ class PieceCodec:
         return symbols
 
     def _by_heap(self, symbols: list[str | None], key: int) -> list[str | None]:
-        n, rank, limit = len(symbols), self.rank, self.limit
+        return self._heaped(symbols, self._placed(key))
+
+    def _heaped(self, symbols: list[str | None], skipped: Callable[[int, int], int], left: int = 0) -> list[str | None]:
+        n, rank = len(symbols), self.rank
         alive, following, before, agenda = [True] * n, list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def propose(i: int, j: int) -> None:
@@ -112,7 +144,10 @@ class PieceCodec:
             j = following[i]
             if not alive[i] or j >= n or symbols[j] is None or symbols[i] is None or symbols[i] + symbols[j] != piece:
                 continue
-            if limit and (key + i * 0x632BE59BD9B4E019 + len(piece)) * 0x94D049BB133111EB & _MASK < limit:
+            if left:
+                left -= 1
+            elif (more := skipped(i, len(piece))) >= 0:
+                left = more
                 continue
             symbols[i], alive[j] = piece, False
             following[i] = following[j]
@@ -123,16 +158,58 @@ class PieceCodec:
                 propose(before[i], i)
         return [s for s, a in zip(symbols, alive, strict=True) if a]
 
-    def _unit(self, unit: str, variant: int) -> bytes:
-        out = []
-        for piece in self.pieces(unit, variant):
-            found = self.ids.get(piece)
-            if found is not None:
-                out.append(found)
-            else:
-                out += [self.bytes_to_id[b] for b in (piece or SPACE).encode()]
-        ids = np.array(out, dtype="<i4").tobytes()
-        self.known[variant][unit] = ids
+    def _ids(self, pieces: list[str | None]) -> bytes:
+        ids = self.ids
+        try:
+            return array("i", [ids[p] for p in pieces]).tobytes()
+        except KeyError:
+            out = []
+            for piece in pieces:
+                out += [ids[piece]] if piece in ids else [self.bytes_to_id[b] for b in (piece or SPACE).encode()]
+            return array("i", out).tobytes()
+
+    def _kept(self, key: int, draw: int, most: int) -> int:
+        """Pairs kept before the first skip (draw 0) or between skips; most stands for more."""
+        if not self.limit:
+            return most
+        n = last = bisect_right(self.borders, _hash(key + draw * _STEP & _MASK))
+        again = 0
+        while last == _LONGEST and n < most:
+            again += 1
+            n += (last := bisect_right(self.borders, _hash(_hash(key + draw * _STEP & _MASK) + again * _STEP & _MASK)))
+        return n
+
+    def _occurrence(self, unit: str, key: int, *first: int) -> bytes:
+        """The ids of a unit with the coins of one occurrence. first are its first draws, if they are known."""
+        most, known, at, depth = 3 * len(unit), self.known, unit, 0  # a merge ends two pairs at most and makes two
+        draws = [n if n < _LONGEST else self._kept(key, i, most) for i, n in enumerate(first)] or [self._kept(key, 0, most)]
+        while (node := known[depth].get(at)) is not None:
+            n = draws[depth]
+            if n >= node[0]:
+                return node[1]
+            at, depth = chr(n) + at, depth + 1
+            if depth == len(draws):
+                draws.append(self._kept(key, depth, most))
+            if depth == len(known):
+                known.append({})
+        skips = 0
+
+        def skipped(_place: int, _length: int) -> int:
+            nonlocal skips
+            skips += 1
+            if skips == len(draws):
+                draws.append(self._kept(key, skips, most))
+            return draws[skips]
+
+        pieces = self._merged(unit, skipped, draws[0])
+        ids, at = self._ids(pieces), unit
+        if len(unit) < 4096:
+            for depth in range(skips):
+                if depth + 1 == len(known):
+                    known.append({})
+                known[depth].setdefault(at, _OPEN)
+                at = chr(draws[depth]) + at
+            known[skips][at] = len(unit) - len(pieces) - sum(draws[:skips]), ids
         return ids
 
     def encode(self, text: str, doc_id: int = 0) -> bytes:
@@ -140,16 +217,13 @@ class PieceCodec:
         if not text:
             return b""
         if sum(map(len, self.known)) > self.memo:
-            for kept in self.known:
-                kept.clear()
+            self.known = [{}]
         units = _UNITS(" " + text)
-        if self.variants == 1:
-            kept = self.known[0]
-            return b"".join([kept.get(u) or self._unit(u, 0) for u in units])
-        place = np.arange(len(units), dtype=np.uint64) + np.uint64(_hash(self.seed ^ _hash(doc_id & _MASK)))
-        chosen = (mix64(place) % np.uint64(self.variants)).tolist()
-        known = self.known
-        return b"".join([known[v].get(u) or self._unit(u, v) for u, v in zip(units, chosen, strict=True)])
+        keys = mix64(np.arange(len(units), dtype=np.uint64) + np.uint64(_hash(self.seed ^ _hash(doc_id & _MASK))))
+        first = np.searchsorted(self.borders_array, mix64(keys), "right").tolist()
+        second = np.searchsorted(self.borders_array, mix64(keys + np.uint64(_STEP)), "right").tolist()
+        get, occurrence = self.known[0].get, self._occurrence
+        return b"".join([node[1] if (node := get(u)) and n >= node[0] else occurrence(u, k, n, m) for u, k, n, m in zip(units, keys.tolist(), first, second, strict=True)])
 
     def decode(self, ids: bytes) -> str:
         out = self.out
@@ -166,11 +240,11 @@ def codec(*parameters) -> PieceCodec:
     return _CODECS[parameters]
 
 
-def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, variants: int = 2) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7) -> DataFrame:
     """doc_id and ids (array of int) of every row. A null text is empty and has no ids; a null doc_id hashes as 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(model, dropout, seed, variants).encode
+        encode = codec(model, dropout, seed).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -192,11 +266,11 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, variants: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 and lossless (whether decoding gives the text) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = codec(model, dropout, seed, variants)
+        pieces = codec(model, dropout, seed)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

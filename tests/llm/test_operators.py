@@ -313,6 +313,35 @@ def test_dropout_against_a_naive_version_and_lossless(texts):
     assert len({codec.encode(texts[5][1], d) for d in range(20)}) > 1
 
 
+def test_each_occurrence_has_its_own_coins():
+    codec = piece_dropout.PieceCodec(tokenizer_path(piece_dropout.PIECE_BPE), 0.1, 7)
+    unit, n, seen = " nation", 20_000, Counter()
+    for doc in range(20):
+        for place in range(n // 20):
+            key = int(piece_dropout.mix64(np.array([place + piece_dropout._hash(7 ^ piece_dropout._hash(doc))], dtype=np.uint64))[0])
+            seen[codec._occurrence(unit, key)] += 1
+    # the law of each segmentation, from all ways the coins can fall
+    law, open_ways = Counter(), [()]
+    while open_ways:
+        way, steps = open_ways.pop(), []
+
+        def skipped(i, k, way=way, steps=steps):
+            steps.append(len(steps) < len(way) and way[len(steps)])
+            return -(not steps[-1])
+
+        ids = codec._ids(codec._merged(unit, skipped))
+        law[ids] += math.prod(0.1 if s else 0.9 for s in steps)
+        open_ways += [(*steps[:k], True) for k in range(len(way), len(steps))]
+    assert len(seen) > 2 and abs(sum(law.values()) - 1) < 1e-9 and set(seen) <= set(law)
+    assert all(abs(seen[ids] - n * p) < 5 * math.sqrt(n * p) + 1 for ids, p in law.items())
+    # texts repeat the unit; what is kept doesn't change what comes out
+    text = "nation " * 300 + "the" * 40 + " a▁b"
+    fresh = [piece_dropout.PieceCodec(tokenizer_path(piece_dropout.PIECE_BPE), 0.1, 7, 1).encode(text, d) for d in range(5)]
+    assert fresh == [codec.encode(text, d) for d in range(5)] and len(set(fresh)) == 5
+    for rate in (1.0, 1e-15):
+        assert piece_dropout.PieceCodec(codec_model := tokenizer_path(piece_dropout.PIECE_BPE), rate).decode(piece_dropout.PieceCodec(codec_model, rate).encode(text, 3)) == text
+
+
 def test_pieces_through_spark(docs):
     model = tokenizer_path(piece_dropout.PIECE_BPE)
     encoded = piece_dropout.encode_documents(docs, model)
