@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,27 @@ def _cut(df: DataFrame, level: int, every: int = 4) -> DataFrame:
     return df
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int = 20) -> DataFrame:
+def _levels(max_depth: int | None):
+    return count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def _new(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of found whose root and node aren't known; nulls are equal, so that a null root ends too."""
+    seen = known.select(F.col("root").alias("_root"), F.col("node").alias("_node"))
+    return found.join(seen, F.col("root").eqNullSafe(F.col("_root")) & F.col("node").eqNullSafe(F.col("_node")), "left_anti")
+
+
+def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """root, node and depth of everything that edges (src, dst) lead to from start (root, node).
 
     depth is the least number of edges. Each level joins the nodes found last with
     the edges and leaves out what is known, so a node is expanded once for a root.
+    It ends when a level finds nothing, or after max_depth levels if the caller sets it.
     """
     known = frontier = start.select("root", "node").distinct().withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    for depth in _levels(max_depth):
         found = frontier.select("root", F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("node")).distinct()
-        frontier = _cut(found.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), depth)
+        frontier = _cut(_new(found, known).withColumn("depth", F.lit(depth)), depth)
         if frontier.isEmpty():
             break
         known = _cut(known.unionByName(frontier), depth)
@@ -47,13 +60,16 @@ def on_cycles(edges: DataFrame, max_depth: int = 20) -> DataFrame:
     return found.filter("root = node").select("node").distinct()
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int = 20) -> DataFrame:
-    """root, node and path: the nodes of a shortest way, the smallest where there are several."""
+def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """root, node and path: the nodes of a shortest way, the smallest where there are several.
+
+    max_depth, if the caller sets it, is the most edges of a way.
+    """
     known = frontier = start.select("root", "node", F.array(F.col("node")).alias("path"))
-    for depth in range(1, max_depth + 1):
+    for depth in _levels(max_depth):
         step = frontier.withColumnRenamed("node", "src").join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         best = step.groupBy("root", "node").agg(F.min("path").alias("path"))
-        frontier = _cut(best.join(known, ["root", "node"], "left_anti"), depth)
+        frontier = _cut(_new(best, known), depth)
         if frontier.isEmpty():
             break
         known = _cut(known.unionByName(frontier), depth)

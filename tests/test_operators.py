@@ -1,4 +1,5 @@
 import datetime as dt
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,15 @@ def test_graph(spark):
     assert {r.node: r.path for r in graph.shortest_paths(edges, start).collect()}["d"] == ["a", "c", "d"]
 
 
+def test_deep_graphs_are_walked_to_the_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(23)], "src int, dst int").coalesce(1)
+    start = spark.createDataFrame([(0, 0)], "root int, node int")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    assert set(rows(graph.reach(chain, start))) == {(0, i, i) for i in range(24)}
+    assert {r.node: r.path for r in graph.shortest_paths(chain, start).collect()}[23] == list(range(24))
+
+
 def test_histogram_pairs_and_diff(spark):
     df = spark.createDataFrame([("g", "a", 1.0), ("g", "b", 2.0), ("h", "a", 1.0), ("h", "a", 3.0)], "g string, side string, v double")
     assert rows(stats.paired(df, ["g"], "side", "a", "b", "v")) == [("g", 1.0, 2.0)]
