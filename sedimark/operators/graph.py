@@ -42,15 +42,15 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
     return known
 
 
-def on_cycles(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Nodes that lead back to themselves within max_depth edges.
+def on_cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Nodes that lead back to themselves, within max_depth + 1 edges if it is set.
 
     Nodes without a way in or out are stripped first, again and again, so only the
     parts that can hold a cycle are searched.
     """
     core = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
     size = core.count()
-    for level in range(1, max_depth + 1):
+    for level in _levels(max_depth):
         core = _cut(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), level, 2)
         left = core.count()
         if left == size:

@@ -114,6 +114,8 @@ def test_deep_graphs_are_walked_to_the_end(spark):
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
     assert set(rows(graph.reach(chain, start))) == {(0, i, i) for i in range(24)}
     assert {r.node: r.path for r in graph.shortest_paths(chain, start).collect()}[23] == list(range(24))
+    ring = chain.union(spark.createDataFrame([(23, 0)], "src int, dst int")).coalesce(1)
+    assert set(rows(graph.on_cycles(ring))) == {(i,) for i in range(24)}
 
 
 def test_histogram_pairs_and_diff(spark):
