@@ -36,12 +36,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, one machine) a temporary folder is
-    made and set as the checkpoint folder.
+    Only where the session names none and runs on one machine (tests) a temporary
+    folder is made and set as the checkpoint folder; a cluster must name one.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/sedimark-{uuid.uuid4().hex}"
@@ -95,6 +97,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of consecutive rows with equal keys, over the borders of batches."""
     held: list[pa.Table] = []

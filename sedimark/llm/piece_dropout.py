@@ -2,13 +2,14 @@
 
 A text gets a space in front, as the model asks for, and falls into units: spaces
 and what follows them up to the next space. No piece of the model goes on after
-a unit's end, so units are encoded one by one. An agenda holds the adjacent pairs
-that make a piece, best score first and then leftmost. A popped pair is skipped
-where its coin falls; it comes back when a neighbour changes. Each occurrence of a
-unit has coins of its own: a hash of seed, doc_id and the unit's place gives the
-numbers of pairs kept between one skipped and the next, which are geometric. What
-an agenda does follows from the unit and those numbers alone, so each segmentation
-is kept under them, as a tree that branches at the skips as far as they occurred.
+a unit's end, so units are encoded one by one. A unit's agenda holds the adjacent
+pairs that make a piece, best score first and then leftmost. A popped pair is
+skipped where its coin falls; it comes back when a neighbour changes. The coin is
+a hash of seed, doc_id, the unit's place in the text, the pair's place in the unit
+and the piece it would make, so every occurrence of a unit has coins of its own.
+
+Units of about the same length are taken together: their agendas are columns of an
+array, and a step pops, skips or merges one pair in each. Long units have a heap.
 
 Characters without a piece become byte pieces, and so does U+2581, the mark that
 pieces use for a space; with dropout 0 all other texts give the library's ids.
@@ -17,239 +18,271 @@ pieces use for a space; with dropout 0 all other texts give the library's ids.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from array import array
-from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm._common import mix64, text_of
+from sedimark.llm._common import mix64, ragged, text_of
 
 PIECE_BPE = "piece_bpe_32k.model"
 SPACE = "▁"
-_UNITS = re.compile(r" *[^ ]+| +").findall
-_MASK = (1 << 64) - 1
-_NEVER = float("inf")
-#: A draw of so many kept pairs says nothing of the next pair: the draw after it goes on.
-_LONGEST = 64
-#: A segmentation that has only occurred with further skips.
-_OPEN = (1 << 60, b"")
-_STEP = 0x9E3779B97F4A7C15
-
-
-def _hash(x: int) -> int:
-    """splitmix64's finaliser on one integer."""
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
-    return x ^ (x >> 31)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+#: No symbol: after a unit's end, or merged into the one before.
+_NONE = (1 << 21) - 1
+_NEVER = np.int32(0x7FFFFFFF)
+_COIN_BITS = 53
+
+
+class PairTable:
+    """(left, right) to the piece they make: an open hash table, looked up in arrays."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, made: np.ndarray):
+        bits = max(4, int(len(made) * 3).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.made = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        keys = left.astype(np.int64) << 21 | right
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            taken, first = np.unique(slots[free], return_index=True)
+            placed = free[first]
+            self.keys[taken], self.made[taken] = keys[placed], made[placed]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[placed] = False
+            keys, made, slots = keys[rest], made[rest], (slots[rest] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _SPREAD >> self.shift).astype(np.int64)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pieces, -1 for pairs that make none."""
+        keys = left.astype(np.int64) << 21 | right
+        slots = self._slots(keys)
+        seen = self.keys[slots]
+        out = np.where(seen == keys, self.made[slots], np.int32(-1))
+        far = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(far):
+            slots[far] = (slots[far] + 1) & self.mask
+            seen = self.keys[slots[far]]
+            here = seen == keys[far]
+            out[far[here]] = self.made[slots[far[here]]]
+            far = far[~here & (seen >= 0)]
+        return out
 
 
 class PieceCodec:
-    """Encodes and decodes with a SentencePiece BPE model. memo bounds the kept segmentations."""
+    """Encodes and decodes with a SentencePiece BPE model."""
 
-    def __init__(self, model: str, dropout: float = 0.1, seed: int = 7, memo: int = 800_000):
+    def __init__(self, model: str, dropout: float = 0.1, seed: int = 7, columns: int = 4096, longest: int = 48):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        size = sp.get_piece_size()
-        self.rank: dict[str, float] = {}
-        self.ids: dict[str, int] = {}
-        self.bytes_to_id = [0] * 256
-        self.out: list[bytes] = []
+        size, ids, out, scores = sp.get_piece_size(), {}, [], np.zeros(sp.get_piece_size())
+        self.byte_ids = np.zeros(256, dtype=np.int32)
         for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.bytes_to_id[value := int(piece[1:-1], 16)] = i
-                self.out.append(bytes([value]))
+                self.byte_ids[value := int(piece[1:-1], 16)] = i
+                out.append(bytes([value]))
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.out.append(b"")
+                out.append(b"")
             else:
-                self.ids[piece], self.rank[piece] = i, -sp.get_score(i)
-                self.out.append(piece.replace(SPACE, " ").encode())
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("a piece spans units")
-        self.limit, self.seed, self.memo = int(dropout * (1 << 64)), seed, memo
-        #: By number of skips: for those (a character for the pairs kept before each, last first) and the unit, the pairs kept from here to the end and the ids.
-        self.known: list[dict[str, tuple[int, bytes]]] = [{}]
-        left, self.borders = 1 << 64, []
-        for _ in range(_LONGEST):
-            left = left * ((1 << 64) - self.limit) >> 64
-            self.borders.append(min((1 << 64) - left, _MASK))
-        self.borders_array = np.array(self.borders, dtype=np.uint64)
-
-    def pieces(self, unit: str, variant: int = 0) -> list[str | None]:
-        """The pieces of one unit, U+2581 standing for its spaces; None is a literal U+2581.
-
-        The coins are keyed by seed, variant, unit and the pair's place.
-        """
-        key = (self.seed * 0x9E3779B97F4A7C15 + variant * 0xD1B54A32D192ED03 + zlib.crc32(unit.encode()) * 0xBF58476D1CE4E5B9) & _MASK
-        return self._merged(unit, self._placed(key))
-
-    def _placed(self, key: int) -> Callable[[int, int], int]:
-        limit = self.limit
-        return lambda i, n: 0 if (key + i * 0x632BE59BD9B4E019 + n) * 0x94D049BB133111EB & _MASK < limit else -1
-
-    def _merged(self, unit: str, skipped: Callable[[int, int], int], left: int = 0) -> list[str | None]:
-        """The pieces of one unit, where left pairs are kept and then skipped is asked.
-
-        It is given the pair's place and length and says how many pairs to keep after
-        it has been skipped, or -1 to keep it too and be asked again for the next.
-        Short units keep their agenda as a list with a score for each pair that is
-        left; long ones keep it as a heap. Both pop the same pairs in the same order.
-        """
-        symbols = [SPACE if c == " " else c if c != SPACE else None for c in unit]
-        if None in symbols or len(symbols) > 48:
-            return self._heaped(symbols, skipped, left)
-        rank, places = self.rank.get, list(range(len(symbols)))
-        agenda = [rank(a + b, _NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while agenda:
-            score = min(agenda)
-            if score == _NEVER:
+                ids[piece], scores[i] = i, sp.get_score(i)
+                out.append(piece.replace(SPACE, " ").encode())
+        if SPACE not in ids or any(SPACE in p.lstrip(SPACE) for p in ids):
+            raise ValueError("the model has no mark for spaces alone, or a piece that goes on after one")
+        self.ids, self.space = ids, ids[SPACE]
+        self.symbols = np.full(0x110000, -1, dtype=np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = i
+        self.symbols[ord(SPACE)], self.symbols[ord(" ")] = -1, self.space
+        pairs = [(ids[p[:cut]], ids[p[cut:]], i) for p, i in ids.items() for cut in range(1, len(p)) if p[:cut] in ids and p[cut:] in ids]
+        self.pairs = PairTable(*(np.array(c, dtype=np.int32) for c in (zip(*pairs, strict=True) if pairs else ((), (), ()))))
+        self.order = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
+        self.out_lengths = np.array([len(o) for o in out], dtype=np.int64)
+        self.out_starts = np.cumsum(self.out_lengths) - self.out_lengths
+        self.out_bytes = np.frombuffer(b"".join(out), dtype=np.uint8)
+        self.limit, self.seed = np.uint64(int(dropout * (1 << _COIN_BITS))), np.uint64(seed)
+        self.columns, self.longest = columns, longest
+
+    def keys(self, doc_ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """One key for each occurrence of a unit."""
+        return mix64(places.astype(np.uint64) + mix64(self.seed ^ mix64(doc_ids.astype(np.int64).view(np.uint64))))
+
+    def skips(self, keys: np.ndarray, places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Whether the coins of pairs fall: by the unit's key, the pair's place and the piece it would make."""
+        pair = (places.astype(np.uint64) << np.uint64(21)) + pieces.astype(np.uint64) + np.uint64(1)
+        return mix64(keys + pair * _STEP) >> np.uint64(64 - _COIN_BITS) < self.limit
+
+    def together(self, symbols: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """symbols with units as columns (_NONE below their ends), after all merges."""
+        width, n = symbols.shape
+        bits, done = width.bit_length(), symbols
+        # The last row is the neighbour of those that have none.
+        sym = np.concatenate([symbols, np.full((1, n), _NONE, dtype=np.int32)])
+        after = np.minimum(np.repeat(np.arange(1, width + 2)[:, None], n, axis=1), width)
+        after[:-1][np.concatenate([sym[1:-1] == _NONE, np.ones((1, n), bool)])] = width
+        before = np.repeat(np.concatenate([[width], np.arange(width)])[:, None], n, axis=1)
+        makes = np.full((width + 1, n), -1, dtype=np.int32)
+        makes[:-1] = self.pairs.get(sym[:-1].ravel(), sym[1:].ravel()).reshape(width, n)
+        turn = np.where(makes >= 0, self.order[makes] << bits | np.arange(width + 1, dtype=np.int32)[:, None], _NEVER)
+        left = np.arange(n)
+        while True:
+            best = turn.min(axis=0)
+            live = np.flatnonzero(best != _NEVER)
+            if len(live) < 0.7 * len(left):
+                done[:, left] = sym[:-1]
+                left, keys, best = left[live], keys[live], best[live]
+                sym, after, before, makes, turn = (np.ascontiguousarray(a[:, live]) for a in (sym, after, before, makes, turn))
+                live = np.arange(len(left))
+            if not len(live):
                 break
-            i = agenda.index(score)
-            piece = symbols[i] + symbols[i + 1]
-            if left:
-                left -= 1
-            elif (more := skipped(places[i], len(piece))) >= 0:
-                left, agenda[i] = more, _NEVER
-                continue
-            symbols[i] = piece
-            del symbols[i + 1], places[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + piece, _NEVER)
-            if i < len(agenda):
-                agenda[i] = rank(piece + symbols[i + 1], _NEVER)
-        return symbols
-
-    def _by_heap(self, symbols: list[str | None], key: int) -> list[str | None]:
-        return self._heaped(symbols, self._placed(key))
-
-    def _heaped(self, symbols: list[str | None], skipped: Callable[[int, int], int], left: int = 0) -> list[str | None]:
-        n, rank = len(symbols), self.rank
-        alive, following, before, agenda = [True] * n, list(range(1, n + 1)), list(range(-1, n - 1)), []
-
-        def propose(i: int, j: int) -> None:
-            if symbols[i] and symbols[j] and (score := rank.get(piece := symbols[i] + symbols[j])) is not None:
-                heapq.heappush(agenda, (score, i, piece))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+            n = len(left)
+            flat_sym, flat_after, flat_before, flat_makes, flat_turn = (a.reshape(-1) for a in (sym, after, before, makes, turn))
+            at = (best[live] & ((1 << bits) - 1)).astype(np.int64)
+            here = at * n + live
+            piece = flat_makes[here]
+            flat_turn[here] = _NEVER
+            merged = ~self.skips(keys[live], at, piece)
+            live, at, here, piece = live[merged], at[merged], here[merged], piece[merged]
+            gone = flat_after[here] * n + live
+            right, previous = flat_after[gone], flat_before[here]
+            flat_sym[here], flat_sym[gone], flat_turn[gone], flat_after[here] = piece, _NONE, _NEVER, right
+            right_at, previous_at = right * n + live, previous * n + live
+            flat_before[right_at] = at
+            changed, place = np.concatenate([here, previous_at]), np.concatenate([at, previous]).astype(np.int32)
+            new = self.pairs.get(np.concatenate([piece, flat_sym[previous_at]]), np.concatenate([flat_sym[right_at], piece]))
+            flat_makes[changed] = new
+            flat_turn[changed] = np.where(new >= 0, self.order[new] << bits | place, _NEVER)
+        return done
+
+    def alone(self, symbols: list[int], key: int) -> list[int]:
+        """The same for one unit, with its agenda as a heap."""
+        n, agenda, symbols = len(symbols), [], list(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def propose(places: list[int]) -> None:
+            made = self.pairs.get(np.array([symbols[i] for i in places], dtype=np.int64), np.array([symbols[after[i]] for i in places], dtype=np.int64))
+            for i, piece in zip(places, made.tolist(), strict=True):
+                if piece >= 0:
+                    coin = self.skips(np.array([key], dtype=np.uint64), np.array([i]), np.array([piece]))[0]
+                    heapq.heappush(agenda, (int(self.order[piece]), i, piece, symbols[i], symbols[after[i]], bool(coin)))
+
+        propose(list(range(n - 1)))
         while agenda:
-            _, i, piece = heapq.heappop(agenda)
-            j = following[i]
-            if not alive[i] or j >= n or symbols[j] is None or symbols[i] is None or symbols[i] + symbols[j] != piece:
+            _, i, piece, a, b, skipped = heapq.heappop(agenda)
+            j = after[i]
+            if skipped or j >= n or symbols[i] != a or symbols[j] != b:
                 continue
-            if left:
-                left -= 1
-            elif (more := skipped(i, len(piece))) >= 0:
-                left = more
-                continue
-            symbols[i], alive[j] = piece, False
-            following[i] = following[j]
-            if following[i] < n:
-                before[following[i]] = i
-                propose(i, following[i])
-            if before[i] >= 0:
-                propose(before[i], i)
-        return [s for s, a in zip(symbols, alive, strict=True) if a]
-
-    def _ids(self, pieces: list[str | None]) -> bytes:
-        ids = self.ids
-        try:
-            return array("i", [ids[p] for p in pieces]).tobytes()
-        except KeyError:
-            out = []
-            for piece in pieces:
-                out += [ids[piece]] if piece in ids else [self.bytes_to_id[b] for b in (piece or SPACE).encode()]
-            return array("i", out).tobytes()
-
-    def _kept(self, key: int, draw: int, most: int) -> int:
-        """Pairs kept before the first skip (draw 0) or between skips; most stands for more."""
-        if not self.limit:
-            return most
-        n = last = bisect_right(self.borders, _hash(key + draw * _STEP & _MASK))
-        again = 0
-        while last == _LONGEST and n < most:
-            again += 1
-            n += (last := bisect_right(self.borders, _hash(_hash(key + draw * _STEP & _MASK) + again * _STEP & _MASK)))
-        return n
-
-    def _occurrence(self, unit: str, key: int, *first: int) -> bytes:
-        """The ids of a unit with the coins of one occurrence. first are its first draws, if they are known."""
-        most, known, at, depth = 3 * len(unit), self.known, unit, 0  # a merge ends two pairs at most and makes two
-        draws = [n if n < _LONGEST else self._kept(key, i, most) for i, n in enumerate(first)] or [self._kept(key, 0, most)]
-        while (node := known[depth].get(at)) is not None:
-            n = draws[depth]
-            if n >= node[0]:
-                return node[1]
-            at, depth = chr(n) + at, depth + 1
-            if depth == len(draws):
-                draws.append(self._kept(key, depth, most))
-            if depth == len(known):
-                known.append({})
-        skips = 0
-
-        def skipped(_place: int, _length: int) -> int:
-            nonlocal skips
-            skips += 1
-            if skips == len(draws):
-                draws.append(self._kept(key, skips, most))
-            return draws[skips]
-
-        pieces = self._merged(unit, skipped, draws[0])
-        ids, at = self._ids(pieces), unit
-        if len(unit) < 4096:
-            for depth in range(skips):
-                if depth + 1 == len(known):
-                    known.append({})
-                known[depth].setdefault(at, _OPEN)
-                at = chr(draws[depth]) + at
-            known[skips][at] = len(unit) - len(pieces) - sum(draws[:skips]), ids
-        return ids
-
-    def encode(self, text: str, doc_id: int = 0) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if sum(map(len, self.known)) > self.memo:
-            self.known = [{}]
-        units = _UNITS(" " + text)
-        keys = mix64(np.arange(len(units), dtype=np.uint64) + np.uint64(_hash(self.seed ^ _hash(doc_id & _MASK))))
-        first = np.searchsorted(self.borders_array, mix64(keys), "right").tolist()
-        second = np.searchsorted(self.borders_array, mix64(keys + np.uint64(_STEP)), "right").tolist()
-        get, occurrence = self.known[0].get, self._occurrence
-        return b"".join([node[1] if (node := get(u)) and n >= node[0] else occurrence(u, k, n, m) for u, k, n, m in zip(units, keys.tolist(), first, second, strict=True)])
-
-    def decode(self, ids: bytes) -> str:
-        out = self.out
-        return b"".join([out[i] for i in np.frombuffer(ids, dtype="<i4").tolist()]).decode("utf-8", "replace")[1:]
+            symbols[i], symbols[j], after[i] = piece, _NONE, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            propose([k for k in (i, before[i]) if k >= 0 and after[k] < n])
+        return [s for s in symbols if s != _NONE]
+
+    def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first symbols of the texts, each with a space in front, and the texts' borders."""
+        spaced = [" " + t if t else "" for t in texts]
+        points = np.frombuffer("".join(spaced).encode("utf-32-le"), dtype="<u4")
+        borders = np.concatenate([[0], np.cumsum([len(t) for t in spaced], dtype=np.int64)])
+        symbols = self.symbols[points]
+        odd = np.flatnonzero(symbols < 0)
+        if len(odd):
+            raw = [chr(p).encode() for p in points[odd].tolist()]
+            counts = np.ones(len(symbols), dtype=np.int64)
+            counts[odd] = [len(r) for r in raw]
+            moved = np.concatenate([[0], np.cumsum(counts)])
+            symbols = np.repeat(symbols, counts)
+            symbols[symbols < 0] = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+            borders = moved[borders]
+        return symbols, borders
+
+    def encode_all(self, texts: list[str], doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the borders between texts. An empty text has none."""
+        symbols, borders = self._symbols(texts)
+        if not len(symbols):
+            return symbols, borders
+        space = symbols == self.space
+        opens = space.copy()
+        opens[1:] &= ~space[:-1]
+        opens[borders[:-1][borders[:-1] < borders[1:]]] = True
+        starts = np.flatnonzero(opens)
+        lengths = np.diff(starts, append=len(symbols))
+        first = np.searchsorted(starts, borders)  # each text's first unit
+        counts = np.diff(first)
+        places = np.arange(len(starts)) - np.repeat(first[:-1], counts)
+        keys = self.keys(np.repeat(doc_ids, counts), places)
+        by_length = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[by_length], self.longest, "right"))
+        made, sizes = [], np.zeros(len(starts), dtype=np.int64)
+        for at in range(0, short, self.columns):
+            units = by_length[at : min(at + self.columns, short)]
+            row = np.arange(lengths[units[-1]])[:, None]
+            inside = row < lengths[units]
+            column = np.where(inside, symbols[np.where(inside, starts[units] + row, 0)], np.int32(_NONE))
+            merged = self.together(column, keys[units]).T
+            kept = merged != _NONE
+            sizes[units] = kept.sum(axis=1)
+            made.append(merged[kept])
+        for unit in by_length[short:].tolist():
+            ids = self.alone(symbols[starts[unit] : starts[unit] + lengths[unit]].tolist(), int(keys[unit]))
+            sizes[unit] = len(ids)
+            made.append(np.array(ids, dtype=np.int32))
+        found = np.zeros(len(starts), dtype=np.int64)
+        found[by_length] = np.cumsum(sizes[by_length]) - sizes[by_length]
+        ids = np.concatenate(made)[ragged(found, sizes)]
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
+
+    def encode(self, text: str, doc_id: int = 0) -> list[int]:
+        return self.encode_all([text], np.array([doc_id]))[0].tolist()
+
+    def decode_all(self, ids: np.ndarray, borders: np.ndarray) -> list[str]:
+        lengths = self.out_lengths[ids]
+        raw = self.out_bytes[ragged(self.out_starts[ids], lengths)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(lengths)])[borders].tolist()
+        return [raw[a:b].decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_all(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))[0]
 
 
 _CODECS: dict[tuple, PieceCodec] = {}
 
 
 def codec(*parameters) -> PieceCodec:
-    """One codec for each set of parameters and worker process."""
+    """One codec for each set of parameters and worker process: tables of the model alone, which don't grow."""
     if parameters not in _CODECS:
         _CODECS[parameters] = PieceCodec(*parameters)
     return _CODECS[parameters]
 
 
+def _groups(batch: pa.RecordBatch, chars: int = 300_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """(first row, texts, doc_ids) of stretches of a batch of (doc_id, text)."""
+    ids, texts, size, begin = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), [], 0, 0
+    for row, text in enumerate(batch.column(1)):
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= chars or row == batch.num_rows - 1:
+            yield begin, texts, ids[begin : row + 1]
+            texts, size, begin = [], 0, row + 1
+
+
 def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7) -> DataFrame:
     """doc_id and ids (array of int) of every row. A null text is empty and has no ids; a null doc_id hashes as 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(model, dropout, seed).encode
+        pieces = codec(model, dropout, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [np.frombuffer(encode(t, d or 0), dtype="<i4") for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for begin, texts, doc_ids in _groups(batch):
+                ids, borders = pieces.encode_all(texts, doc_ids)
+                arrays = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), arrays], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(work, "doc_id long, ids array<int>")
 
@@ -260,24 +293,30 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(model).decode
         for batch in batches:
-            texts = [None if ids is None else decode(np.array(ids, dtype="<i4").tobytes()) for ids in batch.column(1).to_pylist()]
+            texts = [None if ids is None else decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and lossless (whether decoding gives the text) of every row."""
+    """doc_id, n_tokens, ids_crc32 and lossless (whether decoding gives the text) of every row.
+
+    A null text is empty and has no ids; rows with a null doc_id have the coins
+    of id 0; repeated rows give the same ids. Other columns don't matter.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = codec(model, dropout, seed)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = pieces.encode(text, doc or 0)
-                rows.append((len(ids) // 4, zlib.crc32(ids), pieces.decode(ids) == text))
-            if rows:
-                n, crc, same = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "ids_crc32", "lossless"])
+            for begin, texts, doc_ids in _groups(batch):
+                ids, borders = pieces.encode_all(texts, doc_ids)
+                back, raw, ends = pieces.decode_all(ids, borders), ids.astype("<i4").tobytes(), (borders * 4).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                same = [a == b for a, b in zip(texts, back, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(begin, len(texts)), pa.array(np.diff(borders), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
+                    ["doc_id", "n_tokens", "ids_crc32", "lossless"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(work, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")

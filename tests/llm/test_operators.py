@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sedimark.llm import exact_dedup, max_score, near_dedup, packing, piece_dropout, quality, secret_scan, sharding, token_store, zip_archives
+from sedimark.llm import exact_dedup, max_score, near_dedup, packing, piece_dropout, quality, queries, secret_scan, sharding, token_store, zip_archives
 from sedimark.llm._common import shared_folder
 from sedimark.llm.components import connected_components
 from sedimark.llm.word_tokens import WordEncoder, tokenizer_path
@@ -71,13 +71,36 @@ def test_entropy_windows_match_direct_computation():
         assert got == covered
 
 
-def test_allow_list_and_mix_suppress_added_spans_only():
+def test_allow_list_suppresses_the_windows_that_overlap_it():
     scanner = secret_scan.Scanner(secret_scan.ScanRules())
-    assert scanner.added("123e4567-e89b-12d3-a456-426614174000") == []
-    assert scanner.added("thorheonandtheatingoutherwholeinterationable") == []
     key = "wJalrXUtnFEMI7K4MDENGbPxRfiCYzv9Qd0T"
-    assert [k for *_, k in scanner.added(f"key {key} end")] == ["entropy_base64"]
-    assert scanner.added(f"{key}EXAMPLE") == []
+    for text in ("123e4567-e89b-12d3-a456-426614174000", "thorheonandtheatingoutherwholeinterationable", "EXAMPLE" + key[:19], "0123456789abcdef0123", "THEQUICKBROWNFOXJUMPSOVER", "iteration2024of1999"):
+        assert scanner.added(text) == []
+    assert [(a, b, k) for a, b, k in scanner.added(f"key {key} end")] == [(4, 40, "entropy_base64")]
+    assert scanner.added(f"{key}EXAMPLE{key}") == [(0, 36, "entropy_base64"), (43, 79, "entropy_base64")]
+    padded = "x" * 30 + "/" + key + "/" + "placeholder"
+    assert [k for *_, k in scanner.added(padded)] == ["entropy_base64"]
+
+
+def test_every_class_of_keys_is_looked_at():
+    scanner = secret_scan.Scanner(secret_scan.ScanRules())
+    cases = {
+        "entropy_lower": ["q7w2k9z4m1x8p3v6t5r0", "sk_live_4h8fj2kq9zt5w1mx7pd3"], "entropy_upper": ["JBSWY3DPEHPK3PXPKRUG", "K5QXG2LOM4ZWK7TBNRUWY2LP"],
+        "entropy_hex": ["0x9F3A7C5E1B8D2046", "0x9f3a7C5e1b8d20469f1a7C5e", "9F3A7C5E1B8D2046"], "entropy_base64": ["aB3dE6gH9jK2mN5pQ8rT"],
+    }
+    for kind, keys in cases.items():
+        for key in keys:
+            assert kind in [k for *_, k in scanner.added(f"see {key}, then")], key
+
+
+def test_a_class_may_need_more_than_a_run():
+    rules = secret_scan.ScanRules((secret_scan.EntropyClass("own", r"[A-Z]+[0-9]+", 16, 2.0),))
+    assert [k for *_, k in secret_scan.Scanner(rules).added("QWKEHTZNGLM7391846205")] == ["own"]
+
+
+def test_scan_of_nothing(empty):
+    assert secret_scan.scan(empty).count() == 0
+    assert secret_scan.redacted(empty).columns == empty.columns and secret_scan.redacted(empty).count() == 0
 
 
 def test_redaction_hides_every_span(docs):
@@ -92,13 +115,18 @@ def test_redaction_hides_every_span(docs):
 
 
 def test_word_encoder_gives_the_library_s_ids(texts):
-    plain, mine = plain_tokenizer(), WordEncoder(tokenizer_path(), max_chunks=50)
+    plain, mine = plain_tokenizer(), WordEncoder(tokenizer_path(), memo_bytes=10_000)
     odd = ["", " \x1c a\x1fb c", "don't <|endoftext|>x ß ẞ İstanbul é É́ ́a", "ﬁ Å ẛ̣ 12 3a b c", "x" * 3000, "a'S it'Re İ ﬀ", "日本 語"]
     cases = [t or "" for _, t in texts] + odd
     got = list(mine.encode(cases, group_chars=500))
     assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in cases]
 
 
+def test_word_encoder_refuses_other_tokenizers():
+    with pytest.raises(ValueError):
+        WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+
+
 def test_segment_gives_random_access():
     rng = np.random.default_rng(3)
     for high in (200, 60_000, 1 << 31):
@@ -107,6 +135,11 @@ def test_segment_gives_random_access():
         segment = token_store.Segment(token_store.encode_segment(ids, borders, np.arange(4), np.zeros(4, bool)))
         assert segment.tokens().tolist() == ids.tolist()
         assert [segment.token(i) for i in range(0, 3000, 37)] == ids[::37].tolist()
+        data, taken = b"front" + token_store.encode_segment(ids, borders, np.arange(4), np.zeros(4, bool)), []
+        in_file = token_store.SegmentFile(lambda at, n, data=data, taken=taken: taken.append(n) or data[at : at + n], 5)
+        taken.clear()
+        assert [in_file.token(i) for i in range(0, 3000, 37)] == ids[::37].tolist()
+        assert sum(taken) < 82 * 3 * 80
 
 
 def test_token_files_hold_every_document(spark, docs, texts):
@@ -120,6 +153,19 @@ def test_token_files_hold_every_document(spark, docs, texts):
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
 
 
+def test_tokens_by_their_numbers(spark, docs):
+    manifest = token_store.write_tokens(docs, shared_folder(spark), tokenizer_path(), end_id=2, segment_ids=1000)
+    plain, starts = plain_tokenizer(), token_store.read_tokens(manifest).collect()
+    total = max(r.start + r.n_tokens for r in starts)
+    numbers = [*range(0, total, 997), total - 1, total, -1, None, 0]
+    got = Counter((r.number, r.token) for r in token_store.tokens_at(manifest, spark.createDataFrame([(n,) for n in numbers], "number long"), 1000).collect())
+    text, long = next(r.text for r in docs.collect() if r.doc_id == 11), next(r for r in starts if r.doc_id == 11)
+    ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert Counter(n for n, _ in got.elements()) == Counter(numbers)
+    assert all((t is None) == (n is None or not 0 <= n < total) for n, t in got)
+    assert all(ids[n - long.start] == t for n, t in got if n is not None and long.start <= n < long.start + long.n_tokens)
+
+
 def test_token_files_of_an_empty_table(spark, empty):
     assert token_store.read_tokens(token_store.write_tokens(empty, shared_folder(spark), tokenizer_path(), end_id=2)).count() == 0
 
@@ -133,13 +179,27 @@ def test_cuckoo_index_against_a_dictionary():
     for _ in range(12_000):
         key = rng.choice(keys)
         if rng.random() < 0.3:
-            assert index.delete(key) == (key in want)
-            want.pop(key, None)
+            assert index.delete(key) == want.pop(key, -1)
         else:
-            want[key] = value = rng.random()
-            index.insert(key, value)
-    assert dict(index.items()) == want and len(index) == len(want)
-    assert all(index.get(k) == want.get(k) for k in keys)
+            ref = index.insert(key)
+            assert want.setdefault(key, ref) == ref
+    assert dict(index.items()) == want and len(index) == len(want) == len(set(want.values()))
+    assert all(index.get(k) == want.get(k, -1) for k in keys)
+
+
+def test_index_takes_few_bytes_a_digest():
+    groups, n = exact_dedup._Groups(), 150_000
+    for i in range(n):
+        groups.add(hashlib.sha256(i.to_bytes(4, "little")).digest(), i, i, 1)
+    assert groups.index.nbytes + 25 * n < 90 * n  # 5 million: 300 to 450 MB; tasks are meant for one million
+    assert sum(b.num_rows for b in groups.batches()) == n
+
+
+def test_emptied_indexes_give_the_same_groups(docs, texts, monkeypatch):
+    want = sorted(map(str, exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "text_sha256").collect()))
+    monkeypatch.setattr(exact_dedup, "LOCAL", 2)
+    monkeypatch.setattr(exact_dedup, "MERGED", 3)
+    assert sorted(map(str, exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "text_sha256").collect())) == want
 
 
 def test_exact_groups(docs, texts):
@@ -155,6 +215,19 @@ def test_exact_groups(docs, texts):
     assert Counter(r.text_sha256 for r in rows if r.kept) == Counter({r.text_sha256: 1 for r in rows})
 
 
+def test_exact_duplicates_of_nothing(empty):
+    assert exact_dedup.exact_groups(empty).count() == 0
+    assert exact_dedup.drop_exact_duplicates(empty).columns == empty.columns
+    assert exact_dedup.drop_exact_duplicates(empty).count() == 0
+
+
+def test_several_rows_that_repeat_id_and_text(spark):
+    rows = [(i % 3 or None, "ab"[i % 2]) for i in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(frame).collect())
+    assert got == Counter([(2, "a"), (2, "b")])
+
+
 def test_exact_duplicates_go(docs, texts):
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
@@ -187,6 +260,35 @@ def test_max_score_is_exact(spark, kind):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows)
 
 
+def test_most_rows_of_sparse_vectors_are_never_looked_at():
+    rng = np.random.default_rng(3)
+    rows = np.where(rng.random((4000, 100)) < 0.04, rng.integers(1, 200, (4000, 100)), 0)
+    shard = max_score.Shard(np.arange(4000), rows)
+    for own in range(0, 400, 20):
+        found, scores = shard.search(own, rows[own], 5)
+        want = sorted((-int(rows[i] @ rows[own]), i) for i in range(4000) if i != own)[:5]
+        assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == want
+    assert shard.looked_at < 0.5 * 20 * 4000 and shard.probed < 0.25 * 20 * 4000 * 100
+
+
+def test_dense_vectors_are_dropped_before_their_last_dimension():
+    rng = np.random.default_rng(3)
+    rows = np.floor(256 * rng.normal(size=(2000, 64)) / 8).astype(np.int64)
+    shard = max_score.Shard(np.arange(2000), rows)
+    for own in range(40):
+        found, scores = shard.search(own, rows[own], 5)
+        assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == sorted((-int(rows[i] @ rows[own]), i) for i in range(2000) if i != own)[:5]
+    assert shard.probed < 0.8 * 40 * 2000 * 64
+
+
+def test_huge_components_and_clashing_names(spark):
+    rows = [(0, [3e38, -3e38], 1, 2, 3), (50, [1e30, 1.0], 1, 2, 3), (2, [-1.0, 2.0], 1, 2, 3), (3, [], 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard int, codes int, score int")
+    got = {(r.query_id, r.vec_id): r.score for r in max_score.embedding_top_k(frame).collect()}
+    most = max_score.MOST_CODE
+    assert got[0, 50] == most * most - most * 256 and got[0, 2] == -256 * most - 512 * most and got[50, 3] == 0
+
+
 def test_search_over_nothing(spark):
     assert max_score.embedding_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -238,6 +340,13 @@ def test_sum_of_squares_takes_the_best_level():
         packer.add(k, size)
 
 
+def test_windows_stay_open_however_many():
+    packer = packing.SumOfSquares(100)
+    assert not any(packer.add(k, 60) for k in range(10_000))
+    assert packer.levels[60] == 10_000 and len(packer.add("fits", 40)) == 1
+    assert sum(sum(p[2] for p in w) < 100 for w in packer.finish()) <= 1
+
+
 @pytest.mark.parametrize("window", [16, 64, 2048])
 def test_every_id_is_packed_once(docs, texts, window):
     rows = packing.pack(docs, tokenizer_path(), end_id=1, window=window).collect()
@@ -270,6 +379,10 @@ def test_pieces_have_their_ids(docs, texts):
         assert any(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for ids in by[r.doc_id])
 
 
+def test_packing_of_nothing(empty):
+    assert packing.pack(empty, tokenizer_path(), end_id=1).count() == 0
+
+
 # pieces
 
 
@@ -278,68 +391,92 @@ def test_pieces_without_dropout_are_the_library_s(texts):
 
     model = tokenizer_path(piece_dropout.PIECE_BPE)
     sp, mine = sentencepiece.SentencePieceProcessor(model_file=model), piece_dropout.PieceCodec(model, 0.0)
-    for t in [t or "" for _, t in texts] + ["  a  b ", "日本語 🙂\n\t", "<0x0A> <s>", "x" * 300]:
-        assert np.frombuffer(mine.encode(t), dtype="<i4").tolist() == sp.encode(t)
-
-
-def naive_pieces(codec, unit, variant):
-    """Dropout BPE by looking at all pairs again at each step."""
-    key = (codec.seed * 0x9E3779B97F4A7C15 + variant * 0xD1B54A32D192ED03 + zlib.crc32(unit.encode()) * 0xBF58476D1CE4E5B9) % 2**64
-    parts, skipped = [(i, "▁" if c == " " else c) for i, c in enumerate(unit)], set()
-    while True:
-        pairs = [(codec.rank[a + b], i, k) for k, ((i, a), (_, b)) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in codec.rank and (i, a, b) not in skipped]
-        if not pairs:
-            return [p for _, p in parts]
-        _, i, k = min(pairs)
-        a, b = parts[k][1], parts[k + 1][1]
-        if (key + i * 0x632BE59BD9B4E019 + len(a + b)) * 0x94D049BB133111EB % 2**64 < codec.limit:
-            skipped.add((i, a, b))
-        else:
-            parts[k : k + 2] = [(i, a + b)]
-
-
-def test_dropout_against_a_naive_version_and_lossless(texts):
-    codec = piece_dropout.PieceCodec(tokenizer_path(piece_dropout.PIECE_BPE), 0.3, 11, 3)
-    units = {u for _, t in texts[:40] for u in piece_dropout._UNITS(" " + (t or "")[:2000]) if len(u) < 30}
-    units |= {" " + "the" * 30}
-    for unit in sorted(units)[:300]:
-        for variant in range(3):
-            want = naive_pieces(codec, unit, variant)
-            assert codec.pieces(unit, variant) == want
-            key = (codec.seed * 0x9E3779B97F4A7C15 + variant * 0xD1B54A32D192ED03 + zlib.crc32(unit.encode()) * 0xBF58476D1CE4E5B9) % 2**64
-            assert codec._by_heap(["▁" if c == " " else c for c in unit], key) == want
-    for t in [t or "" for _, t in texts] + ["a▁b ▁ c▁", "\x00 �"]:
-        assert codec.decode(codec.encode(t, 5)) == t
-    assert len({codec.encode(texts[5][1], d) for d in range(20)}) > 1
-
-
-def test_each_occurrence_has_its_own_coins():
+    cases = [t or "" for _, t in texts] + ["  a  b ", "日本語 🙂\n\t", "<0x0A> <s>", "x" * 300, " ", ""]
+    ids, borders = mine.encode_all(cases, np.arange(len(cases)))
+    assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:], strict=False)] == sp.encode(cases)
+    assert mine.decode_all(ids, borders) == cases
+
+
+def naive_pieces(codec, text, doc_id):
+    """Dropout BPE by looking at all pairs of a unit again at each step."""
+    mix = lambda x: int(piece_dropout.mix64(np.array([x % 2**64], dtype=np.uint64))[0])
+    name, out = {i: p for p, i in codec.ids.items()}, []
+    for place, unit in enumerate(re.findall(r" *[^ ]+| +", " " + text) if text else []):
+        key, parts, skipped = mix(place + mix(int(codec.seed) ^ mix(doc_id))), [], set()
+        for c in unit:
+            mark = "▁" if c == " " else c if c != "▁" else None
+            parts += [codec.ids[mark]] if mark in codec.ids else [int(codec.byte_ids[b]) for b in c.encode()]
+        parts = list(enumerate(parts))
+        while True:
+            pairs = []
+            for k, ((i, a), (_, b)) in enumerate(zip(parts, parts[1:], strict=False)):
+                made = codec.ids.get(name.get(a, "\0") + name.get(b, "\0"))
+                if made is not None and (i, a, b) not in skipped:
+                    pairs.append((codec.order[made], i, k, made))
+            if not pairs:
+                break
+            _, i, k, made = min(pairs)
+            if mix(key + ((i << 21) + made + 1) * 0x9E3779B97F4A7C15) >> 11 < int(codec.limit):
+                skipped.add((i, parts[k][1], parts[k + 1][1]))
+            else:
+                parts[k : k + 2] = [(i, made)]
+        out += [p for _, p in parts]
+    return out
+
+
+@pytest.mark.parametrize("longest", [0, 5, 48])
+def test_dropout_against_a_naive_version_and_lossless(texts, longest):
+    codec = piece_dropout.PieceCodec(tokenizer_path(piece_dropout.PIECE_BPE), 0.3, 11, 64, longest)
+    cases = [(t or "")[:300] for _, t in texts] + ["a▁b ▁ c▁", "\x00 �", " " + "the" * 30, "  x   y "]
+    ids, borders = codec.encode_all(cases, np.arange(len(cases)))
+    for n, (text, a, b) in enumerate(zip(cases, borders, borders[1:], strict=False)):
+        assert ids[a:b].tolist() == naive_pieces(codec, text, n)
+    assert codec.decode_all(ids, borders) == cases
+    assert len({tuple(codec.encode(cases[5], d)) for d in range(20)}) > 10
+
+
+def test_every_pair_of_every_occurrence_is_dropped_at_the_rate():
+    codec = piece_dropout.PieceCodec(tokenizer_path(piece_dropout.PIECE_BPE), 0.1, 7)
+    keys = codec.keys(np.repeat(np.arange(20), 10_000), np.tile(np.arange(10_000), 20))
+    n, coins = len(keys), {}
+    for place in range(6):
+        for piece in (5, 300, 31_999):
+            coins[place, piece] = codec.skips(keys, np.full(n, place), np.full(n, piece))
+            assert abs(coins[place, piece].mean() - 0.1) < 0.005
+    for a in coins:  # whichever two pairs: one is dropped as often where the other is
+        for b in coins:
+            assert a == b or abs(coins[b][coins[a]].mean() - 0.1) < 0.015
+    for step in (1, 2, 5):  # and so from a unit to those after it
+        same = coins[0, 300]
+        assert abs(same[step:][same[:-step]].mean() - 0.1) < 0.015
+
+
+def test_a_common_word_has_its_segmentations_by_their_chances():
     codec = piece_dropout.PieceCodec(tokenizer_path(piece_dropout.PIECE_BPE), 0.1, 7)
-    unit, n, seen = " nation", 20_000, Counter()
-    for doc in range(20):
-        for place in range(n // 20):
-            key = int(piece_dropout.mix64(np.array([place + piece_dropout._hash(7 ^ piece_dropout._hash(doc))], dtype=np.uint64))[0])
-            seen[codec._occurrence(unit, key)] += 1
-    # the law of each segmentation, from all ways the coins can fall
-    law, open_ways = Counter(), [()]
-    while open_ways:
-        way, steps = open_ways.pop(), []
-
-        def skipped(i, k, way=way, steps=steps):
+    unit, n = " nation", 20_000
+    ids, borders = codec.encode_all([unit[1:]] * n, np.arange(n))
+    seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(borders, borders[1:], strict=False))
+    law, open_ways, name = Counter(), [()], {i: p for p, i in codec.ids.items()}
+    while open_ways:  # the law of each segmentation, from all ways the coins can fall
+        way, steps, skipped = open_ways.pop(), [], set()
+        parts = [(i, codec.ids["▁" if c == " " else c]) for i, c in enumerate(unit)]
+        while True:
+            pairs = [(codec.order[m], i, k, m) for k, ((i, a), (_, b)) in enumerate(zip(parts, parts[1:], strict=False)) if (m := codec.ids.get(name[a] + name[b])) is not None and (i, a, b) not in skipped]
+            if not pairs:
+                break
+            _, i, k, made = min(pairs)
             steps.append(len(steps) < len(way) and way[len(steps)])
-            return -(not steps[-1])
-
-        ids = codec._ids(codec._merged(unit, skipped))
-        law[ids] += math.prod(0.1 if s else 0.9 for s in steps)
+            if steps[-1]:
+                skipped.add((i, parts[k][1], parts[k + 1][1]))
+            else:
+                parts[k : k + 2] = [(i, made)]
+        law[tuple(p for _, p in parts)] += math.prod(0.1 if s else 0.9 for s in steps)
         open_ways += [(*steps[:k], True) for k in range(len(way), len(steps))]
     assert len(seen) > 2 and abs(sum(law.values()) - 1) < 1e-9 and set(seen) <= set(law)
     assert all(abs(seen[ids] - n * p) < 5 * math.sqrt(n * p) + 1 for ids, p in law.items())
-    # texts repeat the unit; what is kept doesn't change what comes out
-    text = "nation " * 300 + "the" * 40 + " a▁b"
-    fresh = [piece_dropout.PieceCodec(tokenizer_path(piece_dropout.PIECE_BPE), 0.1, 7, 1).encode(text, d) for d in range(5)]
-    assert fresh == [codec.encode(text, d) for d in range(5)] and len(set(fresh)) == 5
     for rate in (1.0, 1e-15):
-        assert piece_dropout.PieceCodec(codec_model := tokenizer_path(piece_dropout.PIECE_BPE), rate).decode(piece_dropout.PieceCodec(codec_model, rate).encode(text, 3)) == text
+        other = piece_dropout.PieceCodec(tokenizer_path(piece_dropout.PIECE_BPE), rate)
+        assert other.decode(other.encode("nation " * 30 + "the" * 40 + " a▁b", 3)) == "nation " * 30 + "the" * 40 + " a▁b"
 
 
 def test_pieces_through_spark(docs):
@@ -350,6 +487,12 @@ def test_pieces_through_spark(docs):
     assert all(r.lossless for r in piece_dropout.round_trip(docs, model).collect())
 
 
+def test_round_trip_of_nothing(empty):
+    model = tokenizer_path(piece_dropout.PIECE_BPE)
+    assert piece_dropout.round_trip(empty, model).count() == 0
+    assert piece_dropout.decode_documents(piece_dropout.encode_documents(empty, model), model).count() == 0
+
+
 # quality
 
 
@@ -397,14 +540,48 @@ def brute_components(texts, k, percent):
     return Counter((d, len(s), None if d is None else find(d)) for (d, _), s in zip(texts, sets, strict=True))
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 128), (5, 80, 128), (3, 85, 4)])
-def test_near_components(docs, texts, k, percent, block):
-    rules = near_dedup.NearRules(shingle=k, percent=percent, bands=42, rows=6, least_block=block, most_block=block)
+@pytest.mark.parametrize(("k", "percent", "bands", "rows", "block"), [(3, 85, 42, 6, 20_000), (5, 80, 42, 6, 20_000), (3, 85, 42, 6, 400), (3, 85, 32, 8, 20_000)])
+def test_near_components(docs, texts, k, percent, bands, rows, block):
+    rules = near_dedup.NearRules(shingle=k, percent=percent, bands=bands, rows=rows, least_block=block, most_block=block)
     rows = near_dedup.near_components(docs, rules).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute_components(texts, k, percent)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in rows)
 
 
+def test_linked_sets_match_all_pairs():
+    rng = np.random.default_rng(12)
+    for percent in (50, 80, 85, 100):
+        kinds = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (1, 5, 60, 90)]
+        sets = [np.unique(np.concatenate([kinds[rng.integers(4)][: rng.integers(1, 90)], rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(150)]
+        want, full = list(range(len(sets))), [set(s.tolist()) for s in sets]
+        for i, a in enumerate(full):
+            for j in range(i):
+                if 100 * len(a & full[j]) >= percent * len(a | full[j]):
+                    old, new = max(want[i], want[j]), min(want[i], want[j])
+                    want = [new if w == old else w for w in want]
+        assert near_dedup.linked(sets, percent).tolist() == want
+
+
+def test_rules_beyond_a_signature_are_refused():
+    with pytest.raises(ValueError):
+        near_dedup.NearRules(bands=43, rows=6)
+
+
+def test_query_s_rules_find_what_an_exact_search_finds(spark):
+    """All pairs of the smallest table's texts by a join on shingles, with the registered query's own parameters."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = brute_components([(r.doc_id, r.text) for r in rows], 3, 85)
+    found = queries.op9_near_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
+
+
+def test_near_duplicates_go(docs, texts):
+    want = {d for d, _, c in brute_components(texts, 5, 80) if d == c}
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((d, t) for d, t in texts if d is None or d in want)
+
+
 def test_near_components_of_nothing(empty):
     assert near_dedup.near_components(empty).count() == 0
     assert near_dedup.drop_near_duplicates(empty).columns == empty.columns
@@ -473,6 +650,33 @@ def test_archives_round_trip(spark):
     assert got == want
 
 
+def test_records_are_valid_and_headers_have_no_case():
+    record = zip_archives.warc_record("response", "5", "http://a/b", "é\r\n\r\nb".encode(), "d", None, "2024-01-02T03:04:05Z")
+    fields, payload, http = zip_archives.parse_record(record)
+    assert payload == "é\r\n\r\nb".encode() and http["content-length"] == "7"
+    assert {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type", "warc-target-uri"} <= set(fields) and fields["warc-date"] == "2024-01-02T03:04:05Z"
+    odd = record.replace(b"Content-Length: ", b"CONTENT-LENGTH:", 1).replace(b"WARC-Type: response", b"warc-TYPE:   response")
+    assert zip_archives.parse_record(odd) == (fields, payload, http)
+    revisit = zip_archives.parse_record(zip_archives.warc_record("revisit", "5", "http://a", b"x" * 2000, "d", "9", "2024-01-02T03:04:05Z"))
+    assert revisit[1] == b"" and revisit[2]["content-length"] == "2000" and revisit[0]["warc-refers-to"] == "<urn:page:9>"
+    assert zip_archives.parse_record(b"WARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")[1] == b"ab"
+
+
+def test_archives_of_nothing_clashing_names_and_a_very_long_page(spark):
+    schema = "page_id long, url string, html string, payload int, record_type string, _digest int, _newest int, _n int"
+    assert zip_archives.archive(spark.createDataFrame([], schema)).count() == 0
+    long = "<p>ü</p>" * 400_000
+    rows = zip_archives.archive(spark.createDataFrame([(1, "u", long, 1, "x", 2, 3, 4), (2, "u", long, 1, "x", 2, 3, 4)], schema)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows) == [(1, len(long.encode()), "revisit", 2), (2, len(long.encode()), "response", None)]
+
+
+def test_packages_are_cut_at_their_size(spark):
+    pages = zip_archives.classified(spark.createDataFrame([(i, "u", random.Random(i).randbytes(900).hex()) for i in range(50)], "page_id long, url string, html string").coalesce(1))
+    manifest = zip_archives.write_packages(pages, shared_folder(spark), package_bytes=10_000)
+    assert manifest.count() > 4 and manifest.agg({"n_records": "sum"}).first()[0] == 50
+    assert zip_archives.read_packages(manifest).count() == 50
+
+
 def test_runs_cross_batches():
     from sedimark.llm._common import runs
 
