@@ -7,10 +7,11 @@
    each class and key, never pairs. Connected, they form families, which hold all
    candidate links.
 4. A family's texts meet in one task, which rebuilds the full sets and searches
-   breadth first: each class taken compares with all that aren't reached yet, so
-   every link between different components is tested and links inside one needn't
-   be. A family of more than a block is dealt in blocks, and each pair of blocks
-   is a task; the links found are connected once more. No family is cut short.
+   breadth first: each class taken is compared with all that aren't reached yet and
+   share one of its rarest shingles, so every link between different components is
+   tested and links inside one needn't be. A family with more shingles than a block
+   is dealt in blocks of about as many shingles each, and each pair of blocks is a
+   task; the links found are connected once more. No family is cut short.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm._common import fresh, mix64, runs, shared_folder, stored, text_of
+from sedimark.llm._common import fresh, mix64, ragged, runs, shared_folder, stored, text_of
 from sedimark.llm.components import connected_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -37,8 +38,13 @@ class NearRules:
     percent: int = 80
     bands: int = 42
     rows: int = 6
-    least_block: int = 128
-    most_block: int = 2048
+    #: Shingles of a block of a large family: a sixteenth of its own, between these bounds.
+    least_block: int = 20_000
+    most_block: int = 400_000
+
+    def __post_init__(self):
+        if not (1 <= self.bands * self.rows <= 256 and self.shingle >= 1 and 0 < self.percent <= 100 and 1 <= self.least_block <= self.most_block):
+            raise ValueError("a signature has 256 values at most, and the other rules are positive")
 
 
 class _WordHashes(dict):
@@ -56,7 +62,7 @@ class Shingles:
     fewer words than a shingle has is one shingle; one without words has none.
     """
 
-    def __init__(self, size: int, memo: int = 500_000):
+    def __init__(self, size: int, memo: int = 200_000):
         self.size, self.memo = size, memo
         self.factors = mix64(np.arange(1, size + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
         self.words = _WordHashes()
@@ -167,24 +173,47 @@ def signed(docs: DataFrame, rules: NearRules, group: int = 100_000) -> DataFrame
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the number of the first one of its component, breadth first."""
+    """For each set the number of the first one of its component, breadth first.
+
+    Two sets that are linked share one of the |a| - ceil(percent |a| / 100) + 1
+    rarest elements of either, so only these are indexed; who shares one and is of
+    a size that can do is compared in full.
+    """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    marks = np.zeros(int(codes.max()) + 1, dtype=bool)
-    root = np.full(len(sets), -1)
+    starts, owners = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(counts), dtype=np.int32)
+    rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    codes = rarity[codes]
+    codes = codes[np.lexsort((codes, owners))]
+    prefix = sizes + (-percent * sizes) // 100 + 1
+    indexed = ragged(starts, prefix)
+    by = np.argsort(codes[indexed], kind="stable")
+    postings, n_postings = owners[indexed][by], np.bincount(codes[indexed], minlength=len(counts))
+    first = np.cumsum(n_postings) - n_postings
+    marks, root, left = np.zeros(len(counts), dtype=bool), np.full(len(sets), -1), len(sets)
     for seed in range(len(sets)):
+        if not left:
+            break
         if root[seed] >= 0:
             continue
-        root[seed], queue = seed, [seed]
-        while queue:
+        root[seed], queue, left = seed, [seed], left - 1
+        while queue and left:
             taken = queue.pop()
             own = codes[starts[taken] : starts[taken] + sizes[taken]]
+            rare = own[: prefix[taken]]
+            met = postings[ragged(first[rare], n_postings[rare])]
+            met = np.unique(met[root[met] < 0])
+            met = met[100 * np.minimum(sizes[met], sizes[taken]) >= percent * np.maximum(sizes[met], sizes[taken])]
+            if not len(met):
+                continue
             marks[own] = True
-            common = np.add.reduceat(marks[codes], starts, dtype=np.int64)
+            lengths = sizes[met]
+            common = np.add.reduceat(marks[codes[ragged(starts[met], lengths)]], np.cumsum(lengths) - lengths, dtype=np.int64)
             marks[own] = False
-            near = np.flatnonzero((root < 0) & (100 * common >= percent * (sizes + sizes[taken] - common)))
+            near = met[100 * common >= percent * (lengths + sizes[taken] - common)]
             root[near] = seed
+            left -= len(near)
             queue += near.tolist()
     return root
 
@@ -225,7 +254,7 @@ def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFram
     rules, spark = rules or NearRules(), docs.sparkSession
     folder = shared_folder(spark)
     rows = stored(signed(docs, rules), folder, "signed")
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("mass"), F.first("bands").alias("bands"))
     classes = stored(classes, folder, "classes")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last").select("key", "center")
@@ -233,10 +262,11 @@ def near_components(docs: DataFrame, rules: NearRules | None = None) -> DataFram
     families = stored(connected_components(tied, folder, "tied"), folder, "families")
     families = families.unionByName(families.select(F.col("component").alias("node"), "component").distinct())
 
-    sizes = families.groupBy("component").agg(F.count("*").alias("size"))
-    block = F.greatest(F.lit(rules.least_block), F.least(F.lit(rules.most_block), F.ceil(F.col("size") / 16)))
-    parts = F.when(F.col("size") <= 2 * block, 1).otherwise(F.ceil(F.col("size") / block))
-    dealt = families.join(sizes.select("component", parts.cast("int").alias("parts")), "component").withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    weighed = families.hint("merge").join(classes.select("node", "mass"), "node")
+    masses = weighed.groupBy("component").agg(F.sum("mass").alias("family_mass"))
+    block = F.greatest(F.lit(rules.least_block), F.least(F.lit(rules.most_block), F.ceil(F.col("family_mass") / 16)))
+    parts = F.when(F.col("family_mass") <= 2 * block, 1).otherwise(F.ceil(F.col("family_mass") / block))
+    dealt = families.join(masses.select("component", parts.cast("int").alias("parts")), "component").withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("y", F.explode(F.expr("CASE WHEN parts = 1 THEN array(0) ELSE filter(sequence(0, parts - 1), y -> y <> x) END")))
     dealt = dealt.select("node", F.col("component").alias("family"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().cast("binary").alias("text"))
