@@ -24,13 +24,14 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm._common import open_filesystem, stored, text_of
+from sedimark.llm._common import open_filesystem, slices, stored, text_of
 from sedimark.llm.word_tokens import encoder
 
 BLOCK = 512
@@ -114,14 +115,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, segm
     """Encode doc_id and text, add end_id to each document, write files below folder.
 
     Documents are in ascending order of doc_id over all parts (null first, equal
-    ids by text). Returns the manifest as a table in folder. A null text is
+    ids by checksum and text, so that one id's rows can be dealt out). Returns the manifest as a table in folder. A null text is
     empty and gives end_id alone.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
+        part, words = TaskContext.get().partitionId(), encoder(tokenizer)
         files, root = open_filesystem(f"{folder}/files")
         files.create_dir(root, recursive=True)
         path, rows, held, out = f"part-{part:06d}-{uuid.uuid4().hex}.dac", [], [], None
@@ -140,8 +141,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, segm
             held.clear()
 
         size = 0
-        for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+        for batch in slices(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
                 if held and size + len(ids) + 1 > segment_ids:
                     flush()
                     size = 0
@@ -155,10 +156,70 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, segm
             types = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("crc", F.crc32("text"))
+    ordered = rows.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc", "text").select("doc_id", "text")
     return stored(ordered.mapInArrow(write, MANIFEST), folder, "manifest")
 
 
+class SegmentFile:
+    """A segment in a file: ids by their numbers, from a few bytes each. read(position, length) gives bytes of the file."""
+
+    def __init__(self, read, position: int):
+        head = read(position, 16)
+        if head[:4] != b"DAC1":
+            raise ValueError("not a segment")
+        self.read = read
+        self.n_ids, n_docs, n_levels = struct.unpack_from("<3I", head, 4)
+        raw = read(position + 16, 8 * n_levels)
+        at, self.levels = position + 16 + 8 * n_levels + 9 * n_docs + 4 * (n_docs + 1), []
+        for k in range(n_levels):
+            bits, n = struct.unpack_from("<2I", raw, 8 * k)
+            chunks, bitmap = at, at + n * bits // 8
+            rank = bitmap + -(-n // 8)
+            self.levels.append((bits, chunks, bitmap, rank))
+            at = rank + 4 * -(-n // BLOCK)
+
+    def token(self, i: int) -> int:
+        if not 0 <= i < self.n_ids:
+            raise IndexError(i)
+        value = shift = 0
+        for bits, chunks, bitmap, rank in self.levels:
+            value |= int.from_bytes(self.read(chunks + i * bits // 8, bits // 8), "little") << shift
+            shift += bits
+            block, inside = divmod(i, BLOCK)
+            marks = int.from_bytes(self.read(bitmap + block * BLOCK // 8, inside // 8 + 1), "little")
+            if not marks >> inside & 1:
+                break
+            i = int.from_bytes(self.read(rank + 4 * block, 4), "little") + (marks & ((1 << inside) - 1)).bit_count()
+        return value
+
+
+def tokens_at(manifest: DataFrame, numbers: DataFrame, segment_ids: int = 1_000_000) -> DataFrame:
+    """number and token for each row of numbers (a long column number): ids by their places in the whole store.
+
+    A number beyond the store, below 0 or null has a null token. Segments and numbers
+    meet in stretches of segment_ids, an equal join; a task reads a few bytes an id.
+    """
+    stretch = lambda c: F.floor(c / segment_ids).cast("long")
+    last = F.col("start") + F.col("n_ids") - 1
+    held = with_starts(manifest).select("path", "position", "start", last.alias("last"), F.explode(F.sequence(stretch(F.col("start")), stretch(last))).alias("stretch"))
+    asked = numbers.select(F.col("number").cast("long").alias("number")).withColumn("stretch", stretch(F.col("number")))
+    met = asked.join(held, "stretch").filter(F.col("number").between(F.col("start"), F.col("last"))).distinct()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for (path, position), rows in groupby(zip(*(batch.column(c).to_pylist() for c in ("path", "position", "number", "start")), strict=True), lambda r: r[:2]):
+                files, name = open_filesystem(path)
+                with files.open_input_file(name) as f:
+                    segment = SegmentFile(lambda at, n, f=f: f.read_at(n, at), position)
+                    found += [(number, segment.token(number - start)) for _, _, number, start in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], ["number", "token"])
+
+    tokens = met.select("path", "position", "number", "start").sortWithinPartitions("path", "position").mapInArrow(read, "number long, token long")
+    return asked.select("number").join(tokens, "number", "left")
+
+
 def with_starts(manifest: DataFrame) -> DataFrame:
     """The manifest with the number of ids before each segment.
 

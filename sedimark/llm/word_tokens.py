@@ -2,8 +2,8 @@
 
 The tokenizer drops white space, and none of its patterns spans white space, so
 a text's ids are those of its white-space-separated chunks one after another.
-Each distinct chunk goes through the library once for each worker, and a text
-is then a gather over the ids of its chunks. A chunk that is a plain Latin word
+Distinct chunks go through the library, as far as a memo of bounded bytes
+reaches, and a text is then a gather over the ids of its chunks. A chunk that is a plain Latin word
 with plain ASCII punctuation after it is split further into those two, which
 the tokenizer's own pattern does as well. Texts with control characters that
 Python takes for white space and the tokenizer doesn't are encoded whole.
@@ -23,7 +23,9 @@ WORD_BPE = "word_bpe_49k.json"
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.:;?@|~-]*)").fullmatch
 _CONTROL = re.compile("[\x1c-\x1f]").search
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple, WordEncoder] = {}
+#: About what an entry of the memo takes besides its characters.
+_ENTRY = 200
 
 
 class _Grown:
@@ -53,27 +55,45 @@ class _Chunks(dict):
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file. max_chunks bounds the memory of the memo."""
+    """Encodes texts with a tokenizers file.
 
-    def __init__(self, path: str, max_chunks: int = 1_000_000):
+    memo_bytes bounds what the memo holds, by an estimate of _ENTRY bytes and the
+    characters of each chunk and word; a full one is started anew. A tokenizer whose patterns could span white
+    space, or that keeps case (plain words are lowered here), is refused.
+    """
+
+    def __init__(self, path: str, memo_bytes: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._check()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.max_chunks = max_chunks
-        self._forget()
-
-    def _forget(self) -> None:
-        self.chunks = _Chunks()
+        self.memo_bytes = memo_bytes
+        self.forget()
+
+    def _check(self) -> None:
+        """What this class takes for granted, tried on texts that would show otherwise."""
+        whole = lambda *texts: [i for t in texts for i in self.tokenizer.encode(t, add_special_tokens=False).ids]
+        parts = ["The", "a", "x,", "don't", "(12", "é", "...", "日本", "a-b"]
+        for gap in (" ", "  ", "\n", "\t ", "\u00a0", "\u3000"):
+            if whole(gap.join(parts)) != whole(*parts) or whole(f"{gap}a{gap}") != whole("a"):
+                raise ValueError("a pattern of this tokenizer spans white space")
+        if whole("The") != whole("the") or whole("x,") != whole("x", ","):
+            raise ValueError("this tokenizer keeps case, or words and punctuation together")
+
+    def forget(self) -> None:
+        """Start the memo anew."""
+        self.held, self.chunks = 0, _Chunks()
         self.starts, self.lengths, self.flat = _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
         self.words: dict[str, bytes] = {"": b""}  # ids as bytes: nothing for the garbage collector to walk
 
     def _encode_words(self, words: list[str]) -> None:
         """Plain words and plain punctuation: each is one pre-token, so its last id ends a word."""
+        self.held += len(words) * _ENTRY + sum(map(len, words))
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
@@ -91,6 +111,7 @@ class WordEncoder:
     def _learn(self) -> None:
         """Encode the chunks that weren't seen before."""
         new = self.chunks.new
+        self.held += len(new) * _ENTRY + sum(map(len, new))
         split = [(m[1].lower(), m[2]) if (m := _PLAIN(c)) else None for c in new]
         words = self.words
         self._encode_words(list(dict.fromkeys(w for p in split if p for w in p if w not in words)))
@@ -105,8 +126,8 @@ class WordEncoder:
 
     def _encode_group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the texts together, and the borders between texts."""
-        if len(self.chunks) > self.max_chunks or len(self.words) > self.max_chunks:
-            self._forget()
+        if self.held > self.memo_bytes:
+            self.forget()
         number = self.chunks.__getitem__
         per_text = [np.fromiter(map(number, words := t.split()), dtype=np.int64, count=len(words)) for t in texts]
         if self.chunks.new:
@@ -143,11 +164,11 @@ class WordEncoder:
                 yield ids[a:b]
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and worker process, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo_bytes: int = 128 << 20) -> WordEncoder:
+    """One encoder for each file and worker process, kept between tasks with its bounded memo."""
+    if (path, memo_bytes) not in _ENCODERS:
+        _ENCODERS[path, memo_bytes] = WordEncoder(path, memo_bytes)
+    return _ENCODERS[path, memo_bytes]
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
