@@ -1,12 +1,15 @@
 """Secrets in texts: three fixed forms, and stretches of high entropy.
 
-Candidates are runs of one character class (base-64 or hexadecimal, long enough
-for a window). A window slides over a candidate; its Shannon entropy is kept by
-the change in sum(c * log2 c) when a character enters or leaves, so a step costs
-the same for any window. Windows at or above the class's threshold are joined
-to spans. A candidate that an allow-list pattern matches, or that lacks the mix
-of letters and digits that keys have, is passed over. The fixed forms are never
-suppressed.
+Candidates are runs of one character class: hexadecimal (also behind 0x), lower-
+or upper-case letters with digits, and base-64. What an allow-list pattern matches
+is cut out of a run, so that only windows that overlap the match are suppressed.
+A window slides over what is left; its Shannon entropy is kept by the change in
+sum(c * log2 c) when a character enters or leaves, so a step costs the same for any
+window. Windows at or above the class's threshold are joined to spans. A stretch
+shorter than the window, but not than the class's least, is one window of its own
+length, with the threshold in the ratio of the lengths' logarithms. A stretch
+without the mix of letters and digits that keys have is passed over. The fixed
+forms are never suppressed.
 """
 
 from __future__ import annotations
@@ -21,34 +24,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm._common import text_of
+from sedimark.llm._common import slices, text_of
 
 #: The three forms.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the leftmost run of 16 or more starts where its whole run does
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """A character class; window in characters, threshold in bits a character."""
+    """A character class: pattern's first group (or all of it) is a run; window and least in characters, threshold in bits."""
 
     kind: str
     pattern: str
     window: int
     threshold: float
     mixed: str = r"(?=.*[0-9])(?=.*[A-Za-z])"
+    least: int = 16
 
 
 @dataclass(frozen=True)
 class ScanRules:
     classes: tuple[EntropyClass, ...] = (
-        EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])[0-9a-fA-F]+(?![0-9A-Za-z])", 24, 3.0),
-        EntropyClass("entropy_base64", r"[A-Za-z0-9+/_=-]+", 24, 3.9, r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
+        EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])(?:0[xX])?([0-9a-fA-F]{16,})(?![0-9A-Za-z])", 24, 3.0),
+        EntropyClass("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 24, 3.9, r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 20),
+        EntropyClass("entropy_lower", r"(?<![0-9A-Za-z])[a-z0-9]{16,}(?![0-9A-Za-z])", 24, 3.6, r"(?=(?:.*?[0-9][a-z]){2})(?=.*[g-z])"),
+        EntropyClass("entropy_upper", r"(?<![0-9A-Za-z])[A-Z0-9]{16,}(?![0-9A-Za-z])", 24, 3.6, r"(?=(?:.*?[0-9][A-Z]){2})(?=.*[G-Z])"),
     )
-    #: Candidates that are no secrets: UUIDs, alphabets, placeholders.
-    allow: tuple[str, ...] = field(default=(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(example|placeholder|changeme|x{6}|0{8}).*", r"(?i).*(abcdefgh|0123456789abcdef).*"))
+    #: What is no secret wherever it stands in a run: UUIDs, placeholders, alphabets.
+    allow: tuple[str, ...] = field(default=(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i)example|placeholder|changeme|x{6,}|0{8,}", r"(?i)abcdefgh|0123456789abcdef|0123456789"))
 
 
 def entropy_spans(candidate: str, window: int, threshold: float) -> list[tuple[int, int]]:
@@ -79,7 +85,7 @@ def entropy_spans(candidate: str, window: int, threshold: float) -> list[tuple[i
 
 class Scanner:
     def __init__(self, rules: ScanRules):
-        self.classes = [(c, re.compile(rf"(?:{c.pattern})"), re.compile(c.mixed, re.DOTALL)) for c in rules.classes]
+        self.classes = [(c, re.compile(c.pattern), re.compile(c.mixed, re.DOTALL)) for c in rules.classes]
         self.allow = [re.compile(p) for p in rules.allow]
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
@@ -95,12 +101,26 @@ class Scanner:
         found = []
         for c, pattern, mixed in self.classes:
             for m in pattern.finditer(text):
-                run = m[0]
-                if len(run) < c.window or not mixed.match(run) or any(p.fullmatch(run) for p in self.allow):
+                begin, end = m.span(1 if pattern.groups else 0)
+                if end - begin < c.least or not mixed.match(text[begin:end]):
                     continue
-                found += [(m.start() + a, m.start() + b, c.kind) for a, b in entropy_spans(run, c.window, c.threshold)]
+                for a, b in self._left(text, begin, end):
+                    part = text[a:b]
+                    if b - a >= c.least and mixed.match(part):
+                        window = min(c.window, b - a)
+                        threshold = c.threshold * math.log2(window) / math.log2(c.window)
+                        found += [(a + x, a + y, c.kind) for x, y in entropy_spans(part, window, threshold)]
         return found
 
+    def _left(self, text: str, begin: int, end: int) -> list[tuple[int, int]]:
+        """The stretches of a run that no allow-list pattern matches."""
+        left, at = [], begin
+        for a, b in sorted(m.span() for p in self.allow for m in p.finditer(text, begin, end)):
+            if a > at:
+                left.append((at, a))
+            at = max(at, b)
+        return [*left, (at, end)] if at < end else left
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         return sorted(self.base(text) + self.added(text), key=lambda s: (s[0], KINDS.index(s[2]) if s[2] in KINDS else len(KINDS), s[2]))
 
@@ -120,23 +140,17 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def _fast(rules: ScanRules) -> ScanRules:
-    """The same rules, with runs shorter than the window left out by the pattern itself."""
-    classes = tuple(EntropyClass(c.kind, re.sub(r"\]\+", f"]{{{c.window},}}", c.pattern, count=1), c.window, c.threshold, c.mixed) for c in rules.classes)
-    return ScanRules(classes, rules.allow)
-
-
 def scan(docs: DataFrame, rules: ScanRules | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row.
 
     A null text is empty and has no span; its base_sha256 is that of the empty
     string. Ids may be null or repeat; rows are looked at one by one.
     """
-    rules = _fast(rules or ScanRules())
+    rules = rules or ScanRules()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base = scanner.base(text)
@@ -151,13 +165,13 @@ def scan(docs: DataFrame, rules: ScanRules | None = None) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: ScanRules | None = None) -> DataFrame:
     """docs with secrets in text replaced; n_chars, if there is one, follows. A null text stays null."""
-    rules, columns = _fast(rules or ScanRules()), docs.columns
+    rules, columns = rules or ScanRules(), docs.columns
     at = columns.index("text")
     length = columns.index("n_chars") if "n_chars" in columns else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(at).to_pylist()
             new = [t and redact(t, scanner.spans(t)) for t in old]
             arrays = list(batch.columns)
