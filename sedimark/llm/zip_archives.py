@@ -14,44 +14,59 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm._common import open_filesystem, shared_folder, stored, text_of
+from sedimark.llm._common import open_filesystem, shared_folder, slices, stored, text_of
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 MANIFEST = "path string, bytes long, n_records long"
-_CRLF = b"\r\n"
+_CRLF, _STAMP = b"\r\n", (1980, 1, 1, 0, 0, 0)
 
 
-def warc_record(kind: str, record_id: str, uri: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """A WARC/1.1 record; a revisit has no payload of its own."""
-    body = b"" if kind == "revisit" else payload
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{record_id}>"), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+def warc_record(kind: str, record_id: str, uri: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
+    """A WARC/1.1 record with an HTTP response as its block; a revisit has the response's head alone."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if kind == "revisit" else http + payload
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
         fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-    fields.append(("Content-Length", str(len(body))))
-    head = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
-    return b"WARC/1.1\r\n" + head + _CRLF + body + _CRLF + _CRLF
+    fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
+    return b"WARC/1.1\r\n" + _head(fields) + block + _CRLF + _CRLF
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+def _head(fields: list[tuple[str, str]]) -> bytes:
+    return "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + _CRLF
+
+
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header lines by their names in lower case, whatever case and white space they have."""
+    split = (line.decode("utf-8", "replace").partition(":") for line in lines)
+    return {name.strip().lower(): value.strip() for name, _, value in split}
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes, dict[str, str]]:
+    """Fields, payload and HTTP fields; a record that isn't an HTTP response has its whole block as payload."""
     head, _, rest = data.partition(_CRLF + _CRLF)
-    lines = head.decode().split("\r\n")
-    if lines[0] != "WARC/1.1":
+    version, *lines = head.split(_CRLF)
+    if not version.startswith(b"WARC/1."):
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    length = int(fields["Content-Length"])
+    fields = _fields(lines)
+    length = int(fields["content-length"])
     if rest[length : length + 4] != _CRLF + _CRLF:
         raise ValueError("a record's end is missing")
-    return fields, rest[:length]
+    block = rest[:length]
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return fields, block, {}
+    http, _, payload = block.partition(_CRLF + _CRLF)
+    return fields, payload, _fields(http.split(_CRLF)[1:])
 
 
 class ZipReader:
@@ -121,55 +136,66 @@ class Package:
         at, length = self.zip.locate(INDEX)
         self.index = [line.split(" ") for line in read(at, length).decode().splitlines()]
 
-    def record(self, position: int, length: int) -> tuple[dict[str, str], bytes]:
+    def record(self, position: int, length: int) -> tuple[dict[str, str], bytes, dict[str, str]]:
         if position + length > self.data_length:
             raise ValueError("a record beyond the archive")
         return parse_record(gzip.decompress(self.read(self.data_at + position, length)))
 
-    def records(self) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    def records(self) -> Iterator[tuple[str, dict[str, str], bytes, dict[str, str]]]:
         for name, position, length, *_ in self.index:
             yield (name, *self.record(int(position), int(length)))
 
 
-def _package(data: list[bytes], index: list[str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        stamp = (1980, 1, 1, 0, 0, 0)
-        with z.open(zipfile.ZipInfo(DATA, stamp), "w", force_zip64=True) as f:
-            for part in data:
-                f.write(part)
-        z.writestr(zipfile.ZipInfo(INDEX, stamp), "".join(line + "\n" for line in index))
-    return out.getvalue()
+class _PackageWriter:
+    """A package that goes to its stream record by record; only the index is held."""
+
+    def __init__(self, out):
+        self.out, self.index, self.at = out, [], 0
+        self.zip = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+        self.data = self.zip.open(zipfile.ZipInfo(DATA, _STAMP), "w", force_zip64=True)
+
+    def add(self, record: bytes, name: str, note: str) -> None:
+        self.data.write(record)
+        self.index.append(f"{name} {self.at} {len(record)} {note}\n")
+        self.at += len(record)
 
+    def close(self) -> int:
+        """The package's bytes."""
+        self.data.close()
+        self.zip.writestr(zipfile.ZipInfo(INDEX, _STAMP), "".join(self.index))
+        self.zip.close()
+        size = self.out.tell()
+        self.out.close()
+        return size
 
-def write_packages(records: DataFrame, folder: str, package_bytes: int = 64 << 20) -> DataFrame:
-    """Write (key, uri, payload, digest, record_type, refers_to); the manifest table."""
+
+def write_packages(records: DataFrame, folder: str, package_bytes: int = 64 << 20, date: str | None = None) -> DataFrame:
+    """Write (page_id, url, payload, payload_digest, record_type, refers_to); the manifest table.
+
+    date is the records' WARC-Date, by default the time of this call.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = open_filesystem(f"{folder}/packages")
         files.create_dir(root, recursive=True)
-        data, index, at, made = [], [], 0, []
-
-        def flush() -> None:
-            nonlocal at
-            name, body = f"{uuid.uuid4().hex}.wacz", _package(data, index)
-            with files.open_output_stream(f"{root}/{name}") as out:
-                out.write(body)
-            made.append((f"{folder}/packages/{name}", len(body), len(index)))
-            data.clear()
-            index.clear()
-            at = 0
+        package, name, made = None, "", []
 
-        for batch in batches:
+        def close() -> None:
+            made.append((f"{folder}/packages/{name}", package.close(), len(package.index)))
+
+        for batch in slices(batches):
             for key, uri, payload, digest, kind, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record = gzip.compress(warc_record(kind, "null" if key is None else str(key), uri, payload, digest, None if refers is None else str(refers)), 5, mtime=0)
-                if index and at + len(record) > package_bytes:
-                    flush()
-                data.append(record)
-                index.append(f"{'null' if key is None else key} {at} {len(record)} {kind} {digest}")
-                at += len(record)
-        if index:
-            flush()
+                record = gzip.compress(warc_record(kind, "null" if key is None else str(key), uri, payload, digest, None if refers is None else str(refers), date), 5, mtime=0)
+                if package and package.at + len(record) > package_bytes:
+                    close()
+                    package = None
+                if package is None:
+                    name = f"{uuid.uuid4().hex}.wacz"
+                    package = _PackageWriter(files.open_output_stream(f"{root}/{name}"))
+                package.add(record, "null" if key is None else str(key), f"{kind} {digest}")
+        if package:
+            close()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), [pa.string(), pa.int64(), pa.int64()], strict=True)], ["path", "bytes", "n_records"])
 
@@ -190,12 +216,11 @@ def read_packages(manifest: DataFrame) -> DataFrame:
                 files, name = open_filesystem(path)
                 with files.open_input_file(name) as f:
                     rows = []
-                    for key, fields, payload in Package(lambda at, n, f=f: f.read_at(n, at), size).records():
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if fields["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                    for key, fields, payload, http in Package(lambda at, n, f=f: f.read_at(n, at), size).records():
+                        digest, kind, refers = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"], fields.get("warc-refers-to")
+                        if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(http["content-length"])):
                             raise ValueError(f"record {key} of {path} is broken")
-                        refers = fields.get("WARC-Refers-To")
-                        rows.append((None if key == "null" else int(key), int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], refers and int(refers.removeprefix("<urn:page:").rstrip(">"))))
+                        rows.append((None if key == "null" else int(key), int(http["content-length"]), digest, kind, refers and int(refers.removeprefix("<urn:page:").rstrip(">"))))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
