@@ -10,9 +10,15 @@ its best row adds beyond it.
 For a query, lists are sorted by bound. Lists with small bounds that together
 can't lift a row from the base bound to the k-th best score are non-essential;
 rows in no essential list are never looked at. The rows of the essential lists
-are probed in the other dimensions, largest bounds first, and dropped as soon
-as what is left can't bring them to the k-th best score. Shards' results are
-merged by rank.
+are probed in the other dimensions, largest weights first, and dropped as soon
+as what is left can't bring them to the k-th best score: that is at most the sum
+of the terms' bounds, and at most the product of the lengths of the query's and
+the row's rests. Shards' results are merged by rank.
+
+How much the split spares depends on the vectors. Where most components are zero,
+most rows are in no essential list. Where all are of about the same size, as in
+dense embeddings, the base bound alone exceeds the k-th score and every row is
+probed, as far as the rests' lengths let it.
 """
 
 from __future__ import annotations
@@ -24,26 +30,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm._common import runs
+from sedimark.llm._common import ragged, runs
 
 PROBE = 8
+MOST_CODE = 1 << 23
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and floor(scale * x) of each component, as long.
 
     Rows with a null id, a null vector, or a null, infinite or not-a-number
-    component are left out.
+    component are left out. Codes beyond MOST_CODE are set to it, so that scores
+    of up to 2^16 dimensions fit 64 bits.
     """
-    x = F.col("embedding")
+    x, most = F.col("embedding"), F.lit(float(MOST_CODE))
     good = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda v: F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False)))
-    return vectors.filter(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("codes"))
+    return vectors.filter(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.greatest(F.least(v.cast("double") * scale, most), -most))).alias("codes"))
 
 
 class Shard:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
+        self.columns, self.squares = np.ascontiguousarray(self.rows.T), (self.rows.astype(np.float64) ** 2).sum(axis=1)
+        self.looked_at = self.probed = 0
         n, dims = self.rows.shape
         by = np.argsort(self.rows, axis=0, kind="stable")
         quarter = n // 4
@@ -83,14 +93,25 @@ class Shard:
             for rows in lists[:essential]:
                 member[rows] = True
             found = np.flatnonzero(member & (self.ids != own))
-        partial = np.zeros(len(found), dtype=np.int64)
-        remaining = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0]])
-        for at in range(0, len(order), PROBE):
-            dims = order[at : at + PROBE]
-            partial = partial + self.rows[np.ix_(found, dims)] @ query[dims]
+        self.looked_at += len(found)
+        partial, squares = np.zeros(len(found), dtype=np.int64), self.squares[found]
+        probes = np.argsort(-np.abs(query), kind="stable")
+        weights = query[probes].astype(np.float64) ** 2
+        rests = np.sqrt(np.concatenate([np.cumsum(weights[::-1])[::-1], [0]]))
+        remaining = np.concatenate([np.cumsum(most[probes][::-1])[::-1], [0]])
+        for at in range(0, len(probes), PROBE):
+            whole = len(found) == len(self.ids)
+            for d in probes[at : at + PROBE].tolist():
+                column = self.columns[d] if whole else self.columns[d][found]
+                partial += column * query[d]
+                squares -= column.astype(np.float64) ** 2
+            self.probed += len(found) * min(PROBE, len(probes) - at)
             if kth is not None:
-                open_ = partial + remaining[min(at + PROBE, len(order))] >= kth
-                found, partial = found[open_], partial[open_]
+                after = min(at + PROBE, len(probes))
+                # One more than the rounding of these sums can be.
+                lengths = np.sqrt(np.maximum(squares, 0) + 1) * rests[after] + 1
+                stays = np.flatnonzero(partial + np.minimum(lengths, remaining[after]) >= kth)
+                found, partial, squares = found[stays], partial[stays], squares[stays]
         best = np.lexsort((self.ids[found], -partial))[:k]
         return found[best], partial[best]
 
@@ -104,7 +125,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     queries meets each shard in one task.
     """
     spark = vectors.sparkSession
-    n, n_queries, width = vectors.count(), queries.count(), (vectors.agg(F.max(F.size("codes"))).first()[0] or 0)
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("codes")), F.lit(0))).first()
+    n_queries = queries.count()
     shards, blocks = max(least_shards, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
     part = "shard int, block int, is_query boolean, vec_id long, codes array<long>"
     rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("is_query"), "vec_id", "codes")
@@ -113,9 +135,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["shard", "block"]):
-            matrix = np.zeros((group.num_rows, width), dtype=np.int64)
-            for i, codes in enumerate(group.column("codes").to_pylist()):
-                matrix[i, : len(codes)] = codes
+            matrix, codes = np.zeros((group.num_rows, width), dtype=np.int64), group.column("codes").combine_chunks()
+            lengths = codes.value_lengths().to_numpy()
+            matrix[np.repeat(np.arange(group.num_rows), lengths), ragged(np.zeros(group.num_rows, np.int64), lengths)] = codes.flatten().to_numpy()
             ids, asks = group.column("vec_id").to_numpy(), group.column("is_query").to_numpy()
             if asks.all() or not asks.any():
                 continue
