@@ -43,7 +43,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 tokens."""
-    return pack(docs, tokenizer_path(), end_id=1)
+    return pack(docs, tokenizer_path(), end_id=1, memo_bytes=64 << 20, keep_memo=False)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
