@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, level: int, every: int = 4) -> DataFrame:
-    """Lineage ends every few levels where the session has a checkpoint folder."""
-    if level % every == 0 and df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df
+def _cut(df: DataFrame, level: int = 0, every: int = 4) -> DataFrame:
+    """Lineage ends every few levels, in the session's checkpoint folder; one machine may do with a temporary one."""
+    if level % every:
+        return df
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def _levels(max_depth: int | None):
@@ -42,22 +50,53 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
     return known
 
 
-def on_cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Nodes that lead back to themselves, within max_depth + 1 edges if it is set.
-
-    Nodes without a way in or out are stripped first, again and again, so only the
-    parts that can hold a cycle are searched.
-    """
-    core = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+def _stripped(core: DataFrame) -> DataFrame:
+    """Edges between nodes that have a way in and a way out, again and again."""
     size = core.count()
-    for level in _levels(max_depth):
-        core = _cut(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), level, 2)
-        left = core.count()
-        if left == size:
-            break
-        size = left
-    found = reach(core, core.select(F.col("src").alias("root"), F.col("dst").alias("node")), max_depth)
-    return found.filter("root = node").select("node").distinct()
+    while True:
+        left = core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        core = _cut(left.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        if (now := core.count()) == size:
+            return core
+        size = now
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that lead back to themselves, over any number of edges (src, dst). Edges with a null end don't matter.
+
+    A node with an edge to itself is one. The rest follows from the strongly
+    connected components: every node takes the largest id among those that lead to
+    it as its colour, and those that lead back to the node of their colour without
+    leaving the colour are its component. Components go, and what is left is taken
+    again. No round has more rows than there are edges; pairs of nodes aren't made.
+    """
+    core = _cut(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    found = core.filter("src = dst").select(F.col("src").alias("node"))
+    core = _stripped(core.filter("src <> dst"))
+    while not core.isEmpty():
+        colours = core.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct()
+        while True:
+            handed = core.join(colours.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+            after = _cut(colours.select("node", "colour", F.col("colour").alias("old")).unionByName(handed.withColumn("old", F.lit(None)))
+                         .groupBy("node").agg(F.max("colour").alias("colour"), F.max("old").alias("old")))
+            colours = after.select("node", "colour")
+            if after.filter("colour <> old").isEmpty():
+                break
+        inside = core.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").filter("colour = other")
+        inside = _cut(inside.select("src", "dst", "colour"))
+        members = frontier = colours.filter("node = colour").select("node")
+        while True:
+            back = inside.join(frontier.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+            frontier = _cut(back.join(members, "node", "left_anti"))
+            if frontier.isEmpty():
+                break
+            members = _cut(members.unionByName(frontier))
+        sizes = colours.join(members, "node", "left_semi").groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
+        found = _cut(found.unionByName(colours.join(members, "node", "left_semi").join(sizes, "colour", "left_semi").select("node")).distinct())
+        gone = members
+        core = core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        core = _stripped(_cut(core.select("src", "dst")))
+    return found.distinct()
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
