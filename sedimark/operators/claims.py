@@ -88,7 +88,7 @@ def revision_chain(claims: DataFrame, series: list[str], source: str, value: str
     """claims with prior_id, direction and delta against the latest earlier claim of another source.
 
     claims has claim_id. A claim's prior has the same series and comparable
-    columns. Within such a group rows are folded in order; the last claim and the
+    columns; null is a source like any other. Within such a group rows are folded in order; the last claim and the
     last one of a different source are all that has to be kept.
     """
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"k_{i}") for i, c in enumerate([*series, *comparable])]
@@ -97,7 +97,7 @@ def revision_chain(claims: DataFrame, series: list[str], source: str, value: str
     item = F.struct(*order, F.col("claim_id").alias("_id"), F.col(source).alias("_source"), F.col(value).alias("_value"), F.col(stance).alias("_stance"))
     # The last row of another source is the last row before the run of rows that share this row's source.
     w = Window.partitionBy(*names).orderBy(*order, "claim_id")
-    rows = rows.withColumn("_item", item).withColumn("_new_run", F.coalesce((F.lag(source).over(w) != F.col(source)).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_item", item).withColumn("_new_run", F.when(F.lag("_item").over(w).isNull(), 1).otherwise((~F.lag(source).over(w).eqNullSafe(F.col(source))).cast("int")))
     rows = rows.withColumn("_run", F.sum("_new_run").over(w)).withColumn("_before", F.lag("_item").over(w))
     inside = Window.partitionBy(*names, "_run").orderBy(*order, "claim_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_prior", F.first("_before").over(inside))
