@@ -8,56 +8,48 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import LongType
 
 _TOKEN = re.compile(r"""(?P<text>"(?:[^"]|"")*")|(?P<error>\#(?:REF|NAME|VALUE|DIV/0|N/A|NUM|NULL)[!?]?)|(?P<book>\[[^\]]+\])?(?:(?P<sheet>'(?:[^']|'')+'|[A-Za-z_][\w.]*(?::[A-Za-z_][\w.]*)?)!)?(?P<ref>\$?[A-Za-z]{1,3}\$?\d+(?::\$?[A-Za-z]{1,3}\$?\d+)?|\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3}|\$?\d+:\$?\d+)(?![\w(])|(?P<name>[A-Za-z_\\][\w.]*(?:\[[^\]]*\])?)(?P<call>\()?""")
 
 
-def fuzzy_score(query: str, text: str) -> float | None:
-    """Less is better, None is no match: runs and word starts count for a match, gaps and distance against it."""
-    query, text = query.lower(), text.lower()
-    if not query:
-        return 0.0
-    score, last, run, at = 0.0, -1, 0, 0
-    for i, c in enumerate(text):
-        if at < len(query) and c == query[at]:
-            start = i == 0 or not text[i - 1].isalnum()
-            if i == last + 1:
-                run += 1
-                score -= 5 * run
-            else:
-                run = 0
-                if last >= 0:
-                    score += 2 * (i - last - 1)
-            score += (-10 if start else 0) + 0.1 * i
-            last, at = i, at + 1
-    if at < len(query):
-        swapped = re.fullmatch(r"([a-z]+)(\d+)|(\d+)([a-z]+)", query)
-        if swapped:
-            other = fuzzy_pass("".join(reversed([g for g in swapped.groups() if g])), text)
-            return None if other is None else other + 5
-        return None
-    return score - 100 if query == text else score
-
-
-def fuzzy_pass(query: str, text: str) -> float | None:
-    """fuzzy_score of a query that isn't swapped again."""
-    found = iter(text)
-    return fuzzy_score(query, text) if all(c in found for c in query) else None
+#: What characters a word starts after, and what a match's parts count for.
+WORD_BREAKS, RUN, GAP, START, LATE, WHOLE, SWAPPED = r"[\s\-_./:]", -5.0, 2.0, -10.0, 0.1, -100.0, 5.0
 
 
-def fuzzy(text: Column, query: str) -> Column:
-    """The sum of scores of the query's words; null if one of them doesn't match."""
+def _score_of(query: str, low: Column) -> Column:
+    """Each character of the query is found at its first place after the one before; the score is made of these places."""
+    n = len(query)
+    places = F.aggregate(F.array(*map(F.lit, query)), F.array(F.lit(0)), lambda found, c: F.array_append(found, F.nullif(F.call_function("locate", c, low, F.element_at(found, -1) + 1), F.lit(0))))
+    at = F.slice(places, 2, n)
+    # A 1 for each character right behind the one before: in a run of r of them the first counts once, the next twice.
+    behind = F.array_join(F.zip_with(at, F.slice(places, 1, n), lambda a, b: F.when(a == b + 1, "1").otherwise("0")), "")
+    runs = F.aggregate(F.split(behind, "0"), F.lit(0.0), lambda total, r: total + F.length(r) * (F.length(r) + 1) / 2)
+    gaps = F.element_at(at, -1) - F.element_at(at, 1) - (n - 1)
+    starts = F.size(F.filter(at, lambda p: (p == 1) | F.substr(low, p - 1, F.lit(1)).rlike(WORD_BREAKS)))
+    late = F.aggregate(at, F.lit(0), lambda total, p: (total + p - 1).cast("int"))
+    score = RUN * runs + GAP * gaps + START * starts + LATE * late + F.when(low == query, WHOLE).otherwise(0.0)
+    return F.when(F.element_at(places, -1).isNotNull(), score)
 
-    @F.pandas_udf(DoubleType())
-    def score(values: pd.Series) -> pd.Series:
-        def one(v):
-            parts = [None if v is None else fuzzy_score(w, v) for w in query.split()]
-            return None if None in parts else float(sum(parts))
 
-        return values.map(one).astype("float64")
+def fuzzy_score(query: str, text: Column) -> Column:
+    """Less is better, null is no match: runs and word starts count for a match, gaps and distance against it.
 
-    return score(text)
+    A query of letters and digits that doesn't match is tried the other way round.
+    """
+    query, low = query.lower(), F.lower(text)
+    if not query:
+        return F.when(text.isNotNull(), F.lit(0.0))
+    score = _score_of(query, low)
+    if parts := re.fullmatch(r"([a-z]+)([0-9]+)|([0-9]+)([a-z]+)", query):
+        first, second = (g for g in parts.groups() if g)
+        score = F.coalesce(score, _score_of(second + first, low) + SWAPPED)
+    return score
+
+
+def fuzzy(text: Column, query: str) -> Column:
+    """The sum of scores of the query's words, which white space and slashes part; null if one of them doesn't match."""
+    return sum((fuzzy_score(word, text) for word in re.split(r"[\s/]+", query.strip()) if word), F.when(text.isNotNull(), F.lit(0.0)))
 
 
 def changed_bytes(old: Column, new: Column) -> Column:

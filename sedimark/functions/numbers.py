@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Scale words of amounts, longest first, and what they multiply by.
-SCALES = (("trillion", 1e12), ("billion", 1e9), ("million", 1e6), ("thousand", 1e3), ("十亿", 1e9), ("百万", 1e6), ("万亿", 1e12), ("亿", 1e8), ("千", 1e3), ("万", 1e4), ("bn", 1e9), ("mn", 1e6), ("tn", 1e12))
+#: Scale words of amounts in the order in which they are looked for, and what they multiply by.
+SCALES = (
+    ("万亿", 1e12), ("千亿", 1e11), ("百亿", 1e10), ("十亿", 1e9), ("亿", 1e8), ("千万", 1e7), ("百万", 1e6), ("十万", 1e5), ("万", 1e4), ("千", 1e3),
+    ("trillion", 1e12), ("tn", 1e12), ("billion", 1e9), ("bn", 1e9), ("million", 1e6), ("mn", 1e6), ("mm", 1e6), ("thousand", 1e3), ("k", 1e3),
+)
 #: Words for a currency and its code.
-CURRENCIES = (("人民币", "CNY"), ("元", "CNY"), ("cny", "CNY"), ("rmb", "CNY"), ("港元", "HKD"), ("hkd", "HKD"), ("美元", "USD"), ("usd", "USD"))
+CURRENCIES = (
+    ("人民币", "CNY"), ("rmb", "CNY"), ("cny", "CNY"), ("元", "CNY"), ("美元", "USD"), ("美金", "USD"), ("usd", "USD"), ("us$", "USD"), ("港元", "HKD"), ("港币", "HKD"), ("hkd", "HKD"), ("hk$", "HKD"),
+    ("欧元", "EUR"), ("eur", "EUR"), ("日元", "JPY"), ("jpy", "JPY"), ("新台币", "TWD"), ("台币", "TWD"), ("twd", "TWD"),
+)
+#: How units of basis points, percentage points, percent and multiples end or what they hold.
+UNIT_PATTERNS = {"bp": r"bps?$", "pp": r"(pp|个?百分点)$", "%": "%|percent|百分比", "x": "倍$|multiple", "per_share": r"/(股|share)$|pershare$"}
 
 
 def half_up(value: Column, digits: int = 0) -> Column:
@@ -84,25 +92,24 @@ def quantity(value: Column, unit: Column, currency: Column) -> Column:
     """
     clean = F.lower(F.regexp_replace(F.coalesce(unit, F.lit("")), r"\s+", ""))
     code = F.upper(F.coalesce(currency, F.lit("")))
-    per_share = clean.rlike(r"/(股|share)$|pershare$")
-    bare = F.regexp_replace(clean, r"/(股|share)$|pershare$", "")
-    scale, rest = F.lit(1.0), bare
-    for word, factor in reversed(SCALES):
-        hit = bare.startswith(word)
-        scale = F.when(hit, F.lit(factor)).otherwise(scale)
-        rest = F.when(hit, F.substr(bare, F.lit(len(word) + 1))).otherwise(rest)
-    known = F.lit(None).cast("string")
-    for word, name in reversed(CURRENCIES):
-        known = F.when(rest == word, F.lit(name)).otherwise(known)
+    per_share = clean.rlike(UNIT_PATTERNS["per_share"])
+    bare = F.regexp_replace(clean, UNIT_PATTERNS["per_share"], "")
+    words = "|".join(word for word, _ in SCALES)
+    front, back = F.regexp_extract(bare, rf"^({words})", 1), F.regexp_extract(bare, rf"^.+?({words})$", 1)
+    word = F.when(front != "", front).otherwise(back)
+    factors, codes = F.create_map(*[F.lit(x) for pair in SCALES for x in pair]), F.create_map(*[F.lit(x) for pair in CURRENCIES for x in pair])
+    scale = F.coalesce(factors[word], F.lit(1.0))
+    rest = F.when(front != "", F.substr(bare, F.length(front) + 1)).otherwise(F.left(bare, F.length(bare) - F.length(back)))
+    known = F.when(rest != "", codes[rest])
     known = F.coalesce(known, F.when((rest == "") & (code != ""), code))
     make = lambda v, u, c: F.struct(v.cast("double").alias("value"), u.cast("string").alias("unit"), c.cast("string").alias("currency"))
     none = F.lit(None).cast("string")
     return (
         F.when(value.isNull(), make(value, unit, currency))
-        .when(clean.rlike(r"bps?$"), make(value * 0.01, F.lit("pp"), none))
-        .when(clean.rlike(r"(pp|个?百分点)$"), make(value, F.lit("pp"), none))
-        .when(clean.rlike("%|percent|百分比"), make(value, F.lit("%"), none))
-        .when(clean.rlike("倍$|multiple") | (clean.rlike("x$") & (code == "")), make(value, F.lit("x"), none))
+        .when(clean.rlike(UNIT_PATTERNS["bp"]), make(value * 0.01, F.lit("pp"), none))
+        .when(clean.rlike(UNIT_PATTERNS["pp"]), make(value, F.lit("pp"), none))
+        .when(clean.rlike(UNIT_PATTERNS["%"]), make(value, F.lit("%"), none))
+        .when(clean.rlike(UNIT_PATTERNS["x"]) | (clean.rlike("x$") & (code == "")), make(value, F.lit("x"), none))
         .when(known.isNotNull(), make(value * scale, F.when(per_share, F.lit("元/股")).otherwise(F.lit("元")), known))
         .otherwise(make(value, unit, currency))
     )

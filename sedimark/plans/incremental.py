@@ -59,9 +59,20 @@ def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_windows(load(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.length("text"), 400)
 
 
-@register("fuzzy_ranking")
+_STARTS = "(CASE WHEN {0} = 1 OR regexp_matches(low[{0} - 1], '[\\s_./:-]') THEN -10 ELSE 0 END)"
+
+
+@register(
+    "fuzzy_ranking",
+    f"""WITH p AS (SELECT p_partkey, lower(p_name) AS low FROM part),
+        a AS (SELECT *, instr(low, 'r') AS r, instr(low, 'g') AS g FROM p),
+        b AS (SELECT *, r + instr(substr(low, r + 1), 'e') AS e FROM a WHERE r > 0 AND g > 0 AND instr(substr(low, r + 1), 'e') > 0),
+        s AS (SELECT p_partkey, CASE WHEN r = 1 THEN -5.0 ELSE 0 END + CASE WHEN e = r + 1 THEN -5.0 * (CASE WHEN r = 1 THEN 2 ELSE 1 END) ELSE 2.0 * (e - r - 1) END + {_STARTS.format("r")} + {_STARTS.format("e")} + 0.1 * (r + e - 2)
+               + CASE WHEN low = 're' THEN -100 ELSE 0 END + CASE WHEN g = 1 THEN -5.0 ELSE 0 END + {_STARTS.format("g")} + 0.1 * (g - 1) + CASE WHEN low = 'g' THEN -100 ELSE 0 END AS raw FROM b) SELECT p_partkey, round(raw, 6) AS score FROM s""",
+)
 def fuzzy_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").select("p_partkey", fuzzy(F.col("p_name"), "par 12").alias("score")).filter("score IS NOT NULL")
+    """Parts whose names match both words, with the score to six digits."""
+    return load(spark, sf_dir, "part").select("p_partkey", F.round(fuzzy(F.col("p_name"), "re/g"), 6).alias("score")).filter("score IS NOT NULL")
 
 
 @register(
@@ -87,22 +98,21 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("attempts")).agg(F.count("*").alias("n")).withColumn("wait_ms", backoff_ms(F.col("attempts")))
 
 
-@register("column_labels", "SELECT p_partkey, p_partkey AS back FROM part WHERE p_partkey BETWEEN 1 AND 16384")
+@register("column_labels", "SELECT p_partkey, p_partkey AS back FROM part")
 def column_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spreadsheet column labels there and back."""
-    parts = load(spark, sf_dir, "part").filter(F.col("p_partkey").between(1, 16384))
-    return parts.select("p_partkey", column_number(column_label(F.col("p_partkey"))).cast("long").alias("back"))
+    """Column labels there and back, of every part's number."""
+    return load(spark, sf_dir, "part").select("p_partkey", column_number(column_label(F.col("p_partkey"))).cast("long").alias("back"))
 
 
 @register(
     "periods",
-    "SELECT o_orderkey, strftime(o_orderdate, '%Y') || 'Q' || quarter(o_orderdate) AS quarter, 'FY' || strftime(o_orderdate, '%Y') AS fiscal FROM orders WHERE year(o_orderdate) >= 2000",
+    """SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y') || 'Q' || quarter(o_orderdate) ELSE 'Q' || quarter(o_orderdate) || strftime(o_orderdate, '%Y') END AS quarter,
+              CASE WHEN year(o_orderdate) >= 2000 THEN 'FY' || strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y') || '年' END AS fiscal FROM orders""",
 )
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical periods from two spellings."""
-    orders = load(spark, sf_dir, "orders").filter(F.year("o_orderdate") >= 2000)
+    """Canonical periods from two spellings; years before 2000 are no periods and stay as written."""
     year = F.date_format("o_orderdate", "yyyy")
-    return orders.select("o_orderkey", period(F.concat(F.lit("Q"), F.quarter("o_orderdate"), year)).alias("quarter"), period(F.concat(year, F.lit("年"))).alias("fiscal"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", period(F.concat(F.lit("Q"), F.quarter("o_orderdate"), year)).alias("quarter"), period(F.concat(year, F.lit("年"))).alias("fiscal"))
 
 
 @register("valid_dates", "SELECT count(*) AS n, strftime(max(l_shipdate), '%Y-%m-%d') AS last FROM lineitem")

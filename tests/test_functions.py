@@ -52,10 +52,30 @@ def test_nfkc(spark):
     assert evaluate(spark, text.nfkc(F.col("x")), ("Ａ１",), (None,), schema="x string") == ["A1", None]
 
 
-def test_fuzzy():
-    assert matching.fuzzy_score("abc", "xyz") is None
-    assert matching.fuzzy_score("abc", "abc") < matching.fuzzy_score("abc", "a-b-c") < matching.fuzzy_score("abc", "axxxxbxxxxc")
-    assert matching.fuzzy_score("12ab", "ab12") is not None
+def test_fuzzy(spark):
+    def scores(query, *texts):
+        return evaluate(spark, matching.fuzzy_score(query, F.col("t")), *[(t,) for t in texts], schema="t string")
+
+    assert scores("abc", "xyz", None, "ab") == [None, None, None]
+    # places 0 1 2: runs of 1, 2, 3, one word start, 0.1 * 3, whole
+    assert scores("abc", "ABC", "abcd") == pytest.approx([-30 - 10 + 0.3 - 100, -30 - 10 + 0.3])
+    # places 0 2 4: one run, two gaps of one, three starts
+    assert scores("abc", "a-b-c", "axbxc") == pytest.approx([-5 + 4 - 30 + 0.6, -5 + 4 - 10 + 0.6])
+    assert scores("b", "a(b", "a.b", "a b", "a:b", "a/b", "a_b", "a-b") == pytest.approx([0.2] + [-9.8] * 6)
+    assert scores("12ab", "ab12") == pytest.approx([-50 - 10 + 0.6 - 100 + 5])
+    assert scores("", "x", None) == [0.0, None]
+    both = evaluate(spark, matching.fuzzy(F.col("t"), " ab/cd "), ("ab cd",), ("ab",), (None,), schema="t string")
+    assert both[1:] == [None, None] and both[0] == pytest.approx(scores("ab", "ab cd")[0] + scores("cd", "ab cd")[0])
+
+
+@pytest.mark.parametrize(
+    ("unit", "code", "want"),
+    [("千亿元", "", (2e11, "元", "CNY")), ("百亿美元", "", (2e10, "元", "USD")), ("千万港币", "", (2e7, "元", "HKD")), ("十万", "CNY", (2e5, "元", "CNY")), ("USD mn", "", (2e6, "元", "USD")), ("us$ bn", "", (2e9, "元", "USD")),
+     ("美金", "", (2.0, "元", "USD")), ("k eur", "", (2e3, "元", "EUR")), ("元/股", "", (2.0, "元/股", "CNY")), ("25bps", "", (0.02, "pp", None)), ("新台币", "", (2.0, "元", "TWD")), ("tons", "", (2.0, "tons", "")), ("x", "", (2.0, "x", None))],
+)
+def test_quantities(spark, unit, code, want):
+    got = evaluate(spark, numbers.quantity(F.col("v"), F.col("u"), F.col("c")), (2.0, unit, code), schema="v double, u string, c string")
+    assert tuple(got[0]) == want
 
 
 def test_changed_bytes(spark):

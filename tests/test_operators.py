@@ -36,6 +36,26 @@ def test_revision_chain_skips_the_same_source(spark):
     assert got == {1: (None, "new", None), 2: (None, "new", None), 3: (2, "down", -2.0), 4: (2, "down", -1.5), 5: (4, "changed", None), 6: (None, "new", None)}
 
 
+def test_null_is_a_source_like_any_other(spark):
+    data = [(1, None, 1.0, 1), (2, None, 2.0, 2), (3, "d", 3.0, 3), (4, None, 4.0, 4)]
+    df = spark.createDataFrame([(i, "s", d, v, "buy", at, "元") for i, d, v, at in data], "claim_id int, series string, doc string, v double, stance string, at int, unit string")
+    got = {r.claim_id: r.prior_id for r in claims.revision_chain(df, ["series"], "doc", "v", "stance", ["at"], ["unit"]).collect()}
+    assert got == {1: None, 2: None, 3: 2, 4: 3}
+
+
+def test_cycles_against_all_ways(spark):
+    import random
+
+    rng = random.Random(4)
+    for n, m in ((12, 10), (25, 30), (40, 60)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        leads = {a: {b for x, b in edges if x == a} for a in range(n)}
+        for _ in range(n):
+            leads = {a: to.union(*(leads[b] for b in to)) for a, to in leads.items()}
+        df = spark.createDataFrame([*edges, (None, 1), (1, None)], "src long, dst long")
+        assert {r.node for r in graph.on_cycles(df).collect()} == {a for a, to in leads.items() if a in to}
+
+
 def test_mode_with_share(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1)] + [("d", 1)] * 5 + [("d", i) for i in range(2, 8)], "g string, v int")
     got = {r.g: (r.winner, r.status) for r in claims.mode_with_share(df, ["g"], "v", support=5).collect()}
