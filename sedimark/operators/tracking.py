@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def position_ledger(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The position of each key after its trades in order.
 
@@ -73,3 +72,57 @@ def as_of_valuation(bars: DataFrame, valuations: DataFrame, key: str) -> DataFra
 def alert(return_percent: Column, profit: float, loss: float) -> Column:
     """profit, loss or none by thresholds in percent; loss is given as a positive number."""
     return F.when(return_percent >= profit, "profit").when(return_percent <= -loss, "loss").otherwise("none")
+
+
+def latest_market(bars: DataFrame, quotes: DataFrame, key: str) -> DataFrame:
+    """date, close and as_of of each key: the quote (trade_date, price, as_of) unless a bar (bar_date, close) is later."""
+    bar = bars.groupBy(key).agg(F.max("bar_date").alias("_date"), F.max_by("close", "bar_date").alias("_close"))
+    quote = quotes.groupBy(key).agg(F.max_by(F.struct("trade_date", "price", "as_of"), F.struct("trade_date", "as_of")).alias("_q"))
+    met = bar.join(quote, key, "full_outer")
+    live = F.col("_q").isNotNull() & (F.col("_date").isNull() | (F.col("_q.trade_date") >= F.col("_date")))
+    pick = lambda a, b: F.when(live, F.col(a)).otherwise(b)
+    return met.select(key, pick("_q.trade_date", F.col("_date")).alias("date"), pick("_q.price", F.col("_close")).alias("close"), pick("_q.as_of", F.lit(None)).alias("as_of"))
+
+
+def unchanged_since(versions: DataFrame, key: str, value: str, revision: str = "revision", at: str = "created_at") -> DataFrame:
+    """key, value and since: the newest version's value, and when the last run of versions with that value began.
+
+    The newest and the last different version come from aggregates, so a key's
+    versions are never sorted in one task.
+    """
+    current = versions.groupBy(key).agg(F.max_by(F.struct(value), revision).alias("_now"))
+    told = versions.join(current, key)
+    other = told.filter(~F.col(value).eqNullSafe(F.col(f"_now.{value}"))).groupBy(key).agg(F.max(revision).alias("_other"))
+    run = told.join(other, key, "left").filter(F.col("_other").isNull() | (F.col(revision) > F.col("_other")))
+    return run.groupBy(key).agg(F.first(f"_now.{value}").alias(value), F.min(at).alias("since"))
+
+
+def valuation_status(market_rule: Column, forecast_split: Column, target_date: Column, split_after: Column, error: Column, today: Column) -> Column:
+    """split_review, unavailable (no target_date), expired, split_review, stale or valid, whichever holds first."""
+    return (
+        F.when(market_rule & forecast_split, "split_review")
+        .when(target_date.isNull(), "unavailable")
+        .when(target_date < today, "expired")
+        .when(split_after, "split_review")
+        .when(error.isNotNull(), "stale")
+        .otherwise("valid")
+    )
+
+
+def holdings_at(bars: DataFrame, trades: DataFrame, key: str) -> DataFrame:
+    """bars (key, bar_date) with quantity and invested after all trades (trade_date, quantity, paid) up to that day.
+
+    A trade that is entered late counts from its own date on, so all later bars
+    follow. Trades are added up by day before they meet the bars in one ordered
+    pass, which holds no more than sums.
+    """
+    days = trades.groupBy(key, F.col("trade_date").alias("_day")).agg(F.sum("quantity").alias("_q"), F.sum("paid").alias("_p"))
+    events = days.withColumn("_kind", F.lit(0)).unionByName(bars.select(key, F.col("bar_date").alias("_day")).withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy(key).orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = events.withColumns({"quantity": F.coalesce(F.sum("_q").over(upto), F.lit(0)), "invested": F.coalesce(F.sum("_p").over(upto), F.lit(0))})
+    return run.filter("_kind = 1").select(key, F.col("_day").alias("bar_date"), "quantity", "invested")
+
+
+def closed_bars(bars: DataFrame, today: str, after_close: bool) -> DataFrame:
+    """Bars without today's while its venue is open."""
+    return bars.filter(F.col("bar_date") <= F.lit(today).cast("date")) if after_close else bars.filter(F.col("bar_date") < F.lit(today).cast("date"))
