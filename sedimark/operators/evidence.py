@@ -72,17 +72,22 @@ def issuer_scores(docs: DataFrame, aliases: DataFrame, head: int = 1800, body: i
     """The best issuers of each document (doc_id, filename, text) by where their aliases (issuer_key, alias) occur.
 
     A name in the file name weighs 0.60, at the head and the tail 0.17 each time up
-    to 0.34, in the body 0.02 up to 0.10. The alias list is a dimension of bounded
-    size and is sent to every task.
+    to 0.34, in the body 0.02 up to 0.10. Documents meet the aliases by the pairs of
+    characters that they hold, an equal join on an alias's first pair at any number
+    of aliases; what meets is then looked for in full.
     """
     low = F.lower(F.coalesce("text", F.lit("")))
     places = docs.select("doc_id", F.lower("filename").alias("_file"), F.substring(low, 1, head).alias("_head"), F.substr(low, F.greatest(F.lit(1), F.length(low) - head + 1), F.lit(head)).alias("_tail"), F.substring(low, 1, body).alias("_body"))
-    listed = aliases.select("issuer_key", F.lower("alias").alias("_a")).groupBy().agg(F.collect_set(F.struct("issuer_key", "_a")).alias("_all"))
-    pairs = places.crossJoin(F.broadcast(listed)).withColumn("_x", F.explode("_all"))
-    a = F.col("_x._a")
+    listed = aliases.select("issuer_key", F.lower("alias").alias("_a")).filter("_a <> ''").distinct().withColumn("_pair", F.left("_a", F.lit(2)))
+    held = F.concat_ws("\n", "_file", "_head", "_tail", "_body")
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(held)))
+    both = F.flatten(F.transform(at, lambda i: F.array(F.substr(held, i, F.lit(1)), F.substr(held, i, F.lit(2)))))
+    met = places.select("doc_id", F.explode(F.array_distinct(both)).alias("_pair")).join(listed, "_pair").select("doc_id", "issuer_key", "_a").distinct()
+    pairs = met.join(places, "doc_id")
+    a = F.col("_a")
     count = lambda where, weight, cap: F.least(F.lit(cap), occurrences(F.col(where), a) * weight)
     score = F.when(F.contains("_file", a), 0.60).otherwise(0.0) + count("_head", 0.17, 0.34) + count("_tail", 0.17, 0.34) + count("_body", 0.02, 0.10)
-    best = pairs.select("doc_id", F.col("_x.issuer_key").alias("issuer_key"), F.round(F.least(F.lit(1.0), score), 4).alias("score")).filter("score > 0").groupBy("doc_id", "issuer_key").agg(F.max("score").alias("score"))
+    best = pairs.select("doc_id", "issuer_key", F.round(F.least(F.lit(1.0), score), 4).alias("score")).filter("score > 0").groupBy("doc_id", "issuer_key").agg(F.max("score").alias("score"))
     place = Window.partitionBy("doc_id").orderBy(F.desc("score"), "issuer_key")
     return best.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
 

@@ -51,9 +51,11 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@register("anti_join", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("anti_join", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    """Customers without an urgent order that is pending."""
+    urgent = load(spark, sf_dir, "orders").filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
+    return load(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @register("leaf_turns", "SELECT c.conv_id, c.turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)")
@@ -123,10 +125,10 @@ def merged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("set_difference", "SELECT l_suppkey FROM lineitem EXCEPT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
+@register("set_difference", "SELECT l_partkey FROM lineitem EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem")
-    return lines.select("l_suppkey").distinct().join(lines.filter("l_returnflag = 'R' AND l_quantity > 45").select("l_suppkey"), "l_suppkey", "left_anti")
+    return lines.select("l_partkey").distinct().join(lines.filter("l_returnflag = 'R' AND l_quantity > 45").select("l_partkey"), "l_partkey", "left_anti")
 
 
 @register(

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from sedimark.operators import documents, reviews, tracking, writes
+from sedimark.sources import feeds
 
 
 def rows(df):
@@ -124,3 +126,16 @@ def test_status_and_open_bars(spark):
     assert got == ["split_review", "unavailable", "expired", "split_review", "stale", "valid"]
     bars = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 1, 2),), (dt.date(2024, 1, 3),)], "bar_date date")
     assert tracking.closed_bars(bars, "2024-01-02", False).count() == 1 and tracking.closed_bars(bars, "2024-01-02", True).count() == 2
+
+
+def test_broken_feeds_are_refused_or_listed(spark):
+    for bad in ('{"columns":["d","a","a"],"data":[]}', '{"columns":["d","a"],"data":[["2026-01-01"]]}', "no json"):
+        with pytest.raises(Exception, match="market table"):
+            feeds.market_table(spark.createDataFrame([(bad,)], "json string"), refuse=True).collect()
+    good, uneven = '{"accessionNumber":["a"],"filingDate":["2026-01-02"],"form":["f"],"primaryDocument":["p"]}', '{"accessionNumber":["a"],"filingDate":[],"form":["f"],"primaryDocument":["p"]}'
+    raw = spark.createDataFrame([(good,), (uneven,), ("no",), (None,)], "json string")
+    assert {r.json for r in feeds.bad_filings(raw).collect()} == {uneven, "no", None}
+    with pytest.raises(Exception, match="one length"):
+        feeds.filings(raw, ["f"], "2026-01-01", "2026-12-31", refuse=True).collect()
+    with pytest.raises(Exception, match="too many"):
+        feeds.html_rows(spark.createDataFrame([("<tr></tr><tr></tr>",)], "html string"), most=1).collect()
