@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.functions.numbers import period
 from sedimark.functions.text import nfkc, occurrences
 
 #: Dashes and quotes that count as one, and what they become.
@@ -121,3 +122,13 @@ def named_documents(docs: DataFrame, name: str, wanted: str) -> DataFrame:
     ranked = docs.withColumn("_tier", tier).filter("_tier IS NOT NULL")
     best = ranked.agg(F.min("_tier").alias("_best"))
     return ranked.join(F.broadcast(best), F.col("_tier") == F.col("_best")).drop("_tier", "_best")  # one row
+
+
+#: Fixed value: how periods are written inside a sentence.
+PERIOD_WORDS = r"((?:fy|cy)?20\d{2}(?:\s*(?:年|[eaf]|h[12]|q[1-4]|[上下]半年|[一二三四1-4]季度))*|(?:fy|cy|[1-4]q|q[1-4]|[12]h|h[12])\d{2}|(?<!\d)\d{2}[eaf年])"
+
+
+def period_quoted(canonical: Column, text: Column) -> Column:
+    """Whether one of the periods that a text names is the canonical one; other digits of the text don't count."""
+    named = F.regexp_extract_all(F.lower(nfkc(text)), F.lit(PERIOD_WORDS), F.lit(1))
+    return F.coalesce(F.exists(named, lambda p: period(p) == canonical), F.lit(False))

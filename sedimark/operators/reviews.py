@@ -130,3 +130,21 @@ def display_amount(value: Column, currency: Column) -> Column:
     local = F.when(size >= 1e8, F.concat(display_number(value / 1e8), F.lit(" 亿元"))).when(size >= 1e4, F.concat(display_number(value / 1e4), F.lit(" 万元"))).otherwise(F.concat(display_number(value, 2), F.lit(" 元")))
     scale, word = F.when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).otherwise(1.0), F.when(size >= 1e9, "bn").when(size >= 1e6, "mn").otherwise("")
     return F.when(home, local).otherwise(F.concat(currency, F.lit(" "), display_number(value / scale, 2), word))
+
+
+def session_fold(entries: DataFrame, session: list[str], order: str) -> DataFrame:
+    """first_at, last_at, most_tokens, compaction_tokens (at the first compaction), messages and compactions of each session.
+
+    entries has at, kind (message, compaction or anything) and tokens. All of it is
+    one aggregation, combined before the shuffle.
+    """
+    compaction = F.col("kind") == "compaction"
+    return entries.groupBy(*session).agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("tokens").alias("most_tokens"),
+        F.min_by("tokens", F.when(compaction, F.col(order))).alias("compaction_tokens"), F.count_if(F.col("kind") == "message").alias("messages"), F.count_if(compaction).alias("compactions"),
+    )
+
+
+def worst(rows: DataFrame, ratio: str, size: str, name: str, limit: int) -> DataFrame:
+    """The rows of the largest ratios (none counts as infinite), then of the largest sizes, then by name."""
+    return rows.orderBy(F.desc_nulls_first(ratio), F.desc(size), name).limit(limit)

@@ -199,3 +199,23 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = load(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("x"), F.lit(5).alias("width"))
     return documents.gap_groups(tokens, ["user_id"], 40).select("user_id", "event_id", "group_no")
+
+
+@register(
+    "session_fold",
+    """SELECT user_id, min(event_id) AS first_at, max(event_id) AS last_at, max(length(props)) AS most_tokens, arg_min(length(props), event_id) FILTER (event_type = 'purchase') AS compaction_tokens,
+              count(*) FILTER (event_type = 'click') AS messages, count(*) FILTER (event_type = 'purchase') AS compactions FROM events GROUP BY 1""",
+)
+def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "message").when(F.col("event_type") == "purchase", "compaction")
+    entries = load(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("at"), kind.alias("kind"), F.length("props").alias("tokens"))
+    return reviews.session_fold(entries, ["user_id"], "event_id")
+
+
+@register(
+    "worst",
+    """SELECT p_partkey, p_size, CASE WHEN p_size % 10 > 0 THEN p_retailprice / (p_size % 10) END AS ratio FROM part ORDER BY ratio DESC NULLS FIRST, p_size DESC, p_partkey LIMIT 50""",
+)
+def worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "part").select("p_partkey", "p_size", F.try_divide("p_retailprice", F.col("p_size") % 10).alias("ratio"))
+    return reviews.worst(rows, "ratio", "p_size", "p_partkey", 50)

@@ -139,3 +139,11 @@ def test_broken_feeds_are_refused_or_listed(spark):
         feeds.filings(raw, ["f"], "2026-01-01", "2026-12-31", refuse=True).collect()
     with pytest.raises(Exception, match="too many"):
         feeds.html_rows(spark.createDataFrame([("<tr></tr><tr></tr>",)], "html string"), most=1).collect()
+
+
+def test_periods_are_found_in_quotes(spark):
+    from sedimark.operators import evidence
+
+    cases = [("FY2026", "revenue in 2026E grew 20%"), ("FY2026", "page 2026 of 2027"), ("2026H1", "in 1H26, sales"), ("FY2026", "26E sales"), ("FY2027", "2026E sales"), ("FY2026", "no period"), ("FY2026", None)]
+    df = spark.createDataFrame(cases, "p string, t string")
+    assert [r[0] for r in df.select(evidence.period_quoted(F.col("p"), F.col("t"))).collect()] == [True, True, True, True, False, False, False]
