@@ -8,6 +8,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from sedimark.functions.folds import folded
 from pyspark.sql.types import LongType
 
 _TOKEN = re.compile(r"""(?P<text>"(?:[^"]|"")*")|(?P<error>\#(?:REF|NAME|VALUE|DIV/0|N/A|NUM|NULL)[!?]?)|(?P<book>\[[^\]]+\])?(?:(?P<sheet>'(?:[^']|'')+'|[A-Za-z_][\w.]*(?::[A-Za-z_][\w.]*)?)!)?(?P<ref>\$?[A-Za-z]{1,3}\$?\d+(?::\$?[A-Za-z]{1,3}\$?\d+)?|\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3}|\$?\d+:\$?\d+)(?![\w(])|(?P<name>[A-Za-z_\\][\w.]*(?:\[[^\]]*\])?)(?P<call>\()?""")
@@ -112,15 +114,16 @@ def references(formula: Column) -> Column:
 def greedy_windows(pages: DataFrame, keys: list[str], order: str, size: Column, limit: int, most: int = 12) -> DataFrame:
     """window of each page: pages fill windows of limit in order; what comes after most windows gets null.
 
-    The fold keeps only where windows start, so a document's state is small.
+    A document's pages stream through the fold in order, which keeps two numbers.
     """
-    rows = pages.select(*keys, F.col(order).alias("_o"), size.cast("long").alias("_s")).filter("_s > 0")
-    start = F.struct(F.lit(0).alias("window"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:long,w:int>>").alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
-        turn = (s["used"] > 0) & (s["used"] + p["_s"] > limit)
-        window = F.when(turn, s["window"] + 1).otherwise(s["window"])
-        return F.struct(window.alias("window"), F.when(turn, p["_s"]).otherwise(s["used"] + p["_s"]).alias("used"), F.concat(s["out"], F.array(F.struct(p["_o"].cast("long").alias("o"), window.cast("int").alias("w")))).alias("out"))
+    def fill(rows):
+        window = used = 0
+        for at, length in rows:
+            if used and used + length > limit:
+                window, used = window + 1, 0
+            used += length
+            yield at, window if window < most else None
 
-    folded = rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_o", "_s"))), start, step, lambda s: s["out"]).alias("out"))
-    return folded.select(*keys, F.inline("out")).select(*keys, F.col("o").alias(order), F.when(F.col("w") < most, F.col("w")).alias("window"))
+    rows = pages.select(*keys, F.col(order).cast("long").alias("_o"), size.cast("long").alias("_s")).filter("_s > 0")
+    return folded(rows, keys, ["_o", "_s"], fill, "_o long, window int").withColumnRenamed("_o", order)

@@ -18,17 +18,35 @@ def active(df: DataFrame, history: bool = False) -> Column:
     return out
 
 
+def numbered_within(df: DataFrame, key: str, order: str, span: int = 65_536) -> DataFrame:
+    """df with _n, the place of each row among its key's rows by order (a whole number, nulls first).
+
+    Rows are numbered within spans of order, and the spans' counts are added up
+    before them, so that a hot key is spread over its spans.
+    """
+    cut = df.withColumn("_span", F.floor(F.col(order) / span))
+    counts = cut.groupBy(key, "_span").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = cut.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_span").orderBy(order)))
+    met = inner.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & F.col("_span").eqNullSafe(F.col("_s")))
+    return met.withColumn("_n", F.col("_n") + F.col("_before")).drop("_span", "_k", "_s", "_before")
+
+
 def registered(catalog: DataFrame, incoming: DataFrame, logical: str, checksum: str) -> DataFrame:
     """The catalog after a registration: known checksums are reused, new ones are the next version.
 
     catalog has logical, checksum, version_no and is_current; incoming has logical,
-    checksum and ord, the order in which several versions of one id arrive.
+    checksum and ord, a number for the order in which several versions of one id
+    arrive; a checksum that comes several times counts once, as first seen.
     """
-    new = incoming.dropDuplicates([logical, checksum]).join(catalog.select(logical, checksum), [logical, checksum], "left_anti")
+    seen = incoming.groupBy(logical, checksum).agg(F.min("ord").alias("ord"))
+    new = seen.join(catalog.select(logical, checksum), [logical, checksum], "left_anti")
     top = catalog.groupBy(logical).agg(F.max("version_no").alias("_top"))
-    numbered = new.join(top, logical, "left").withColumn("version_no", (F.coalesce("_top", F.lit(0)) + F.row_number().over(Window.partitionBy(logical).orderBy("ord"))).cast("int"))
+    numbered = numbered_within(new, logical, "ord").join(top, logical, "left").withColumn("version_no", (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("int"))
     both = catalog.select(logical, checksum, "version_no").unionByName(numbered.select(logical, checksum, "version_no"))
-    return both.withColumn("is_current", F.col("version_no") == F.max("version_no").over(Window.partitionBy(logical)))
+    newest = both.groupBy(logical).agg(F.max("version_no").alias("_newest"))
+    return both.join(newest, logical).withColumn("is_current", F.col("version_no") == F.col("_newest")).drop("_newest")
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

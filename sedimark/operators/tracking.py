@@ -5,6 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.functions.folds import folded
+
+
+def _position(trades):
+    """The state after one key's trades: (quantity, cost, invested, realized, dividends, error)."""
+    qty = cost = invested = realized = dividends = 0.0
+    error = None
+    for kind, quantity, price, fee, amount, ratio in (t[-6:] for t in trades):
+        if kind == "buy":
+            paid = quantity * price + fee
+            qty, cost, invested = qty + quantity, cost + paid, invested + paid
+        elif kind == "sell":
+            if quantity > qty + 1e-8:
+                error = "oversell"
+                break
+            removed = cost * (quantity / qty) if qty else 0.0
+            realized += quantity * price - fee - removed
+            left = qty - quantity
+            qty, cost = (0.0, 0.0) if abs(left) < 1e-8 else (left, cost - removed)
+        elif qty <= 0:
+            error = "no holding"
+            break
+        elif kind == "dividend":
+            dividends += amount
+        else:
+            qty *= ratio
+    yield qty, cost, invested, realized, dividends, error
+
 
 def position_ledger(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The position of each key after its trades in order.
@@ -13,31 +41,11 @@ def position_ledger(trades: DataFrame, keys: list[str], order: list[str]) -> Dat
     ratio. Average cost includes buying fees; a sale takes cost out in proportion;
     a rest below 1e-8 is nothing. A sale of more than is held, or a dividend or
     split without a holding, sets error and leaves the rest of the trades out.
+    A security's trades stream through in order, as sorted by Spark.
     """
-    rows = trades.select(*keys, F.struct(*order, "kind", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("quantity", "price", "fee", "amount", "ratio")]).alias("t"))
-    start = F.struct(*[F.lit(0.0).alias(n) for n in ("qty", "cost", "invested", "realized", "dividends")], F.lit(None).cast("string").alias("error"))
-
-    def step(s: Column, t: Column) -> Column:
-        def state(qty=s["qty"], cost=s["cost"], invested=s["invested"], realized=s["realized"], dividends=s["dividends"], error=F.lit(None).cast("string")) -> Column:
-            return F.struct(*[c.alias(n) for c, n in ((qty, "qty"), (cost, "cost"), (invested, "invested"), (realized, "realized"), (dividends, "dividends"), (error, "error"))])
-
-        paid = t["quantity"] * t["price"] + t["fee"]
-        removed = s["cost"] * F.try_divide(t["quantity"], s["qty"])
-        left = s["qty"] - t["quantity"]
-        gone = F.abs(left) < 1e-8
-        zero = F.lit(0.0)
-        return (
-            F.when(s["error"].isNotNull(), s)
-            .when(t["kind"] == "buy", state(qty=s["qty"] + t["quantity"], cost=s["cost"] + paid, invested=s["invested"] + paid))
-            .when((t["kind"] == "sell") & (t["quantity"] > s["qty"] + 1e-8), state(error=F.lit("oversell")))
-            .when(t["kind"] == "sell", state(qty=F.when(gone, zero).otherwise(left), cost=F.when(gone, zero).otherwise(s["cost"] - removed), realized=s["realized"] + t["quantity"] * t["price"] - t["fee"] - removed))
-            .when(s["qty"] <= 0, state(error=F.lit("no holding")))
-            .when(t["kind"] == "dividend", state(dividends=s["dividends"] + t["amount"]))
-            .otherwise(state(qty=s["qty"] * t["ratio"]))
-        )
-
-    folded = rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("t")), start, step).alias("p"))
-    return folded.select(*keys, "p.*")
+    numbers = ["quantity", "price", "fee", "amount", "ratio"]
+    rows = trades.select(*keys, *order, "kind", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers])
+    return folded(rows, keys, [*order, "kind", *numbers], _position, "qty double, cost double, invested double, realized double, dividends double, error string")
 
 
 def with_returns(positions: DataFrame, price: Column) -> DataFrame:
@@ -48,19 +56,50 @@ def with_returns(positions: DataFrame, price: Column) -> DataFrame:
     return out.withColumns({"return_percent": F.try_divide("total_return", "invested") * 100, "unrealized_return_percent": F.try_divide("unrealized", "cost") * 100})
 
 
+#: Blocks of days have 1, 4, 16, ... days: two bits a level, as many levels as span 45 years.
+_BITS, _LEVELS = 2, 8
+
+
+def _at_level(blocks: Column, level: int) -> Column:
+    return F.transform(blocks, lambda n: F.struct(F.lit(level).alias("level"), n.alias("block")))
+
+
+def _day_blocks(first: Column, last: Column) -> Column:
+    """The fewest blocks (level, block) that together are the days first to last, ends included; none for an empty span."""
+    start, stop = F.unix_date(first), F.unix_date(last) + 1
+    above = lambda k: -F.shiftright(-start, _BITS * k)  # noqa: E731  the first block from start on
+    below = lambda k: F.shiftright(stop, _BITS * k)  # noqa: E731  the first block that doesn't end by stop
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    parts = []
+    for k in range(_LEVELS):
+        blocks = run(above(k), below(k))
+        if k + 1 < _LEVELS:
+            a, b = above(k + 1), below(k + 1)
+            blocks = F.when(a < b, F.concat(run(above(k), a * (1 << _BITS)), run(b * (1 << _BITS), below(k)))).otherwise(blocks)
+        parts.append(_at_level(blocks, k))
+    return F.concat(*parts)
+
+
 def as_of_valuation(bars: DataFrame, valuations: DataFrame, key: str) -> DataFrame:
     """Each bar (key, bar_date, close) with the valuation that holds on its day.
 
     valuations has key, effective_date, effective_at, seq, target_date, bear, base
     and bull. The last by (effective_date, effective_at, seq) of those with
     effective_date <= bar_date counts; only if its target_date has come, an
-    earlier one whose target_date hasn't is taken. Bars and valuations of a key
-    are joined and reduced by an aggregate, so a key's rows never meet in one sort.
+    earlier one whose target_date hasn't is taken.
+
+    A valuation holds for a span of days, which is cut into blocks of 1, 4, 16, ...
+    days; the best of each block is one row, found by an aggregate, and a bar looks
+    at the one block of each level that its day is in. So the work grows with bars
+    and valuations, not with their pairs, and a hot key is spread over its blocks.
     """
-    b = bars.withColumn("_bar", F.struct(key, "bar_date", "close"))
-    v = valuations.select(F.col(key).alias("_key"), "effective_date", "effective_at", "seq", "target_date", "bear", "base", "bull")
-    hits = b.join(v, (F.col(key) == F.col("_key")) & (F.col("effective_date") <= F.col("bar_date")) & (F.col("target_date") >= F.col("bar_date")), "left")
-    best = hits.groupBy("_bar").agg(F.max_by(F.struct("effective_date", "seq", "bear", "base", "bull"), F.struct("effective_date", "effective_at", "seq")).alias("v"))
+    spans = valuations.select(F.col(key).alias("_key"), F.struct("effective_date", "effective_at", "seq", "bear", "base", "bull").alias("_v"), F.inline(_day_blocks(F.to_date("effective_date"), F.to_date("target_date"))))
+    blocks = spans.groupBy("_key", "level", "block").agg(F.max("_v").alias("_v"))
+    day = F.unix_date(F.to_date("bar_date"))
+    looks = F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright(day, _BITS * k).alias("_block")) for k in range(_LEVELS)])
+    b = bars.select(F.struct(key, "bar_date", "close").alias("_bar"), F.col(key).alias("_of"), F.inline(looks))
+    hits = b.join(blocks, (F.col("_of") == F.col("_key")) & (F.col("_level") == F.col("level")) & (F.col("_block") == F.col("block")), "left")
+    best = hits.groupBy("_bar").agg(F.max("_v").alias("v"))
     close, bear, base, bull = F.col("_bar.close"), F.col("v.bear"), F.col("v.base"), F.col("v.bull")
     return best.select(
         F.col(f"_bar.{key}").alias(key), F.col("_bar.bar_date").alias("bar_date"), close.alias("close"), F.col("v.seq").alias("valuation_seq"),

@@ -17,7 +17,11 @@ from sedimark.streaming import feeds
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("streams need spark.checkpoint.dir, a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -53,7 +57,13 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@register("greedy_windows")
+@register(
+    "greedy_windows",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS r FROM conversations WHERE length(text) > 0),
+       f AS (SELECT conv_id, turn, r, s AS used, 0 AS w FROM t WHERE r = 1
+             UNION ALL SELECT t.conv_id, t.turn, t.r, CASE WHEN f.used + t.s > 400 THEN t.s ELSE f.used + t.s END, f.w + CASE WHEN f.used + t.s > 400 THEN 1 ELSE 0 END FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1)
+       SELECT conv_id, turn, CASE WHEN w < 12 THEN w END AS "window" FROM f""",
+)
 def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns packed into windows of 400 characters of their conversation."""
     return greedy_windows(load(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.length("text"), 400)

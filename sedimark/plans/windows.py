@@ -153,14 +153,28 @@ def as_of_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4, "upside", "downside", "reward_risk")
 
 
-@register("position_ledger")
+@register(
+    "position_ledger",
+    """WITH RECURSIVE l AS (SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, l_returnflag = 'R' AS sale, l_quantity AS quantity, l_extendedprice / l_quantity AS price, l_tax AS fee FROM lineitem),
+       t AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, NOT sale, quantity, price, fee) AS r FROM l),
+       p AS (SELECT DISTINCT l_partkey, CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS qty, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS invested, CAST(0 AS DOUBLE) AS realized, CAST(NULL AS VARCHAR) AS error FROM l
+             UNION ALL SELECT p.l_partkey, t.r, CASE WHEN NOT sale THEN qty + quantity WHEN quantity > qty + 1e-8 THEN qty WHEN abs(qty - quantity) < 1e-8 THEN 0 ELSE qty - quantity END,
+                              CASE WHEN NOT sale THEN cost + (quantity * price + fee) WHEN quantity > qty + 1e-8 THEN cost WHEN abs(qty - quantity) < 1e-8 THEN 0 ELSE cost - cost * (quantity / qty) END,
+                              CASE WHEN NOT sale THEN invested + (quantity * price + fee) ELSE invested END,
+                              CASE WHEN NOT sale OR quantity > qty + 1e-8 THEN realized ELSE realized + (quantity * price - fee - cost * (quantity / qty)) END,
+                              CASE WHEN sale AND quantity > qty + 1e-8 THEN 'oversell' END
+             FROM p JOIN t ON t.l_partkey = p.l_partkey AND t.r = p.r + 1 WHERE p.error IS NULL),
+       e AS (SELECT *, CASE WHEN qty = 0 THEN 0 ELSE qty * 1000 END AS market FROM p QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY r DESC) = 1)
+       SELECT l_partkey, round(qty, 4) AS qty, round(cost, 4) AS cost, round(invested, 4) AS invested, round(realized, 4) AS realized, error, round(market - cost + realized, 4) AS total_return, round(CASE WHEN invested <> 0 THEN (market - cost + realized) / invested * 100 END, 4) AS return_percent FROM e""",
+)
 def position_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trades of their part: returned ones are sales."""
     lines = load(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("kind"), F.col("l_quantity").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_tax").alias("fee"), F.lit(0.0).alias("amount"), F.lit(1.0).alias("ratio"),
     )
-    return tracking.with_returns(tracking.position_ledger(lines, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"]), F.lit(1000.0))
+    out = tracking.with_returns(tracking.position_ledger(lines, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"]), F.lit(1000.0))
+    return rounded(out, 4, "qty", "cost", "invested", "realized", "total_return", "return_percent").select("l_partkey", "qty", "cost", "invested", "realized", "error", "total_return", "return_percent")
 
 
 @register(
