@@ -80,7 +80,28 @@ def _day_blocks(first: Column, last: Column) -> Column:
     return F.concat(*parts)
 
 
-def as_of_valuation(bars: DataFrame, valuations: DataFrame, key: str) -> DataFrame:
+def _by_blocks(bars: DataFrame, valuations: DataFrame) -> DataFrame:
+    """Bars with the best valuation of their day, in work that grows with bars and valuations and not with their pairs.
+
+    A valuation's days are cut into blocks of 1, 4, 16, ... days; the best of each
+    block is one row, found by an aggregate, and a bar looks at the one block of each
+    level that its day is in. A hot key is spread over its blocks.
+    """
+    spans = valuations.select("_key", "_v", F.inline(_day_blocks(F.to_date("_v.effective_date"), F.to_date("_until"))))
+    blocks = spans.groupBy("_key", "level", "block").agg(F.max("_v").alias("_v"))
+    day = F.unix_date(F.to_date("_bar.bar_date"))
+    looks = F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright(day, _BITS * k).alias("_block")) for k in range(_LEVELS)])
+    hits = bars.select("_of", "_bar", F.inline(looks)).join(blocks, (F.col("_of") == F.col("_key")) & (F.col("_level") == F.col("level")) & (F.col("_block") == F.col("block")), "left")
+    return hits.groupBy("_bar").agg(F.max("_v").alias("v"))
+
+
+def _by_pairs(bars: DataFrame, valuations: DataFrame) -> DataFrame:
+    day = F.to_date("_bar.bar_date")
+    hits = bars.join(valuations, (F.col("_of") == F.col("_key")) & (F.to_date("_v.effective_date") <= day) & (F.to_date("_until") >= day), "left")
+    return hits.groupBy("_bar").agg(F.max("_v").alias("v"))
+
+
+def as_of_valuation(bars: DataFrame, valuations: DataFrame, key: str, most_pairs: int = 4096) -> DataFrame:
     """Each bar (key, bar_date, close) with the valuation that holds on its day.
 
     valuations has key, effective_date, effective_at, seq, target_date, bear, base
@@ -88,18 +109,16 @@ def as_of_valuation(bars: DataFrame, valuations: DataFrame, key: str) -> DataFra
     effective_date <= bar_date counts; only if its target_date has come, an
     earlier one whose target_date hasn't is taken.
 
-    A valuation holds for a span of days, which is cut into blocks of 1, 4, 16, ...
-    days; the best of each block is one row, found by an aggregate, and a bar looks
-    at the one block of each level that its day is in. So the work grows with bars
-    and valuations, not with their pairs, and a hot key is spread over its blocks.
+    Keys with at most most_pairs pairs of a bar and a valuation are joined as they
+    are; the others, which that would square, go by blocks of days. Both give the
+    same rows.
     """
-    spans = valuations.select(F.col(key).alias("_key"), F.struct("effective_date", "effective_at", "seq", "bear", "base", "bull").alias("_v"), F.inline(_day_blocks(F.to_date("effective_date"), F.to_date("target_date"))))
-    blocks = spans.groupBy("_key", "level", "block").agg(F.max("_v").alias("_v"))
-    day = F.unix_date(F.to_date("bar_date"))
-    looks = F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright(day, _BITS * k).alias("_block")) for k in range(_LEVELS)])
-    b = bars.select(F.struct(key, "bar_date", "close").alias("_bar"), F.col(key).alias("_of"), F.inline(looks))
-    hits = b.join(blocks, (F.col("_of") == F.col("_key")) & (F.col("_level") == F.col("level")) & (F.col("_block") == F.col("block")), "left")
-    best = hits.groupBy("_bar").agg(F.max("_v").alias("v"))
+    v = valuations.select(F.col(key).alias("_key"), F.struct("effective_date", "effective_at", "seq", "bear", "base", "bull").alias("_v"), F.col("target_date").alias("_until"))
+    b = bars.select(F.col(key).alias("_of"), F.struct(key, "bar_date", "close").alias("_bar"))
+    counts = b.groupBy("_of").agg(F.count("*").alias("_n")).join(v.groupBy("_key").agg(F.count("*").alias("_m")), F.col("_of") == F.col("_key"))
+    heavy = counts.filter(F.col("_n") * F.col("_m") > most_pairs).select(F.col("_of").alias("_heavy"))
+    among = lambda df, c, how: df.join(heavy, F.col(c) == F.col("_heavy"), how)
+    best = _by_pairs(among(b, "_of", "left_anti"), v).unionByName(_by_blocks(among(b, "_of", "left_semi"), among(v, "_key", "left_semi")))
     close, bear, base, bull = F.col("_bar.close"), F.col("v.bear"), F.col("v.base"), F.col("v.bull")
     return best.select(
         F.col(f"_bar.{key}").alias(key), F.col("_bar.bar_date").alias("bar_date"), close.alias("close"), F.col("v.seq").alias("valuation_seq"),

@@ -77,16 +77,17 @@ def test_ledger(spark):
     assert ledger(spark, [("buy", 3.0, 1.0, 0.0, None, None), ("sell", 3.0, 2.0, 0.0, None, None)]).cost == 0.0
 
 
-def test_as_of_valuation_against_all_pairs(spark):
+@pytest.mark.parametrize("most_pairs", [0, 20_000, 10**9])
+def test_as_of_valuation_against_all_pairs(spark, most_pairs):
     import random
 
     draw = random.Random(5)
     day = lambda n: dt.date(1969, 6, 1) + dt.timedelta(n)  # noqa: E731  days before 1970 too
-    values = [(draw.choice("ab"), day(a), 0, n, day(a + draw.choice((-1, 0, 1, 7, 63, 64, 400, 9000))), 1.0, 2.0, 3.0) for n, a in enumerate(draw.randrange(900) for _ in range(150))]
+    values = [(draw.choice("aaab"), day(a), 0, n, day(a + draw.choice((-1, 0, 1, 7, 63, 64, 400, 9000))), 1.0, 2.0, 3.0) for n, a in enumerate(draw.randrange(900) for _ in range(150))]
     values += [("a", day(3), 0, 900, None, 1.0, 2.0, 3.0), ("a", None, 0, 901, day(3), 1.0, 2.0, 3.0), (None, day(3), 0, 902, day(9), 1.0, 2.0, 3.0)]
     bars = [(k, day(n), 2.5) for k in "abc" for n in range(0, 1200, 7)] + [("a", None, 1.0)]
     v = spark.createDataFrame(values, "key string, effective_date date, effective_at int, seq int, target_date date, bear double, base double, bull double")
-    got = {(r.key, r.bar_date): r.valuation_seq for r in tracking.as_of_valuation(spark.createDataFrame(bars, "key string, bar_date date, close double"), v, "key").collect()}
+    got = {(r.key, r.bar_date): r.valuation_seq for r in tracking.as_of_valuation(spark.createDataFrame(bars, "key string, bar_date date, close double"), v, "key", most_pairs).collect()}
     best = lambda k, d: max(((x[1], x[3]) for x in values if d and x[0] == k and x[1] and x[4] and x[1] <= d <= x[4]), default=(None, None))[1]
     assert got == {(k, d): best(k, d) for k, d, _ in bars}
 
