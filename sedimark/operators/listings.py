@@ -140,6 +140,11 @@ def newest(df: DataFrame, key: list[str], order: list[Column], limit: int) -> Da
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_r") <= limit).drop("_r")
 
 
+def ranked(df: DataFrame, key: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row among its key's rows, from 1."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
+
+
 def written_files(calls: DataFrame, results: DataFrame, turn: list[str]) -> DataFrame:
     """The files that each turn wrote, and the place of the first call that did.
 

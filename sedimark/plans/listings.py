@@ -264,3 +264,80 @@ def claim_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     quote = F.concat(F.lit("an order of "), F.when(n % 3 != 0, q).otherwise(q * 10 + 7), F.lit(" pieces came in FY2024"))
     got = layout.claim_quality(q.cast("double"), none, none, F.when(n % 2 == 0, "pieces"), F.lit("FY2024"), F.lit(True), quote, F.when(n % 4 == 1, 1).otherwise(0), F.lit(0), F.lit("Neutral"), F.lit(0.9))
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", got.alias("g")).select("l_orderkey", "l_linenumber", "g.status", F.array_join("g.issues", ",").alias("issues"), "g.confidence")
+
+
+@register(
+    "eligible_issuers",
+    "SELECT DISTINCT c_custkey, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus IN ('F', 'P') AND c_acctbal > 0 AND n_regionkey = 1",
+)
+def eligible_issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issuers of completed documents, each once; duplicates go before the wider joins."""
+    done = listings.where_all(load(spark, sf_dir, "orders"), o_orderstatus=["F", "P"]).select(F.col("o_custkey").alias("c_custkey"))
+    issuers = load(spark, sf_dir, "customer").filter("c_acctbal > 0").join(done, "c_custkey", "left_semi")
+    nations = load(spark, sf_dir, "nation").filter("n_regionkey = 1")
+    return issuers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+
+
+@register(
+    "reviewed_versions",
+    """SELECT o_orderkey, r.n AS reviews, CASE WHEN r.n IS NULL THEN 'pending' WHEN r.rejected THEN 'rejected' ELSE 'accepted' END AS state FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, bool_or(l_returnflag = 'R') AS rejected FROM lineitem WHERE l_quantity > 25 GROUP BY 1) r ON l_orderkey = o_orderkey""",
+)
+def reviewed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = load(spark, sf_dir, "lineitem").filter("l_quantity > 25").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("reviews"), F.bool_or(F.col("l_returnflag") == "R").alias("rejected"))
+    state = F.when(F.col("reviews").isNull(), "pending").when(F.col("rejected"), "rejected").otherwise("accepted")
+    return load(spark, sf_dir, "orders").select("o_orderkey").join(reviews, "o_orderkey", "left").select("o_orderkey", "reviews", state.alias("state"))
+
+
+@register(
+    "leased_documents",
+    "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL 30 DAY AND l_linestatus = 'O') AS leased FROM orders",
+)
+def leased_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document has a lease that still runs at its own time; the latest lease decides, so a join on pairs isn't needed."""
+    until = load(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("until"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(until, "o_orderkey", "left")
+    return orders.select("o_orderkey", F.coalesce(F.col("until") > F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"), F.lit(False)).alias("leased"))
+
+
+@register("last_trades", "SELECT p_partkey, strftime(max(l_shipdate), '%Y-%m-%d') AS last_trade FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+def last_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_shipdate").alias("d"))
+    return load(spark, sf_dir, "part").select("p_partkey").join(last, "p_partkey", "left").select("p_partkey", F.date_format("d", "yyyy-MM-dd").alias("last_trade"))
+
+
+@register("prefixed", "SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#1*'")
+def prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").filter(F.startswith("p_brand", F.lit("Brand#1"))).select("p_partkey")
+
+
+@register(
+    "checklist_order",
+    """SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 0 ELSE 1 END, c_acctbal, c_custkey) AS place FROM customer""",
+)
+def checklist_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list's places: the general scope first, then by age and key."""
+    general = F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1)
+    return listings.ranked(load(spark, sf_dir, "customer"), ["c_nationkey"], [general, F.col("c_acctbal"), F.col("c_custkey")], "place").select("c_nationkey", "c_custkey", "place")
+
+
+@register(
+    "discovery_rank",
+    """SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_quantity, l_partkey, l_suppkey, l_linenumber) AS discovery_rank FROM lineitem""",
+)
+def discovery_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drivers of a model by role, depth, sheet, row and column."""
+    role = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    order = [role, *map(F.col, ("l_quantity", "l_partkey", "l_suppkey", "l_linenumber"))]
+    return listings.ranked(load(spark, sf_dir, "lineitem"), ["l_orderkey"], order, "discovery_rank").select("l_orderkey", "l_linenumber", "discovery_rank")
+
+
+@register("artifacts", "SELECT o_orderkey, 'current' AS kind FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'attempted' AS kind FROM orders WHERE o_totalprice > 100000")
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    current, attempted = orders.filter("o_orderstatus = 'F'"), orders.filter("o_totalprice > 100000")
+    return current.select("o_orderkey", F.lit("current").alias("kind")).unionByName(attempted.select("o_orderkey", F.lit("attempted").alias("kind")))
+
+
+@register("unnested_properties", "SELECT event_id, unnest(json_keys(props)) AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events")
+def unnested_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,long>")).alias("key", "value"))
