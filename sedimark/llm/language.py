@@ -188,7 +188,7 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, per_language: int = 400, most_languages: int = 200) -> LanguageModel:
     """A model of lang, from at most per_language texts with letters of each language; held-out rows take no part."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     languages = [r["lang"] for r in rows.select("lang").distinct().limit(most_languages + 1).collect()]
     if len(languages) > most_languages:
         raise ValueError(f"lang has more than {most_languages} values")
