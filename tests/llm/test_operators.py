@@ -282,11 +282,31 @@ def test_dense_vectors_are_dropped_before_their_last_dimension():
 
 
 def test_huge_components_and_clashing_names(spark):
-    rows = [(0, [3e38, -3e38], 1, 2, 3), (50, [1e30, 1.0], 1, 2, 3), (2, [-1.0, 2.0], 1, 2, 3), (3, [], 1, 2, 3)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard int, codes int, score int")
-    got = {(r.query_id, r.vec_id): r.score for r in max_score.embedding_top_k(frame).collect()}
-    most = max_score.MOST_CODE
-    assert got[0, 50] == most * most - most * 256 and got[0, 2] == -256 * most - 512 * most and got[50, 3] == 0
+    """Scores are Python's, whatever the size of the components."""
+    rows = [(0, [40000.0, -40000.0]), (50, [1e5, 1.0]), (2, [-1.0, 2.0]), (3, []), (100, [0.5, -0.25]), (4, [3e5, 2e6]), (5, [2.0**30, 0.0]), (6, [33000.0, 1 / 3])]
+    schema = "vec_id long, embedding array<double>, shard int, codes int, score int"
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], schema)
+    codes = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(codes[q], v, strict=False)), i) for i, v in codes.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    got = [tuple(r) for r in max_score.embedding_top_k(frame).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(got) == sorted(want) and (0, 100) in {(q, i) for q, _, i, _ in got}
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    frame = spark.createDataFrame([(0, [3e38]), (1, [1e30])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="doesn't fit 64 bits"):
+        max_score.embedding_top_k(frame).collect()
+    small = spark.createDataFrame([(0, [3e38]), (1, [0.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in max_score.embedding_top_k(small).collect()] == [(0, 1, 1, 0)]
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (1, [2.0, 0.0]), (2, [0.25, 0.0])]
+    got = max_score.embedding_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 256 * 512), (1, 256 * 128), (1, 256 * 128), (2, 256 * 64)]
 
 
 def test_search_over_nothing(spark):
