@@ -10,13 +10,55 @@ SCALES = (
     ("万亿", 1e12), ("千亿", 1e11), ("百亿", 1e10), ("十亿", 1e9), ("亿", 1e8), ("千万", 1e7), ("百万", 1e6), ("十万", 1e5), ("万", 1e4), ("千", 1e3),
     ("trillion", 1e12), ("tn", 1e12), ("billion", 1e9), ("bn", 1e9), ("million", 1e6), ("mn", 1e6), ("mm", 1e6), ("thousand", 1e3), ("k", 1e3),
 )
-#: Words for a currency and its code.
+#: Words for a currency in the order in which they are looked for, and its code.
 CURRENCIES = (
-    ("人民币", "CNY"), ("rmb", "CNY"), ("cny", "CNY"), ("元", "CNY"), ("美元", "USD"), ("美金", "USD"), ("usd", "USD"), ("us$", "USD"), ("港元", "HKD"), ("港币", "HKD"), ("hkd", "HKD"), ("hk$", "HKD"),
-    ("欧元", "EUR"), ("eur", "EUR"), ("日元", "JPY"), ("jpy", "JPY"), ("新台币", "TWD"), ("台币", "TWD"), ("twd", "TWD"),
-)
-#: How units of basis points, percentage points, percent and multiples end or what they hold.
-UNIT_PATTERNS = {"bp": r"bps?$", "pp": r"(pp|个?百分点)$", "%": "%|percent|百分比", "x": "倍$|multiple", "per_share": r"/(股|share)$|pershare$"}
+    ("人民币", "CNY"),
+    ("rmb", "CNY"),
+    ("cny", "CNY"),
+    ("美元", "USD"),
+    ("美金", "USD"),
+    ("usd", "USD"),
+    ("us$", "USD"),
+    ("港元", "HKD"),
+    ("港币", "HKD"),
+    ("hkd", "HKD"),
+    ("hk$", "HKD"),
+    ("欧元", "EUR"),
+    ("eur", "EUR"),
+    ("日元", "JPY"),
+    ("jpy", "JPY"),
+    ("新台币", "TWD"),
+    ("台币", "TWD"),
+    ("twd", "TWD"),
+    ("元", "CNY"),
+    ("$", "USD"),
+    ("¥", "CNY"),
+    ("€", "EUR"),
+    ("£", "GBP"),
+    ("gbp", "GBP"),
+)
+#: How units of percentage points and basis points end, and the marks of percent, multiples and amounts a share.
+PP_ENDS = ("个百分点", "百分点", "pp", "ppt", "ppts", "bp", "bps")
+PERCENT_MARKS = ("%", "％", "pct", "percent", "百分比")
+MULTIPLES = ("x", "×", "倍", "times")
+PER_SHARE_MARKS = ("/股", "每股", "/share")
+#: How years, quarters, halves and ranges of years are written, in lower case without spaces.
+FULL_YEAR = r"(20\d{2})(?!\d)"
+MARKED_YEARS = (r"(?:fy|cy|q[1-4]|[1-4]q|h[12]|[12]h)(\d{2})(?!\d)", r"(?<!\d)(\d{2})(?=e|a|f|年)")
+QUARTER = r"(?:q([1-4])|(?<!\d)([1-4])q|第?([一二三四1-4])季度?)"
+HALF = r"(?:h([12])|(?<!\d)([12])h|(上|下)半年)"
+YEAR_RANGE = r"(20\d{2})(?:-|–|—|~|至|到)(?:fy|cy)?(20\d{2}|\d{2})"
+#: Full-width forms and the plain characters that they stand for.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　￥￡", "".join(map(chr, range(0x21, 0x7F))) + " ¥£"
+
+
+def narrowed(text: Column) -> Column:
+    """Full-width forms as plain ones; for other compatibility forms a text goes through text.nfkc first."""
+    return F.trim(F.translate(text, _WIDE, _NARROW))
+
+
+def _bare(text: Column) -> Column:
+    return F.replace(F.lower(narrowed(text)), F.lit(" "), F.lit(""))
 
 
 def half_up(value: Column, digits: int = 0) -> Column:
@@ -53,26 +95,27 @@ def iso_date(text: Column) -> Column:
 def period(text: Column) -> Column:
     """FY2026, 2026H1, 2026Q3 or FY2026-FY2028 from the ways in which these are written.
 
-    Two-digit years need a marker (FY or E). A quarter goes before a half, a range
-    needs an end that isn't before its start; other text is returned as it is.
+    A range goes first, if its end isn't before its start; two digits at its end are of
+    the same century. A canonical range stays as it is. Else the first year counts: four digits, or two with a marker
+    (FY26, 26E, 3Q26). With a quarter anywhere beside it that is the period, else with a
+    half that; the last digit of a year is no quarter, as in 2022Q3. Text without a year stays as it is written, but for full-width forms and
+    spaces at its ends.
     """
-    clean = F.upper(F.regexp_replace(F.trim(text), r"\s+", ""))
-    year = r"(?:FY|CY)?(20\d{2})(?:年度?)?[AE]?"
-    first, last = F.regexp_extract(clean, rf"^{year}[-~至–]{year}$", 1), F.regexp_extract(clean, rf"^{year}[-~至–]{year}$", 2)
-    quarter = F.coalesce(F.nullif(F.regexp_extract(clean, r"^(?:FY)?20\d{2}年?(?:Q|第)([1-4])(?:季度|季)?[AE]?$", 1), F.lit("")), F.nullif(F.regexp_extract(clean, r"^Q([1-4])(?:FY)?20\d{2}[AE]?$", 1), F.lit("")), F.nullif(F.regexp_extract(clean, r"^([1-4])Q(?:FY)?(?:20)?\d{2}[AE]?$", 1), F.lit("")))
-    half = F.coalesce(F.nullif(F.regexp_extract(clean, r"^(?:FY)?20\d{2}年?H([12])[AE]?$", 1), F.lit("")), F.nullif(F.regexp_extract(clean, r"^([12])H(?:FY)?(?:20)?\d{2}[AE]?$", 1), F.lit("")), F.when(clean.rlike(r"^20\d{2}年上半年$"), "1"), F.when(clean.rlike(r"^20\d{2}年下半年$"), "2"))
-    full = F.regexp_extract(clean, r"(20\d{2})", 1)
-    short = F.regexp_extract(clean, r"(\d{2})[AE]?$", 1)
-    any_year = F.when(full != "", full).otherwise(F.concat(F.lit("20"), short))
-    single = F.regexp_extract(clean, rf"^{year}$", 1)
-    marked = F.coalesce(F.nullif(F.regexp_extract(clean, r"^(?:FY|CY)'?(\d{2})[AE]?$", 1), F.lit("")), F.nullif(F.regexp_extract(clean, r"^(\d{2})[AE]$", 1), F.lit("")))
+    clean = _bare(text)
+
+    def found(pattern: str, *groups: int) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(clean, pattern, g), F.lit("")) for g in groups])
+
+    first, last = found(YEAR_RANGE, 1), found(YEAR_RANGE, 2)
+    last = F.when(F.length(last) == 2, F.concat(F.left(first, F.lit(2)), last)).otherwise(last)
+    year = F.coalesce(found(FULL_YEAR, 1), *[F.concat(F.lit("20"), found(p, 1)) for p in MARKED_YEARS])
+    quarter, half = F.translate(found(QUARTER, 1, 2, 3), "一二三四", "1234"), F.translate(found(HALF, 1, 2, 3), "上下", "12")
     return (
-        F.when((first != "") & (last >= first), F.concat(F.lit("FY"), first, F.lit("-FY"), last))
-        .when(quarter.isNotNull(), F.concat(any_year, F.lit("Q"), quarter))
-        .when(half.isNotNull(), F.concat(any_year, F.lit("H"), half))
-        .when(single != "", F.concat(F.lit("FY"), single))
-        .when(marked.isNotNull(), F.concat(F.lit("FY20"), marked))
-        .otherwise(text)
+        F.when(last >= first, F.concat(F.lit("FY"), first, F.lit("-FY"), last))
+        .when(year.isNull(), narrowed(text))
+        .when(quarter.isNotNull(), F.concat(year, F.lit("Q"), quarter))
+        .when(half.isNotNull(), F.concat(year, F.lit("H"), half))
+        .otherwise(F.concat(F.lit("FY"), year))
     )
 
 
@@ -83,35 +126,51 @@ def period_order(text: Column) -> Column:
     return F.struct(year.alias("year"), grain.alias("grain"))
 
 
+def currency_code(text: Column) -> Column:
+    """The code of the first listed currency that a text names, else its first eight characters in upper case; null for nothing."""
+    clean = _bare(text)
+    named = F.when(F.contains(clean, F.lit(CURRENCIES[0][0])), CURRENCIES[0][1])
+    for word, code in CURRENCIES[1:]:
+        named = named.when(F.contains(clean, F.lit(word)), code)
+    return F.nullif(F.coalesce(named, F.left(F.upper(clean), F.lit(8))), F.lit(""))
+
+
 def quantity(value: Column, unit: Column, currency: Column) -> Column:
     """struct(value, unit, currency) in canonical units.
 
-    Basis points and pp become pp, percent %, multiples x; amounts of a known
-    currency become units of it (a share, where the unit says so); anything else
-    stays as written.
+    Basis points and percentage points become pp, percent %, multiples x. Amounts of a
+    currency, with a scale word before or after it, become units of it (a share, where
+    the unit says so); a scale word alone needs the currency beside it. Other units, such
+    as prices a ton, keep their value and are written in lower case without spaces.
     """
-    clean = F.lower(F.regexp_replace(F.coalesce(unit, F.lit("")), r"\s+", ""))
-    code = F.upper(F.coalesce(currency, F.lit("")))
-    per_share = clean.rlike(UNIT_PATTERNS["per_share"])
-    bare = F.regexp_replace(clean, UNIT_PATTERNS["per_share"], "")
+    clean, code = F.coalesce(_bare(unit), F.lit("")), currency_code(currency)
+
+    def any_of(*tests: Column) -> Column:
+        out = tests[0]
+        for t in tests[1:]:
+            out = out | t
+        return out
+
+    per_share = any_of(*[F.contains(clean, F.lit(m)) for m in PER_SHARE_MARKS])
+    names_currency = any_of(*[F.contains(clean, F.lit(w)) for w, _ in CURRENCIES])
     words = "|".join(word for word, _ in SCALES)
-    front, back = F.regexp_extract(bare, rf"^({words})", 1), F.regexp_extract(bare, rf"^.+?({words})$", 1)
-    word = F.when(front != "", front).otherwise(back)
+    front, back = F.regexp_extract(clean, rf"^({words})", 1), F.regexp_extract(clean, rf"^.+?({words})$", 1)
     factors, codes = F.create_map(*[F.lit(x) for pair in SCALES for x in pair]), F.create_map(*[F.lit(x) for pair in CURRENCIES for x in pair])
-    scale = F.coalesce(factors[word], F.lit(1.0))
-    rest = F.when(front != "", F.substr(bare, F.length(front) + 1)).otherwise(F.left(bare, F.length(bare) - F.length(back)))
-    known = F.when(rest != "", codes[rest])
-    known = F.coalesce(known, F.when((rest == "") & (code != ""), code))
+    scale = F.coalesce(factors[F.coalesce(F.nullif(front, F.lit("")), back)], F.lit(1.0))
+    rest = F.when(front != "", F.substr(clean, F.length(front) + 1)).otherwise(F.left(clean, F.length(clean) - F.length(back)))
+    for mark in PER_SHARE_MARKS:
+        rest = F.replace(rest, F.lit(mark), F.lit(""))
+    known = F.coalesce(codes[rest], F.when(rest == "", code))
     make = lambda v, u, c: F.struct(v.cast("double").alias("value"), u.cast("string").alias("unit"), c.cast("string").alias("currency"))
     none = F.lit(None).cast("string")
     return (
-        F.when(value.isNull(), make(value, unit, currency))
-        .when(clean.rlike(UNIT_PATTERNS["bp"]), make(value * 0.01, F.lit("pp"), none))
-        .when(clean.rlike(UNIT_PATTERNS["pp"]), make(value, F.lit("pp"), none))
-        .when(clean.rlike(UNIT_PATTERNS["%"]), make(value, F.lit("%"), none))
-        .when(clean.rlike(UNIT_PATTERNS["x"]) | (clean.rlike("x$") & (code == "")), make(value, F.lit("x"), none))
+        F.when(value.isNull(), make(value, clean, code))
+        .when(clean.rlike("bps?$"), make(value * 0.01, F.lit("pp"), none))
+        .when(any_of(*[F.endswith(clean, F.lit(e)) for e in PP_ENDS]), make(value, F.lit("pp"), none))
+        .when(any_of(*[F.contains(clean, F.lit(m)) for m in PERCENT_MARKS]), make(value, F.lit("%"), none))
+        .when(clean.isin(*MULTIPLES) | (clean.rlike("[倍x]$") & ~names_currency), make(value, F.lit("x"), none))
         .when(known.isNotNull(), make(value * scale, F.when(per_share, F.lit("元/股")).otherwise(F.lit("元")), known))
-        .otherwise(make(value, unit, currency))
+        .otherwise(make(value, clean, code))
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from sedimark.functions.rules import dates_in
 from sedimark.operators.claims import card_type, latest_per_key, majority, robust_stats, stance_counts
@@ -52,8 +55,16 @@ def cover_dates(covers: DataFrame) -> DataFrame:
     return summed.withColumn("_r", F.row_number().over(place)).filter("_r = 1").select("doc_id", "date", "votes")
 
 
-def not_mentioned(eligible: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """Of a collection's issuers (issuer, a dimension of bounded size), those without a claim on each item."""
-    every = eligible.agg(F.collect_set("issuer").alias("_all"))
-    seen = observed.groupBy(*keys).agg(F.collect_set("issuer").alias("_seen"))
-    return seen.crossJoin(F.broadcast(every)).select(*keys, F.explode(F.array_except("_all", "_seen")).alias("issuer"))  # one row
+def not_mentioned(eligible: DataFrame, observed: DataFrame, keys: list[str], most_issuers: int = 10_000) -> DataFrame:
+    """Of a collection's issuers (issuer), those without a claim on each item.
+
+    The issuers are a dimension that every item is compared with; more than most_issuers
+    of them are refused.
+    """
+    names = [r[0] for r in eligible.select("issuer").filter("issuer IS NOT NULL").distinct().limit(most_issuers + 1).collect()]
+    if len(names) > most_issuers:
+        raise ValueError(f"more than {most_issuers} issuers")
+    every = F.from_json(F.lit(json.dumps(names)), ArrayType(eligible.schema["issuer"].dataType))
+    listed = F.broadcast(eligible.select("issuer").distinct().withColumn("_listed", F.lit(True)))  # most_issuers at most
+    seen = observed.join(listed, "issuer", "left").groupBy(*keys).agg(F.collect_set(F.when(F.col("_listed"), F.col("issuer"))).alias("_seen"))
+    return seen.select(*keys, F.explode(F.array_except(every, "_seen")).alias("issuer"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sedimark.functions.numbers import period
-from sedimark.functions.text import nfkc, occurrences
+from sedimark.functions.text import nfkc
 
 #: Dashes and quotes that count as one, and what they become.
 _FOLDED, _PLAIN = "–—−‐‑“”‘’「」『』", "-----\"\"''\"\"\"\""
@@ -69,28 +75,68 @@ def resolved_issuers(mentions: DataFrame, registry: DataFrame, name: str, slack:
     return cored.join(best, "_name_core", "left").drop("_name_core")
 
 
-def issuer_scores(docs: DataFrame, aliases: DataFrame, head: int = 1800, body: int = 12_000, most: int = 5) -> DataFrame:
-    """The best issuers of each document (doc_id, filename, text) by where their aliases (issuer_key, alias) occur.
+#: What a name weighs in the file name, and each time and at most at the head, at the tail and anywhere in the text that is looked at.
+IN_FILE_NAME, AT_AN_END, IN_TEXT = 0.60, (0.17, 0.34), (0.02, 0.10)
+
+
+def issuer_scores(docs: DataFrame, aliases: DataFrame, head: int = 1800, body: int = 12_000, most: int = 5, most_aliases: int = 1_000_000) -> DataFrame:
+    """The best issuers (issuer_key, score, place) of each document (doc_id, filename, text) by where their aliases (issuer_key, alias) occur.
+
+    By rule the first body characters of a text are looked at; their first and last head
+    characters are the head and the tail, which a text no longer than the head doesn't
+    have. Texts and aliases are compared in NFKC and lower case, occurrences of one alias
+    don't overlap, aliases of one character are passed over, an issuer scores by its best alias
+    and the most best issuers are given (ties: by key). A null text or file name is empty.
 
-    A name in the file name weighs 0.60, at the head and the tail 0.17 each time up
-    to 0.34, in the body 0.02 up to 0.10. Documents meet the aliases by the pairs of
-    characters that they hold, an equal join on an alias's first pair at any number
-    of aliases; what meets is then looked for in full.
+    Each task looks for all aliases at once, by an automaton whose size is that of the aliases;
+    more than most_aliases of them are refused.
     """
-    low = F.lower(F.coalesce("text", F.lit("")))
-    places = docs.select("doc_id", F.lower("filename").alias("_file"), F.substring(low, 1, head).alias("_head"), F.substr(low, F.greatest(F.lit(1), F.length(low) - head + 1), F.lit(head)).alias("_tail"), F.substring(low, 1, body).alias("_body"))
-    listed = aliases.select("issuer_key", F.lower("alias").alias("_a")).filter("_a <> ''").distinct().withColumn("_pair", F.left("_a", F.lit(2)))
-    held = F.concat_ws("\n", "_file", "_head", "_tail", "_body")
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(held)))
-    both = F.flatten(F.transform(at, lambda i: F.array(F.substr(held, i, F.lit(1)), F.substr(held, i, F.lit(2)))))
-    met = places.select("doc_id", F.explode(F.array_distinct(both)).alias("_pair")).join(listed, "_pair").select("doc_id", "issuer_key", "_a").distinct()
-    pairs = met.join(places, "doc_id")
-    a = F.col("_a")
-    count = lambda where, weight, cap: F.least(F.lit(cap), occurrences(F.col(where), a) * weight)
-    score = F.when(F.contains("_file", a), 0.60).otherwise(0.0) + count("_head", 0.17, 0.34) + count("_tail", 0.17, 0.34) + count("_body", 0.02, 0.10)
-    best = pairs.select("doc_id", "issuer_key", F.round(F.least(F.lit(1.0), score), 4).alias("score")).filter("score > 0").groupBy("doc_id", "issuer_key").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("doc_id").orderBy(F.desc("score"), "issuer_key")
-    return best.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
+    form = lambda v: unicodedata.normalize("NFKC", v or "").lower()
+    listed = aliases.select("issuer_key", "alias").filter("issuer_key IS NOT NULL AND length(alias) > 0").distinct().limit(most_aliases + 1).collect()
+    if len(listed) > most_aliases:
+        raise ValueError(f"more than {most_aliases} aliases")
+    owners: dict[str, set] = {}
+    for row in listed:
+        if len(form(row["alias"])) >= 2:
+            owners.setdefault(form(row["alias"]), set()).add(row["issuer_key"])
+    named = docs.sparkSession.sparkContext.broadcast(owners)
+
+    def counted(finder, text: str) -> dict[str, int]:
+        ends, counts = {}, {}
+        for last, alias in finder.iter(text):
+            if last - len(alias) >= ends.get(alias, -1):
+                ends[alias], counts[alias] = last, counts.get(alias, 0) + 1
+        return counts
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for alias in named.value:
+            finder.add_word(alias, alias)
+        finder.make_automaton()
+        for batch in batches:
+            rows = []
+            for k, (name, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if not named.value:
+                    continue
+                shown = form(text)[:body]
+                in_name, in_text = counted(finder, form(name)), counted(finder, shown)
+                ends = [counted(finder, shown[:head]), counted(finder, shown[-head:] if len(shown) > head else "")]
+                best: dict = {}
+                for alias in in_name.keys() | in_text.keys():
+                    score = IN_FILE_NAME * (alias in in_name) + sum(min(AT_AN_END[1], AT_AN_END[0] * e.get(alias, 0)) for e in ends) + min(IN_TEXT[1], IN_TEXT[0] * in_text.get(alias, 0))
+                    for key in named.value[alias]:
+                        best[key] = max(best.get(key, 0.0), round(min(1.0, score), 4))
+                ranked = sorted(best.items(), key=lambda x: (-x[1], str(x[0])))[:most]
+                rows += [(k, key, score, place) for place, (key, score) in enumerate(ranked, 1)]
+            if rows:
+                at, key, score, place = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(key, key_type), pa.array(score, pa.float64()), pa.array(place, pa.int32())], ["doc_id", "issuer_key", "score", "place"])
+
+    shape = StructType([docs.schema["doc_id"], aliases.schema["issuer_key"], *StructType.fromDDL("score double, place int").fields])
+    key_type = to_arrow_schema(shape).field("issuer_key").type
+    return docs.select("doc_id", "filename", "text").mapInArrow(work, shape)
 
 
 def located(evidence: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:

@@ -114,8 +114,12 @@ def recent_projects(sessions: DataFrame) -> DataFrame:
 
 
 def with_parents(sessions: DataFrame) -> DataFrame:
-    """sessions (session_id, path, parent_path) with parent_id, the id of the session at the parent's path."""
-    return sessions.join(sessions.select(F.col("path").alias("parent_path"), F.col("session_id").alias("parent_id")), "parent_path", "left")
+    """sessions (session_id, path, parent_path) with parent_id, the id of the session at the parent's path.
+
+    Of several sessions at one path the least id counts.
+    """
+    at = sessions.filter("path IS NOT NULL").groupBy(F.col("path").alias("parent_path")).agg(F.min("session_id").alias("parent_id"))
+    return sessions.join(at, "parent_path", "left")
 
 
 def display_number(value: Column, digits: int = 1) -> Column:

@@ -111,16 +111,16 @@ def as_of_valuation(bars: DataFrame, valuations: DataFrame, key: str, most_pairs
 
     Keys with at most most_pairs pairs of a bar and a valuation are joined as they
     are; the others, which that would square, go by blocks of days. Both give the
-    same rows.
+    same rows. Bars that are equal are looked up once and come back as often as they are there.
     """
     v = valuations.select(F.col(key).alias("_key"), F.struct("effective_date", "effective_at", "seq", "bear", "base", "bull").alias("_v"), F.col("target_date").alias("_until"))
-    b = bars.select(F.col(key).alias("_of"), F.struct(key, "bar_date", "close").alias("_bar"))
+    b = bars.groupBy(key, "bar_date", "close").agg(F.count("*").alias("times")).select(F.col(key).alias("_of"), F.struct(key, "bar_date", "close", "times").alias("_bar"))
     counts = b.groupBy("_of").agg(F.count("*").alias("_n")).join(v.groupBy("_key").agg(F.count("*").alias("_m")), F.col("_of") == F.col("_key"))
     heavy = counts.filter(F.col("_n") * F.col("_m") > most_pairs).select(F.col("_of").alias("_heavy"))
     among = lambda df, c, how: df.join(heavy, F.col(c) == F.col("_heavy"), how)
     best = _by_pairs(among(b, "_of", "left_anti"), v).unionByName(_by_blocks(among(b, "_of", "left_semi"), among(v, "_key", "left_semi")))
     close, bear, base, bull = F.col("_bar.close"), F.col("v.bear"), F.col("v.base"), F.col("v.bull")
-    return best.select(
+    return best.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_bar.times")))).select(
         F.col(f"_bar.{key}").alias(key), F.col("_bar.bar_date").alias("bar_date"), close.alias("close"), F.col("v.seq").alias("valuation_seq"),
         (F.try_divide(base, close) * 100 - 100).alias("upside"), (F.try_divide(bear, close) * 100 - 100).alias("downside"),
         F.when((bear < close) & (close < bull), (bull - close) / (close - bear)).alias("reward_risk"),

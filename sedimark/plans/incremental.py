@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.functions.matching import fuzzy, greedy_windows
-from sedimark.functions.numbers import backoff_ms, column_label, column_number, half_up, iso_date, period, positive
+from sedimark.functions.numbers import backoff_ms, column_label, column_number, half_up, iso_date, period, positive, quantity
 from sedimark.operators import catalog
 from sedimark.plans.registry import register
 from sedimark.plans.tables import cents, load
@@ -125,6 +125,59 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", period(F.concat(F.lit("Q"), F.quarter("o_orderdate"), year)).alias("quarter"), period(F.concat(year, F.lit("年"))).alias("fiscal"))
 
 
+#: Spellings of a year's third quarter, second half and whole, and of a range of three years: {y} has four digits, {z} the last two.
+SPELLINGS = {
+    "{y}Q3": ("{y}Q3", "Q3{y}", "3Q{y}", "{y}第三季度", "{y} 年 3 季", "Q3FY{z}", "3q{z}E", "{y}Ｑ３"),
+    "{y}H2": ("{y}H2", "H2 {y}", "2H{z}", "下半年{y}", "{y}年下半年"),
+    "FY{y}": ("{y}", "FY{y}", "fy{z}", "{z}E", "{y}年度", "{z}年", "{y}/12"),
+    "FY{y}-FY{w}": ("{y}-{w}", "FY{y}-{v}", "{y}～{w}年", "{y} 至 {v}"),
+}
+_EACH = [(written, canonical) for canonical, several in SPELLINGS.items() for written in several]
+
+
+def _spelled_sql(template: str, year: str) -> str:
+    parts = f"replace(replace('{template}', '{{y}}', CAST({year} AS VARCHAR)), '{{z}}', right(CAST({year} AS VARCHAR), 2))"
+    return f"replace(replace({parts}, '{{w}}', CAST({year} + 2 AS VARCHAR)), '{{v}}', right(CAST({year} + 2 AS VARCHAR), 2))"
+
+
+@register(
+    "period_spellings",
+    f"""WITH o AS (SELECT o_orderkey, 2000 + o_custkey % 80 AS year, o_orderkey % {len(_EACH)} AS k FROM orders)
+        SELECT o_orderkey, CASE k {" ".join(f"WHEN {k} THEN {_spelled_sql(canonical, 'year')}" for k, (_, canonical) in enumerate(_EACH))} END AS period FROM o""",
+)
+def period_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The period of each order from one of the spellings of years 2000 to 2079."""
+    year = (F.pmod("o_custkey", F.lit(80)) + 2000).cast("int")
+    form = lambda text, mark, value: F.replace(text, F.lit(mark), value)
+    written = F.element_at(F.array(*[F.lit(w) for w, _ in _EACH]), (F.pmod("o_orderkey", F.lit(len(_EACH))) + 1).cast("int"))
+    for mark, of in (("{y}", year), ("{w}", year + 2)):
+        written = form(written, mark, of.cast("string"))
+    for mark, of in (("{z}", year), ("{v}", year + 2)):
+        written = form(written, mark, F.right(of.cast("string"), F.lit(2)))
+    return load(spark, sf_dir, "orders").select("o_orderkey", period(written).alias("period"))
+
+
+#: A unit, the currency beside it, and what a value of it is in canonical units.
+UNIT_SPELLINGS = (
+    ("亿元", "", 1e8, "元", "CNY"), ("$bn", "", 1e9, "元", "USD"), ("USD mn", "", 1e6, "元", "USD"), ("£", "", 1.0, "元", "GBP"), ("€ k", "", 1e3, "元", "EUR"), ("千万港币", "", 1e7, "元", "HKD"), ("万", "rmb", 1e4, "元", "CNY"),
+    ("％", "", 1.0, "%", None), ("pct", "", 1.0, "%", None), ("bps", "", 0.01, "pp", None), ("个百分点", "", 1.0, "pp", None), ("ppts", "", 1.0, "pp", None), ("times", "", 1.0, "x", None), ("×", "", 1.0, "x", None), ("倍", "", 1.0, "x", None),
+    ("每股元", "", 1.0, "元/股", "CNY"), ("HK$/share", "", 1.0, "元/股", "HKD"), ("GW", "", 1.0, "gw", None), ("万台", "US$", 1.0, "万台", "USD"), ("美元/吨", "", 1.0, "美元/吨", None),
+)
+
+
+@register(
+    "unit_spellings",
+    f"""WITH u AS (SELECT * FROM (VALUES {", ".join(f"({k}, {f}, '{u}', {'NULL' if c is None else repr(c)})" for k, (_, _, f, u, c) in enumerate(UNIT_SPELLINGS))}) t(k, factor, unit, currency))
+        SELECT l_orderkey, l_linenumber, round(l_quantity * factor, 4) AS value, unit, currency FROM lineitem JOIN u ON u.k = l_partkey % {len(UNIT_SPELLINGS)}""",
+)
+def unit_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantity of each line item from one of the spellings of its unit."""
+    pick = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in UNIT_SPELLINGS]), (F.pmod("l_partkey", F.lit(len(UNIT_SPELLINGS))) + 1).cast("int"))
+    q = quantity(F.col("l_quantity"), pick(0), pick(1))
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q"))
+    return rows.select("l_orderkey", "l_linenumber", F.round("q.value", 4).alias("value"), F.col("q.unit").alias("unit"), F.col("q.currency").alias("currency"))
+
+
 @register("valid_dates", "SELECT count(*) AS n, strftime(max(l_shipdate), '%Y-%m-%d') AS last FROM lineitem")
 def valid_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = iso_date(F.date_format("l_shipdate", "yyyyMMdd"))

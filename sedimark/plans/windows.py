@@ -135,15 +135,15 @@ _VALUATIONS = """SELECT l_partkey AS part, l_shipdate AS effective_date, l_order
 
 @register(
     "as_of_valuation",
-    f"""WITH b AS (SELECT DISTINCT l_partkey AS part, l_shipdate AS bar_date, l_extendedprice AS close FROM lineitem WHERE l_returnflag = 'A'), v AS ({_VALUATIONS}),
-       j AS (SELECT b.*, v.seq, v.base, v.bear, v.bull, row_number() OVER (PARTITION BY b.part, b.bar_date, b.close ORDER BY v.effective_date DESC NULLS LAST, v.seq DESC) AS r
+    f"""WITH b AS (SELECT row_number() OVER () AS bar, l_partkey AS part, l_shipdate AS bar_date, l_extendedprice AS close FROM lineitem WHERE l_returnflag <> 'R'), v AS ({_VALUATIONS}),
+       j AS (SELECT b.*, v.seq, v.base, v.bear, v.bull, row_number() OVER (PARTITION BY b.bar ORDER BY v.effective_date DESC NULLS LAST, v.seq DESC) AS r
              FROM b LEFT JOIN v ON v.part = b.part AND v.effective_date <= b.bar_date AND v.effective_date + INTERVAL 365 DAY >= b.bar_date)
        SELECT part, strftime(bar_date, '%Y-%m-%d') AS bar_date, close, seq AS valuation_seq, round(base / close * 100 - 100, 4) AS upside, round(bear / close * 100 - 100, 4) AS downside,
               round(CASE WHEN bear < close AND close < bull THEN (bull - close) / (close - bear) END, 4) AS reward_risk FROM j WHERE r = 1""",
 )
 def as_of_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem")
-    bars = lines.filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("bar_date"), F.col("l_extendedprice").alias("close")).distinct()
+    bars = lines.filter("l_returnflag <> 'R'").select(F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("bar_date"), F.col("l_extendedprice").alias("close"))
     price = F.col("l_extendedprice")
     values = lines.filter("l_returnflag = 'R'").select(
         F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("effective_date"), F.col("l_shipdate").alias("effective_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", since: str | None = None) -> DataFrame:
-    """file, line_no and value of every line below path; since skips files not modified after that time."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true")
+    """file, modified, line_no (from 0) and value of every line below path; since skips files not modified after that time.
+
+    A long file is read in the blocks that Spark cuts it into: lines are numbered in
+    their block, and a block begins after the lines of those before it.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n")
     if since:
         reader = reader.option("modifiedAfter", since)
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    return files.select("file", "modified", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    meta = {"file": "file_path", "modified": "file_modification_time", "_block": "file_block_start"}
+    lines = reader.text(path).select(*[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()], F.regexp_replace("value", r"\r$", "").alias("value"), F.monotonically_increasing_id().alias("_at"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_at")) - 1
+    return lines.withColumn("_inside", inside).join(blocks, ["file", "_block"]).select("file", "modified", (F.col("_before") + F.col("_inside")).cast("int").alias("line_no"), "value")
 
 
 def read_sessions(spark: SparkSession, path: str, **options) -> DataFrame:

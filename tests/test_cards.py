@@ -1,6 +1,7 @@
 import datetime as dt
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sedimark.functions import diffs
@@ -31,6 +32,10 @@ def test_cover_dates_and_silence(spark):
     issuers = spark.createDataFrame([("a",), ("b",)], "issuer string")
     seen = spark.createDataFrame([("i", "a"), ("j", "a"), ("j", "b")], "item string, issuer string")
     assert [tuple(r) for r in cards.not_mentioned(issuers, seen, ["item"]).collect()] == [("i", "b")]
+    more = seen.union(spark.createDataFrame([("k", "other"), ("l", None), (None, "a")], "item string, issuer string"))
+    assert sorted(((r.item, r.issuer) for r in cards.not_mentioned(issuers, more, ["item"]).collect()), key=str) == sorted([("i", "b"), ("k", "a"), ("k", "b"), ("l", "a"), ("l", "b"), (None, "b")], key=str)
+    with pytest.raises(ValueError, match="more than 1"):
+        cards.not_mentioned(issuers, seen, ["item"], most_issuers=1)
 
 
 def test_json_diff(spark):

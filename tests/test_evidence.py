@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,7 +32,36 @@ def test_issuers(spark):
     assert {r.name: r.issuer_key for r in evidence.resolved_issuers(mentions, registry, "name").collect()} == {"alpha-tech Ltd": "ats", "贝塔证券": "beta", "Alpha Technik": "ats", "Gamma": None}
     docs = spark.createDataFrame([(1, "alpha-2026.pdf", "Alpha said. Beta said.")], "doc_id int, filename string, text string")
     aliases = spark.createDataFrame([("ats", "alpha"), ("beta", "beta"), ("none", "zeta")], "issuer_key string, alias string")
-    assert [(r.issuer_key, r.score) for r in evidence.issuer_scores(docs, aliases).orderBy("place").collect()] == [("ats", 0.96), ("beta", 0.36)]
+    assert [(r.issuer_key, r.score) for r in evidence.issuer_scores(docs, aliases).orderBy("place").collect()] == [("ats", 0.79), ("beta", 0.19)]
+
+
+def brute_scores(name, text, aliases, head, body):
+    form = lambda v: unicodedata.normalize("NFKC", v or "").lower()
+    shown, best = form(text)[:body], {}
+    for key, alias in aliases:
+        a = form(alias)
+        if len(a) > 1:
+            tail = shown[-head:] if len(shown) > head else ""
+            score = 0.6 * (a in form(name)) + min(0.34, 0.17 * shown[:head].count(a)) + min(0.34, 0.17 * tail.count(a)) + min(0.1, 0.02 * shown.count(a))
+            if a in form(name) or a in shown:
+                best[key] = max(best.get(key, 0), round(min(1.0, score), 4))
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
+def test_issuer_scores_against_brute_force(spark):
+    rng = random.Random(7)
+    aliases = [("a", "ac"), ("a", "acme"), ("b", "x"), ("c", "aa"), ("d", "aaa"), ("e", "ＡＢ"), ("f", "ab"), ("g", "acme says"), ("h", "zz"), ("i", ""), ("j", None), ("k", "b a"), ("k", "b a")]
+    docs = [(n, rng.choice(["acme.pdf", None, "AB", "x"]), "".join(rng.choice("aabcx zメ") for _ in range(rng.choice([0, 5, 40, 300])))) for n in range(60)]
+    docs += [(100, "f", "acme says so"), (101, None, None), (102, "ＡＣＭＥ", "Acme " * 5000), (103, "n", "b" * 200 + " aaaa")]
+    frame = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, filename string, text string, score int, place int").repartition(3)
+    got = evidence.issuer_scores(frame, spark.createDataFrame(aliases, "issuer_key string, alias string"), head=30, body=120).collect()
+    want = {(n, key, score, place) for n, name, text in docs for place, (key, score) in enumerate(brute_scores(name, text, [(k, a) for k, a in aliases if a], 30, 120), 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert ("g", 0.19) in {(r.issuer_key, r.score) for r in got if r.doc_id == 100}
+    none = spark.createDataFrame([], "issuer_key string, alias string")
+    assert evidence.issuer_scores(frame, none).collect() == [] and evidence.issuer_scores(frame.limit(0), none).collect() == []
+    with pytest.raises(ValueError, match="more than 2 aliases"):
+        evidence.issuer_scores(frame, spark.createDataFrame(aliases, "issuer_key string, alias string"), most_aliases=2)
 
 
 def test_evidence_and_names(spark):

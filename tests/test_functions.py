@@ -8,12 +8,12 @@ def evaluate(spark, column, *rows, schema):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
 
 
-@pytest.mark.parametrize(("written", "canonical"), [("2026E", "FY2026"), ("FY26", "FY2026"), ("2026年", "FY2026"), ("26E", "FY2026"), ("2026H1", "2026H1"), ("1H26", "2026H1"), ("2026年上半年", "2026H1"), ("2026Q3", "2026Q3"), ("3Q2026", "2026Q3"), ("FY2026-FY2028", "FY2026-FY2028"), ("FY2028-FY2026", "FY2028-FY2026"), ("26", "26"), ("soon", "soon")])
+@pytest.mark.parametrize(("written", "canonical"), [("2026E", "FY2026"), ("FY26", "FY2026"), ("2026年", "FY2026"), ("26E", "FY2026"), ("2026H1", "2026H1"), ("1H26", "2026H1"), ("2026年上半年", "2026H1"), ("2026Q3", "2026Q3"), ("3Q2026", "2026Q3"), ("FY2026-FY2028", "FY2026-FY2028"), ("FY2028-FY2026", "FY2028"), ("26", "26"), ("soon", "soon"), ("H1 2026", "2026H1"), ("FY2026-28", "FY2026-FY2028"), ("２０２６年", "FY2026"), ("2026第三季度", "2026Q3"), ("Q1FY26", "2026Q1"), ("2026/27", "FY2026"), ("上半年2026", "2026H1"), ("2026 至 2028", "FY2026-FY2028"), ("2026～28年", "FY2026-FY2028"), ("2028-26", "FY2028"), ("3Q26E", "2026Q3"), ("2H26", "2026H2"), ("26A", "FY2026"), ("2022Q3", "2022Q3"), ("2021H2", "2021H2"), ("2024 4Q", "2024Q4"), ("year to Dec 2027", "FY2027"), ("2026年4季", "2026Q4"), ("20261", "20261"), ("未来三年", "未来三年"), (" soon ", "soon"), ("", ""), (None, None)])
 def test_period(spark, written, canonical):
     assert evaluate(spark, numbers.period(F.col("x")), (written,), schema="x string") == [canonical]
 
 
-@pytest.mark.parametrize(("value", "unit", "currency", "want"), [(165.0, "亿元", None, (1.65e10, "元", "CNY")), (16500.0, "百万元", None, (1.65e10, "元", "CNY")), (1.65e10, "元", None, (1.65e10, "元", "CNY")), (25.0, "bp", None, (0.25, "pp", None)), (3.0, "pp", None, (3.0, "pp", None)), (12.0, "%", None, (12.0, "%", None)), (8.0, "x", None, (8.0, "x", None)), (8.0, "倍", None, (8.0, "x", None)), (2.5, "元/股", None, (2.5, "元/股", "CNY")), (3.0, "million", "USD", (3e6, "元", "USD")), (0.5, "元/Wh", None, (0.5, "元/Wh", None))])
+@pytest.mark.parametrize(("value", "unit", "currency", "want"), [(165.0, "亿元", None, (1.65e10, "元", "CNY")), (16500.0, "百万元", None, (1.65e10, "元", "CNY")), (1.65e10, "元", None, (1.65e10, "元", "CNY")), (25.0, "bp", None, (0.25, "pp", None)), (3.0, "pp", None, (3.0, "pp", None)), (12.0, "%", None, (12.0, "%", None)), (8.0, "x", None, (8.0, "x", None)), (8.0, "倍", None, (8.0, "x", None)), (2.5, "元/股", None, (2.5, "元/股", "CNY")), (3.0, "million", "USD", (3e6, "元", "USD")), (0.5, "元/Wh", None, (0.5, "元/wh", None))])
 def test_quantity(spark, value, unit, currency, want):
     (got,) = evaluate(spark, numbers.quantity(F.col("v"), F.col("u"), F.col("c")), (value, unit, currency), schema="v double, u string, c string")
     assert got.value == pytest.approx(want[0]) and (got.unit, got.currency) == want[1:]
@@ -71,7 +71,10 @@ def test_fuzzy(spark):
 @pytest.mark.parametrize(
     ("unit", "code", "want"),
     [("千亿元", "", (2e11, "元", "CNY")), ("百亿美元", "", (2e10, "元", "USD")), ("千万港币", "", (2e7, "元", "HKD")), ("十万", "CNY", (2e5, "元", "CNY")), ("USD mn", "", (2e6, "元", "USD")), ("us$ bn", "", (2e9, "元", "USD")),
-     ("美金", "", (2.0, "元", "USD")), ("k eur", "", (2e3, "元", "EUR")), ("元/股", "", (2.0, "元/股", "CNY")), ("25bps", "", (0.02, "pp", None)), ("新台币", "", (2.0, "元", "TWD")), ("tons", "", (2.0, "tons", "")), ("x", "", (2.0, "x", None))],
+     ("美金", "", (2.0, "元", "USD")), ("k eur", "", (2e3, "元", "EUR")), ("元/股", "", (2.0, "元/股", "CNY")), ("25bps", "", (0.02, "pp", None)), ("新台币", "", (2.0, "元", "TWD")), ("tons", "", (2.0, "tons", None)), ("x", "", (2.0, "x", None)),
+     ("$", "", (2.0, "元", "USD")), ("¥", "", (2.0, "元", "CNY")), ("€", "", (2.0, "元", "EUR")), ("£", "", (2.0, "元", "GBP")), ("$bn", "", (2e9, "元", "USD")), ("£ mn", "", (2e6, "元", "GBP")), ("pct", "", (2.0, "%", None)), ("％", "", (2.0, "%", None)),
+     ("times", "", (2.0, "x", None)), ("×", "", (2.0, "x", None)), ("ppts", "", (2.0, "pp", None)), ("个百分点", "", (2.0, "pp", None)), ("每股元", "", (2.0, "元/股", "CNY")), ("HK$/share", "", (2.0, "元/股", "HKD")), ("亿", "人民币", (2e8, "元", "CNY")), ("亿", "", (2.0, "亿", None)),
+     ("GW", "us$", (2.0, "gw", "USD")), ("万台", "", (2.0, "万台", None)), ("美元/吨", "", (2.0, "美元/吨", None)), ("p/e x", "", (2.0, "x", None)), ("", "Swiss francs", (2.0, "元", "SWISSFRA")), (None, None, (2.0, "", None)), ("ＲＭＢ　ｍｎ", "", (2e6, "元", "CNY"))],
 )
 def test_quantities(spark, unit, code, want):
     got = evaluate(spark, numbers.quantity(F.col("v"), F.col("u"), F.col("c")), (2.0, unit, code), schema="v double, u string, c string")

@@ -179,4 +179,6 @@ def test_folds_stream_over_batches(spark):
         yield (n, last)
 
     assert rows(folds.folded(df, ["k"], ["o"], count, "n long, last long")) == sorted([("hot", 33_333, 49_999), (None, 16_667, 49_998)], key=str)
+    odd = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (None, 3), (1.0, 4)], "k double, o int").repartition(3)
+    assert sorted(r.n for r in folds.folded(odd, ["k"], ["o"], count, "n long, last long").collect()) == [1, 1, 2]
     assert folds.folded(df.limit(0), ["k"], ["o"], count, "n long, last long").collect() == []

@@ -92,6 +92,16 @@ def test_as_of_valuation_against_all_pairs(spark, most_pairs):
     assert got == {(k, d): best(k, d) for k, d, _ in bars}
 
 
+@pytest.mark.parametrize("most_pairs", [0, 10**9])
+def test_repeated_bars_come_back_as_often(spark, most_pairs):
+    day = lambda n: dt.date(2026, 1, n)
+    bars = spark.createDataFrame([("k", day(5), 10.0)] * 3 + [("k", day(1), 10.0)] * 2 + [("k", None, 1.0), ("k", None, 1.0), (None, day(5), None)], "key string, bar_date date, close double")
+    values = spark.createDataFrame([("k", day(2), 1, 1, day(30), 8.0, 12.0, 14.0), ("k", day(2), 1, 1, day(30), 8.0, 12.0, 14.0)], "key string, effective_date date, effective_at int, seq int, target_date date, bear double, base double, bull double")
+    got = tracking.as_of_valuation(bars, values, "key", most_pairs)
+    assert got.columns == ["key", "bar_date", "close", "valuation_seq", "upside", "downside", "reward_risk"]
+    assert sorted(((r.key, r.bar_date, r.valuation_seq) for r in got.collect()), key=str) == sorted([("k", day(5), 1)] * 3 + [("k", day(1), None)] * 2 + [("k", None, None)] * 2 + [(None, day(5), None)], key=str)
+
+
 def test_numbers_within_spans(spark):
     df = spark.createDataFrame([("a", 5), ("a", 1), ("a", 12), ("b", 7), ("a", None), (None, 3), ("a", 11), (None, 30)], "k string, o int")
     assert {(r.k, r.o): r._n for r in catalog.numbered_within(df, "k", "o", 4).collect()} == {("a", None): 1, ("a", 1): 2, ("a", 5): 3, ("a", 11): 4, ("a", 12): 5, ("b", 7): 1, (None, 3): 1, (None, 30): 2}

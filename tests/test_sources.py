@@ -22,6 +22,21 @@ def test_sessions(spark, tmp_path):
     assert (got.messages, got.first_user_id, got.name, got.cwd) == (1, "m1", None, "/x")
 
 
+def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
+    """Numbers run through blocks; carriage returns and empty files don't count."""
+    want = {"a.jsonl": [f"line {k} " + "x" * (k % 90) for k in range(3000)], "b.jsonl": ["é", "", "end"], "c.jsonl": []}
+    for name, lines in want.items():
+        (tmp_path / name).write_bytes("\r\n".join(lines).encode() if name == "a.jsonl" else "".join(x + "\n" for x in lines).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = sessions.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, lines in want.items():
+        assert [r.value for r in sorted((r for r in rows if r.file.endswith(name)), key=lambda r: r.line_no)] == lines
+        assert sorted(r.line_no for r in rows if r.file.endswith(name)) == list(range(len(lines)))
+
+
 def test_filings(spark):
     good = {"accessionNumber": ["1", "2", "1"], "filingDate": ["2026-01-02", "2026-02-02", "2026-01-02"], "form": ["10-K", "8-K", "10-K"], "primaryDocument": ["a", "b", "a"]}
     bad = {**good, "form": ["10-K"]}
