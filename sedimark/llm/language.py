@@ -7,7 +7,7 @@ vector machine for each family separates it from the others; within the family t
 wins, a machine for each pair of languages votes (ties: the larger sum of margins).
 
 Machines are trained in Spark, one to a task, by dual coordinate descent on a bounded
-sample: per_language texts of each language, chosen by a hash of doc_id. No more than
+sample: per_language texts of each language, chosen by a hash of doc_id and text. No more than
 most_languages values of lang are accepted. What reaches the driver is the weights of
 the machines.
 """
@@ -189,25 +189,24 @@ def train(docs: DataFrame, per_language: int = 400, most_languages: int = 200) -
     """A model of lang, from at most per_language texts with letters of each language; held-out rows take no part."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = [r["lang"] for r in rows.select("lang").distinct().limit(most_languages + 1).collect()]
-    if len(languages) > most_languages:
+    sizes = rows.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
         raise ValueError(f"lang has more than {most_languages} values")
-    first = Window.partitionBy("lang").orderBy("_hash", "doc_id", "_text_hash")
-    keyed = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("_hash"), F.xxhash64("text").alias("_text_hash"))
-    chosen = keyed.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    last = chosen.groupBy("lang").agg(F.max("_hash").alias("last")).collect()
-    if not last:
+    if not sizes:
         return LanguageModel(np.ones(DIMS, np.float32), {}, {}, {})
+    languages = sorted(r["lang"] for r in sizes)
+    # Hashes are even over 64 bits: about twice per_language rows of each language lie below its border.
+    last = [(r["lang"], int(min(2.0 * per_language / r["count"], 1.0) * (2**64 - 2**12)) - 2**63) for r in sizes]
     border = F.broadcast(spark.createDataFrame(last, "lang string, last long"))  # a row a language
-    near = rows.join(border, "lang").withColumn("_hash", F.xxhash64("doc_id")).filter(F.col("_hash") <= F.col("last")).withColumn("_text_hash", F.xxhash64("text"))
-    sample = near.select("lang", "doc_id", "text", "_hash", "_text_hash").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
+    near = rows.join(border, "lang").withColumn("_hash", F.xxhash64("doc_id", "text")).filter((F.col("_hash") <= F.col("last")) | (F.col("last") > 2**63 - 2**13))
+    sample = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id", "text"))).filter(F.col("n") <= per_language)
     vectors = stored(_vectors(sample), folder, "vectors")
     seen = vectors.select(F.posexplode("x").alias("at", "c")).filter("c > 0").groupBy("at").count().collect()
     n, weights = vectors.count(), np.zeros(DIMS, dtype=np.float64)
     for at, count in ((r["at"], r["count"]) for r in seen):
         weights[at] = np.log(1 + n / count)
     families: dict[str, list[str]] = {}
-    for lang in sorted(languages):
+    for lang in languages:
         families.setdefault(family_of(lang), []).append(lang)
     jobs = [(f"{a}\n{b}", lang, sign) for members in families.values() for i, a in enumerate(members) for b in members[i + 1 :] for lang, sign in ((a, 1), (b, -1))]
     if len(families) > 1:
