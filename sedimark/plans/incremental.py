@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.functions.matching import fuzzy, greedy_windows
 from sedimark.functions.numbers import backoff_ms, column_label, column_number, half_up, iso_date, period, positive, quantity
+from sedimark.functions.storage import shared_folder
 from sedimark.operators import catalog
 from sedimark.plans.registry import register
 from sedimark.plans.tables import cents, load
 from sedimark.streaming import feeds
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("streams need spark.checkpoint.dir, a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = load(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
@@ -42,7 +31,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     "SELECT user_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cost FROM events GROUP BY 1",
 )
 def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     totals = feeds.running_totals(_event_stream(spark, sf_dir), ["user_id"], {"cost": cents("value")})
     feeds.drained(totals, feeds.parquet_sink(f"{folder}/out"), f"{folder}/state", "complete")
     written = spark.read.parquet(f"{folder}/out")
@@ -51,7 +40,7 @@ def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_deduplicated", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts FROM events) GROUP BY 1, 2")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     stream = feeds.deduplicated(_event_stream(spark, sf_dir), ["user_id", "event_type", "ts"], "ts", "60 days")
     feeds.drained(stream, feeds.parquet_sink(f"{folder}/out"), f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

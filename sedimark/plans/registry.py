@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sedimark.plans import aggregates, graphs, incremental, joins, listings, research, search, windows  # noqa: F401  they register themselves
+    from sedimark.plans import aggregates, graphs, incremental, joins, listings, research, search, structure, windows  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
