@@ -21,6 +21,11 @@ def _keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(k).alias(f"_key_{k}") for k in keys]).distinct()
 
 
+def without(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of old whose key gone doesn't have; nulls are equal."""
+    return old.join(_keys(gone, keys), _same(keys), "left_anti")
+
+
 def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of new, and those of old whose key isn't among new's; a key's rows change together."""
     return old.join(_keys(new, keys), _same(keys), "left_anti").unionByName(new.select(*old.columns))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimark.functions.storage import shared_folder
+from sedimark.operators import trigrams
 from sedimark.operators.layout import SPEAKER
 from sedimark.operators.pages import page_layout
 from sedimark.plans.registry import register
 from sedimark.plans.tables import load
+from sedimark.sources.commits import Tables, append, replace_keys
 
 
 def placed_words(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,3 +52,42 @@ def layout_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each turn's page in reading order."""
     tokens, pages = placed_words(load(spark, sf_dir, "conversations").filter("text IS NOT NULL"))
     return page_layout(tokens, pages, ["conv_id", "turn"]).select("conv_id", "turn", "reading_order", "column_no", "two_column", "block_type", "text")
+
+
+@register(
+    "trigram_recall",
+    """WITH t AS (SELECT conv_id * 10000 + turn AS id, turn, max(text) AS text, max(role) AS role FROM conversations GROUP BY 1, 2),
+       l AS (SELECT id, lower(CASE WHEN turn = 0 THEN text || ' ' || role ELSE text END) AS low FROM t WHERE turn <> 3),
+       h AS (SELECT id, list_filter(range(length(low) - 3), lambda i: substr(low, i + 1, 4) = 'tion') AS places FROM l WHERE length(low) >= 4)
+       SELECT id, len(places) AS hits, places[1] AS first FROM h WHERE len(places) > 0""",
+)
+def trigram_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase's places in all turns: indexed, the first turns of conversations indexed anew, the fourth ones deleted."""
+    turns = load(spark, sf_dir, "conversations").groupBy((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), "turn").agg(F.max("text").alias("text"), F.max("role").alias("role"))
+    tables = Tables(spark, shared_folder(spark, "trigrams"))
+    trigrams.apply_batch(tables, 0, turns.select("id", "text"))
+    trigrams.apply_batch(tables, 1, turns.filter("turn = 0").select("id", F.concat("text", F.lit(" "), "role").alias("text")), turns.filter("turn = 3").select("id"))
+    return trigrams.search(tables, "tion")
+
+
+@register(
+    "committed_versions",
+    """WITH v1 AS (SELECT doc_id, lang, n_chars FROM documents), v2 AS (SELECT doc_id, lang, CASE WHEN lang = 'de' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE lang <> 'es' OR lang IS NULL),
+       b AS (SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2), s AS (SELECT version, lang, count(DISTINCT doc_id) AS ids FROM b GROUP BY 1, 2)
+       SELECT b.version, b.lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(s.ids) AS ids FROM b JOIN s ON s.version = b.version AND s.lang IS NOT DISTINCT FROM b.lang GROUP BY 1, 2""",
+)
+def committed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and their counts by language in two tables, before and after a commit that replaces some documents and drops others."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    tables = Tables(spark, shared_folder(spark, "commits"))
+    counts = lambda df: df.groupBy("lang").agg(F.countDistinct("doc_id").alias("ids"))
+    tables.commit({"docs": append(docs), "languages": append(counts(docs))})
+    german, gone = docs.filter("lang = 'de'").withColumn("n_chars", F.col("n_chars") + 1), docs.filter("lang = 'es'")
+    tables.commit({"docs": replace_keys(german, ["doc_id"], gone), "languages": replace_keys(counts(german), ["lang"], gone)})
+    out = None
+    for version in (1, 2):
+        ids = tables.read("languages", version).withColumnRenamed("lang", "_lang")
+        part = tables.read("docs", version).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+        part = part.join(ids, F.col("lang").eqNullSafe(F.col("_lang"))).select(F.lit(version).alias("version"), "lang", "docs", "chars", "ids")
+        out = part if out is None else out.unionByName(part)
+    return out
