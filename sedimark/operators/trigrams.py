@@ -12,8 +12,9 @@ are sorted by trigram, so that the filter reaches the row groups.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +28,26 @@ def postings(texts: DataFrame, stamp: int, form: Callable[[Column], Column] = F.
 
     form is what makes texts and phrases alike. Texts of fewer than three characters have none.
     """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some, rows = batch.slice(at, 200), []
+                for own, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    found: dict[str, list[int]] = {}
+                    for k in range(len(text) - 2):
+                        found.setdefault(text[k : k + 3], []).append(k)
+                    rows += [(gram, own, stamp, places) for gram, places in found.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["gram", "id", "stamp", "places"])
+
     letters = texts.select(F.col("id").cast("long").alias("id"), form(F.col("text")).alias("t")).filter("id IS NOT NULL AND length(t) >= 3")
-    each = letters.select("id", "t", F.explode(F.sequence(F.lit(0), F.length("t") - 3)).alias("place"))
-    grams = each.select(F.substr("t", F.col("place") + 1, F.lit(3)).alias("gram"), "id", "place")
-    return grams.groupBy("gram", "id").agg(F.array_sort(F.collect_list("place")).alias("places")).select("gram", "id", F.lit(stamp).cast("long").alias("stamp"), "places")
+    return letters.mapInArrow(work, POSTINGS)
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+def _sorted(rows: DataFrame, spread: int = 16) -> DataFrame:
+    """In files sorted by trigram; a common one is dealt over spread partitions."""
+    return rows.repartition("gram", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("gram", "id")
 
 
 def apply_batch(tables: Tables, batch: int, texts: DataFrame, deleted: DataFrame | None = None, form: Callable[[Column], Column] = F.lower) -> int:

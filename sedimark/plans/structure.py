@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimark.functions.storage import shared_folder
+from sedimark.functions.storage import shared_folder, stored
 from sedimark.operators import trigrams
 from sedimark.operators.layout import SPEAKER
 from sedimark.operators.pages import page_layout
 from sedimark.plans.registry import register
 from sedimark.plans.tables import load
 from sedimark.sources.commits import Tables, append, replace_keys
+from sedimark.streaming import feeds
+from sedimark.streaming.branches import OWN, branch_paths, grown_branches
 
 
 def placed_words(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,21 +75,43 @@ def trigram_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "committed_versions",
     """WITH v1 AS (SELECT doc_id, lang, n_chars FROM documents), v2 AS (SELECT doc_id, lang, CASE WHEN lang = 'de' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE lang <> 'es' OR lang IS NULL),
-       b AS (SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2), s AS (SELECT version, lang, count(DISTINCT doc_id) AS ids FROM b GROUP BY 1, 2)
-       SELECT b.version, b.lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(s.ids) AS ids FROM b JOIN s ON s.version = b.version AND s.lang IS NOT DISTINCT FROM b.lang GROUP BY 1, 2""",
+       b AS (SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2)
+       SELECT version, doc_id, lang, n_chars, count(*) OVER (PARTITION BY version, lang) AS docs FROM b""",
 )
 def committed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and their counts by language in two tables, before and after a commit that replaces some documents and drops others."""
+    """Documents and, of a second table, the number of their language's, before and after a commit that replaces some documents and drops others."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     tables = Tables(spark, shared_folder(spark, "commits"))
-    counts = lambda df: df.groupBy("lang").agg(F.countDistinct("doc_id").alias("ids"))
+    counts = lambda df: df.groupBy("lang").agg(F.count("*").alias("docs"))
     tables.commit({"docs": append(docs), "languages": append(counts(docs))})
     german, gone = docs.filter("lang = 'de'").withColumn("n_chars", F.col("n_chars") + 1), docs.filter("lang = 'es'")
     tables.commit({"docs": replace_keys(german, ["doc_id"], gone), "languages": replace_keys(counts(german), ["lang"], gone)})
     out = None
     for version in (1, 2):
-        ids = tables.read("languages", version).withColumnRenamed("lang", "_lang")
-        part = tables.read("docs", version).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
-        part = part.join(ids, F.col("lang").eqNullSafe(F.col("_lang"))).select(F.lit(version).alias("version"), "lang", "docs", "chars", "ids")
+        languages = tables.read("languages", version).withColumnRenamed("lang", "_lang")
+        part = tables.read("docs", version).join(languages, F.col("lang").eqNullSafe(F.col("_lang")))
+        part = part.select(F.lit(version).alias("version"), "doc_id", "lang", "n_chars", "docs")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@register(
+    "branch_growth",
+    """WITH RECURSIVE o AS (SELECT user_id, event_id AS id, event_type, lag(event_id, 1) OVER w AS one, lag(event_id, 2) OVER w AS two FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+       e AS (SELECT user_id, id, CASE WHEN event_type = 'error' THEN two ELSE one END AS parent FROM o),
+       up AS (SELECT user_id, id AS leaf, id, parent FROM e WHERE NOT EXISTS (SELECT 1 FROM e c WHERE c.parent = e.id)
+              UNION ALL SELECT up.user_id, up.leaf, e.id, e.parent FROM up JOIN e ON e.id = up.parent)
+       SELECT CAST(user_id AS VARCHAR) AS session, CAST(leaf AS VARCHAR) AS leaf, count(*) AS entries, CAST(min(id) AS VARCHAR) AS root, CAST(sum(id) AS BIGINT) AS ids FROM up GROUP BY 1, 2""",
+)
+def branch_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way to each leaf of users' events, an error following the event before the last; taken in two runs on one checkpoint."""
+    folder, before = shared_folder(spark, "branches"), Window.partitionBy("user_id").orderBy("event_id")
+    parent = F.when(F.col("event_type") == "error", F.lag("event_id", 2).over(before)).otherwise(F.lag("event_id").over(before))
+    events = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), parent.alias("parent_id"), F.col("event_id").alias("seq"), (F.percent_rank().over(before) > 0.5).alias("late"))
+    entries = stored(events, folder, "events")
+    for late in (False, True):
+        entries.filter(F.col("late") == late).drop("late").write.parquet(f"{folder}/in/late={late}")
+        stream = feeds.read_stream(spark, f"{folder}/in/*", entries.drop("late").schema)
+        feeds.drained(grown_branches(stream), feeds.parquet_sink(f"{folder}/out"), f"{folder}/state")
+    own = spark.read.schema(f"{OWN}, batch int").parquet(f"{folder}/out")
+    return branch_paths(own).groupBy("session", "leaf").agg(F.count("*").alias("entries"), F.min_by("id", "position").alias("root"), F.sum(F.col("id").cast("long")).alias("ids"))
