@@ -247,10 +247,11 @@ _DIGITS = r"length(b) - length(regexp_replace(b, '[0-9%¥￥$€.,]', '', 'g'))"
 )
 def page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages whose lines are blocks."""
-    one = F.lit(1.0)
-    blocks = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda b: F.struct(b.alias("text"), layout.block_type(b, one, one).alias("type")))
-    key = F.col("doc_id")
-    return load(spark, sf_dir, "documents").select("doc_id", layout.page_role(key % 7 + 1, F.lit(7), F.col("text"), blocks, key % 3, key % 4, key % 13).alias("role"))
+    one, key = F.lit(1.0), F.col("doc_id")
+    counts = {"number": key % 7 + 1, "total": F.lit(7), "images": key % 3, "large_images": key % 4, "drawings": key % 13}
+    pages = load(spark, sf_dir, "documents").select("doc_id", "text").withColumns(counts)
+    lines = pages.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
+    return layout.page_roles(pages, lines.withColumn("type", layout.block_type(F.col("text"), one, one)), ["doc_id"]).select("doc_id", "role")
 
 
 @register(

@@ -127,9 +127,10 @@ def test_percentages(spark):
 )
 def test_page_roles(spark, role, number, text, counts):
     one = F.lit(1.0)
-    df = spark.createDataFrame([(text,)], "t string")
-    blocks = F.transform(F.split(F.coalesce("t", F.lit("")), "\n"), lambda b: F.struct(b.alias("text"), layout.block_type(b, one, one).alias("type")))
-    assert df.select(layout.page_role(F.lit(number), F.lit(9), F.col("t"), blocks, *map(F.lit, counts))).first()[0] == role
+    pages = spark.createDataFrame([("p", number, 9, text, *counts)], "page string, number int, total int, text string, images int, large_images int, drawings int")
+    lines = pages.select("page", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
+    found = layout.page_roles(pages, lines.withColumn("type", layout.block_type(F.col("text"), one, one)), ["page"]).first()
+    assert found.role == role and (role == "body") == (not any(set(names) <= set(found.signals) for _, names in layout.ROLES))
 
 
 def test_block_types(spark):
