@@ -127,3 +127,47 @@ def greedy_windows(pages: DataFrame, keys: list[str], order: str, size: Column,
 
     rows = pages.select(*keys, F.col(order).cast("long").alias("_o"), size.cast("long").alias("_s")).filter("_s > 0")
     return folded(rows, keys, ["_o", "_s"], fill, "_o long, window int").withColumnRenamed("_o", order)
+
+
+def hard_split(text: str, limit: int) -> list[str]:
+    """Pieces of at most limit characters, cut at the last line end or space beyond half of it, if there is one."""
+    pieces, rest = [], text.strip()
+    while len(rest) > limit:
+        cut = max(rest.rfind(c, 0, limit + 1) for c in "\n ")
+        cut = cut if cut >= max(1, limit // 2) else limit
+        pieces.append(rest[:cut].rstrip())
+        rest = rest[cut:].lstrip()
+    return [*pieces, rest] if rest else pieces
+
+
+def packed_items(items: DataFrame, keys: list[str], number: str, text: str, max_chars: int, prefix: str = "") -> DataFrame:
+    """keys, start, end, part_index, part_count and content: each key's items, in the order of their numbers, in pieces of max_chars.
+
+    An item that fits goes on with the piece before it, on a line of its own; one that doesn't
+    begins a piece. A longer one is cut into parts that stand alone and are counted. Every
+    piece starts with the prefix, unless that leaves fewer than 32 characters; a piece has 32 at
+    least. Items without text are left out; of those with one number the lesser text comes first.
+    A task holds a piece and an item, whatever the size of the key.
+    """
+    head = prefix.strip()
+    head = f"{head}\n" if head and len(head) + 32 < max_chars else ""
+    room = max(32, max_chars - len(head))
+
+    def pack(rows):
+        held, start, end, used = [], None, None, 0
+        for n, t in rows:
+            parts = hard_split(t, room)
+            if held and (len(parts) > 1 or used + 1 + len(parts[0]) > room):
+                yield start, end, 1, 1, head + "\n".join(held)
+                held = []
+            if len(parts) > 1:
+                yield from ((n, n, k, len(parts), head + part) for k, part in enumerate(parts, 1))
+                continue
+            start, used = (start, used + 1) if held else (n, 0)
+            held.append(parts[0])
+            end, used = n, used + len(parts[0])
+        if held:
+            yield start, end, 1, 1, head + "\n".join(held)
+
+    rows = items.select(*keys, F.col(number).cast("long").alias("_n"), F.col(text).alias("_t")).filter(F.col("_n").isNotNull() & F.col("_t").rlike(r"(?U)\S"))
+    return folded(rows, keys, ["_n", "_t"], pack, "start long, end long, part_index int, part_count int, content string")

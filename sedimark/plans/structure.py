@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sedimark.functions.matching import packed_items
 from sedimark.functions.storage import shared_folder, stored
+from sedimark.functions.workbook_units import source_unit
 from sedimark.operators import trigrams
 from sedimark.operators.layout import SPEAKER
 from sedimark.operators.pages import page_layout
@@ -56,6 +58,41 @@ def layout_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_layout(tokens, pages, ["conv_id", "turn"]).select("conv_id", "turn", "reading_order", "column_no", "two_column", "block_type", "text")
 
 
+#: A source's unit, the unit that is expected, and what comes of it.
+STATED_UNITS = (
+    ("Units: USD billion", "USDbn", "resolved", "USD", 1e9), ("人民币（百万元）", "CNYm", "resolved", "CNY", 1e6), ("RMB per share", "CNY/share", "resolved", "CNY/share", 1.0), ("百万股", "shares_m", "resolved", "shares", 1e6), ("shares 100m", "shares_100m", "resolved", "shares", 1e8),
+    ("%", "%", "resolved", "ratio", 1.0), ("x", "x", "resolved", "multiple", 1.0), ("per share (currency unknown)", "per_share", "resolved", "unknown_currency/share", 1.0), ("CNY million", "EURm", "conflict", "CNY", 1e6), ("百万元", "CNYm", "unresolved", None, None), ("CNY; CHF", "CNY", "unresolved", None, None),
+    ("CNY million; CNY", "CNYm", "ambiguous", None, None), ("k EUR m", "EURk", "two_scales", None, None), ("General", "CNYm", "missing", None, None), ("", "CNY", "missing", None, None), ("USD", "dollars", "unsupported", None, None),
+)
+
+
+@register(
+    "stated_units",
+    f"""WITH u AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{s}', {'NULL' if d is None else repr(d)}, {'NULL' if c is None else repr(c)})" for k, (_, _, s, d, c) in enumerate(STATED_UNITS))}) t(k, status, dimension, scale))
+        SELECT o_orderkey, o_custkey, status, dimension, CAST(scale AS DOUBLE) AS scale FROM orders JOIN u ON u.k = (o_orderkey + o_custkey) % {len(STATED_UNITS)}""",
+)
+def stated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the unit written beside each order's price establishes."""
+    pick = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in STATED_UNITS]), (F.pmod(F.col("o_orderkey") + F.col("o_custkey"), F.lit(len(STATED_UNITS))) + 1).cast("int"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", source_unit(pick(0), pick(1)).alias("u"))
+    return rows.select("o_orderkey", "o_custkey", "u.status", "u.dimension", "u.scale")
+
+
+@register(
+    "packed_items",
+    """WITH RECURSIVE i AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0),
+       t AS (SELECT conv_id, turn, length(text) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM i),
+       f AS (SELECT conv_id, turn, r, s AS used, 0 AS w FROM t WHERE r = 1
+             UNION ALL SELECT t.conv_id, t.turn, t.r, CASE WHEN f.used + 1 + t.s > 2200 THEN t.s ELSE f.used + 1 + t.s END, f.w + CASE WHEN f.used + 1 + t.s > 2200 THEN 1 ELSE 0 END FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1)
+       SELECT conv_id, min(turn) AS start, max(turn) AS "end", max(used) + 6 AS chars FROM f GROUP BY conv_id, w""",
+)
+def packed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns packed into pieces of 2206 characters with a prefix; the SQL holds for turns that fit one, cuts are tested against a version on lists."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    pieces = packed_items(turns, ["conv_id"], "turn", "text", 2206, "turns")
+    return pieces.select("conv_id", "start", "end", F.length("content").cast("long").alias("chars"))
+
+
 @register(
     "trigram_recall",
     """WITH t AS (SELECT conv_id * 10000 + turn AS id, turn, max(text) AS text, max(role) AS role FROM conversations GROUP BY 1, 2),
