@@ -11,6 +11,7 @@ from sedimark.functions.workbook_units import source_unit
 from sedimark.operators import trigrams
 from sedimark.operators.layout import SPEAKER
 from sedimark.operators.pages import page_layout
+from sedimark.operators.revisions import edited, restoring
 from sedimark.plans.registry import register
 from sedimark.plans.tables import load
 from sedimark.sources.commits import Tables, append, replace_keys
@@ -152,3 +153,22 @@ def branch_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
         feeds.drained(grown_branches(stream), feeds.parquet_sink(f"{folder}/out"), f"{folder}/state")
     own = spark.read.schema(f"{OWN}, batch int").parquet(f"{folder}/out")
     return branch_paths(own).groupBy("session", "leaf").agg(F.count("*").alias("entries"), F.min_by("id", "position").alias("root"), F.sum(F.col("id").cast("long")).alias("ids"))
+
+
+@register(
+    "record_revisions",
+    """WITH b AS (SELECT doc_id, lang AS status, n_chars AS size FROM documents WHERE doc_id IS NOT NULL),
+       r AS (SELECT doc_id AS card_id, 1 AS revision, 1 AS valid_from, CASE WHEN status = 'en' THEN 2 END AS valid_to, size FROM b
+             UNION ALL SELECT doc_id, 2, 2, CASE WHEN size % 2 = 0 THEN 3 END, size + 1 FROM b WHERE status = 'en'
+             UNION ALL SELECT doc_id, 3, 3, NULL, size FROM b WHERE status = 'en' AND size % 2 = 0)
+       SELECT card_id, revision, valid_from, valid_to, size FROM r""",
+)
+def record_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: all are created, English ones revised and, where their size is even, restored; edits of other languages are stale."""
+    docs = load(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("card_id"), F.col("lang").alias("status"), F.col("n_chars").alias("size"))
+    edit = lambda expected, at, size: docs.select("card_id", F.when(F.col("status") == "en", expected).otherwise(expected + 6).alias("expected"), F.lit(at).alias("at"), F.lit("r").alias("request_id"), size.alias("size"), "status")
+    none = spark.createDataFrame([], "card_id long, revision int, valid_from int, valid_to int, size long, status string")
+    table = edited(none, edit(0, 1, F.col("size")).withColumn("expected", F.lit(0)))
+    table = edited(table, edit(1, 2, F.col("size") + 1))
+    back = docs.filter("size % 2 = 0").select("card_id", F.lit(1).alias("revision"), F.lit(2).alias("expected"), F.lit(3).alias("at"), F.lit("r").alias("request_id"))
+    return edited(table, restoring(table, back)).drop("status")
