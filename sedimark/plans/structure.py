@@ -17,6 +17,7 @@ from sedimark.plans.tables import load
 from sedimark.sources.commits import Tables, append, replace_keys
 from sedimark.streaming import feeds
 from sedimark.streaming.branches import OWN, branch_paths, grown_branches
+from sedimark.streaming.leases import lease_outcomes
 
 
 def placed_words(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,3 +173,26 @@ def record_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = edited(table, edit(1, 2, F.col("size") + 1))
     back = docs.filter("size % 2 = 0").select("card_id", F.lit(1).alias("revision"), F.lit(2).alias("expected"), F.lit(3).alias("at"), F.lit("r").alias("request_id"))
     return edited(table, restoring(table, back)).drop("status")
+
+
+@register(
+    "lease_outcomes",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS job, event_id AS seq, event_id // 40 AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r,
+                                   CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'enqueue' ELSE ['claim', 'heartbeat', 'done', 'failed', 'claim'][1 + event_id % 5] END AS kind, 1 + event_id % 3 AS named FROM events),
+       f AS (SELECT job, seq, moment, r, kind, 'queued' AS outcome, 'queued' AS status, 0 AS attempts, CAST(0 AS BIGINT) AS fence, CAST(0 AS BIGINT) AS lease_until FROM e WHERE r = 1
+             UNION ALL
+             SELECT job, seq, moment, r, kind,
+                    CASE WHEN kind = 'claim' THEN CASE WHEN s IN ('queued', 'retry_wait') THEN 'claimed' WHEN s = 'running' THEN 'busy' ELSE 'closed' END WHEN s <> 'running' OR named <> fence THEN 'refused' WHEN kind = 'heartbeat' THEN 'renewed' ELSE 'accepted' END,
+                    CASE WHEN kind = 'claim' AND s IN ('queued', 'retry_wait') THEN 'running' WHEN kind IN ('claim', 'heartbeat') OR s <> 'running' OR named <> fence THEN s WHEN kind = 'done' THEN 'done' WHEN attempts >= 3 THEN 'failed' ELSE 'retry_wait' END,
+                    attempts + CASE WHEN kind = 'claim' AND s IN ('queued', 'retry_wait') THEN 1 ELSE 0 END, fence + CASE WHEN kind = 'claim' AND s IN ('queued', 'retry_wait') THEN 1 ELSE 0 END,
+                    CASE WHEN (kind = 'claim' AND s IN ('queued', 'retry_wait')) OR (kind = 'heartbeat' AND s = 'running' AND named = fence) THEN moment + 6 ELSE lease_until END
+             FROM (SELECT e.job, e.seq, e.moment, e.r, e.kind, e.named, f.attempts, f.fence, f.lease_until, CASE WHEN f.status = 'running' AND e.moment > f.lease_until THEN CASE WHEN f.attempts >= 3 THEN 'failed' ELSE 'retry_wait' END ELSE f.status END AS s
+                   FROM f JOIN e ON e.job = f.job AND e.r = f.r + 1))
+       SELECT job, moment, seq, kind, outcome, status, attempts, fence, lease_until FROM f""",
+)
+def leases_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as claims, heartbeats and results of a job."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    kind = F.element_at(F.array(*map(F.lit, ("claim", "heartbeat", "done", "failed", "claim"))), (1 + F.col("event_id") % 5).cast("int"))
+    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.floor(F.col("event_id") / 40).alias("at"), F.col("event_id").alias("seq"), F.when(place == 1, "enqueue").otherwise(kind).alias("kind"), (1 + F.col("event_id") % 3).alias("fence"))
+    return lease_outcomes(rows, lease_ms=6).withColumnRenamed("at", "moment")

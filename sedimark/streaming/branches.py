@@ -23,7 +23,7 @@ def _growth(close_after_ms: int | None):
     def grow(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held, heard = state.get if state.exists else (-1, "{}", 0)
         now = state.getCurrentProcessingTimeMs()
-        tips = {} if state.hasTimedOut or (close_after_ms is not None and now - heard > close_after_ms) else json.loads(held)
+        tips = {} if close_after_ms is not None and now - heard > close_after_ms else json.loads(held)
         fresh = sorted({row for f in frames for row in f[["seq", "id", "parent_id"]].itertuples(index=False, name=None) if row[0] > last}, key=lambda r: r[:2])
         out = []
         for seq, own, parent in fresh:
@@ -31,8 +31,6 @@ def _growth(close_after_ms: int | None):
             tips[own] = branch
             out.append((key[0], branch, own, parent, seq))
         state.update((int(fresh[-1][0]) if fresh else last, json.dumps(tips), now))
-        if close_after_ms is not None and tips:
-            state.setTimeoutDuration(close_after_ms)
         if out:
             yield pd.DataFrame(out, columns=["session", "branch", "id", "parent_id", "seq"])
 
@@ -45,13 +43,13 @@ def grown_branches(entries: DataFrame, close_after_ms: int | None = None) -> Dat
     entries (session, id, parent_id, seq) is a stream; a session's seq grows, a parent's is
     less than its child's. An entry whose parent is a tip goes on with its branch; any other
     begins one, named by its id, and branch_paths finds what lies before it. Entries that come
-    again are passed over. The state is the tips, not the entries; a tip that nothing has
-    followed for close_after_ms is forgotten, and what follows later begins a branch.
+    again are passed over. The state is the tips, not the entries. A session that wasn't heard of
+    for close_after_ms has its tips forgotten when it is, and what follows begins a branch; no
+    timer runs, so that a stream of what is there now comes to an end.
     """
     rows = entries.select(F.col("session").cast("string").alias("session"), F.col("id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), F.col("seq").cast("long").alias("seq"))
     rows = rows.filter("session IS NOT NULL AND id IS NOT NULL AND seq IS NOT NULL")
-    timeout = GroupStateTimeout.NoTimeout if close_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy("session").applyInPandasWithState(_growth(close_after_ms), OWN, STATE, "append", timeout)
+    return rows.groupBy("session").applyInPandasWithState(_growth(close_after_ms), OWN, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def branch_paths(own: DataFrame) -> DataFrame:
