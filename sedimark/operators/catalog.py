@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.functions.folds import folded
+
 
 def active(df: DataFrame, history: bool = False) -> Column:
     """Not deleted, current and active, by those of the three columns that df has."""
@@ -68,10 +73,20 @@ def request_conflicts(rows: DataFrame, keys: list[str], payload: Column) -> Data
 
 
 def fingerprint(rows: DataFrame, keys: list[str], order: list[str], parts: list[str]) -> DataFrame:
-    """SHA-256 of each group's row digests in order; a group's rows are its document's pages or cells."""
+    """SHA-256 of each group's row digests in order; a group's rows are its document's pages or cells.
+
+    Digests are made where the rows lie and streamed through one hash, so that a group of any size takes no memory.
+    """
     row = F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, row.alias("_d")))), lambda x: x["_d"])
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(listed, "\0"), 256).alias("fingerprint"))
+
+    def hashed(group: Iterable[tuple]) -> Iterator[tuple]:
+        whole, mark = hashlib.sha256(), b""
+        for *_, digest in group:
+            whole.update(mark + digest.encode())
+            mark = b"\0"
+        yield (whole.hexdigest(),)
+
+    return folded(rows.select(*keys, *order, row.alias("_d")), keys, [*order, "_d"], hashed, "fingerprint string").select(*keys, "fingerprint")
 
 
 def pending(every: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -102,6 +102,19 @@ def test_repeated_bars_come_back_as_often(spark, most_pairs):
     assert sorted(((r.key, r.bar_date, r.valuation_seq) for r in got.collect()), key=str) == sorted([("k", day(5), 1)] * 3 + [("k", day(1), None)] * 2 + [("k", None, None)] * 2 + [(None, day(5), None)], key=str)
 
 
+def test_fingerprints_follow_order_and_nulls(spark):
+    import hashlib
+
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    data = [("a", 2, "x", None), ("a", 1, "y", "z"), (None, 1, "n", "n"), ("b", None, "", ""), ("b", 3, "q", "q")] + [("big", n, "t", str(n)) for n in range(30_000)]
+    got = {r.k: r.fingerprint for r in catalog.fingerprint(spark.createDataFrame(data, "k string, o int, p string, q string").repartition(4), ["k"], ["o"], ["p", "q"]).collect()}
+    want = {}
+    for key in ("a", "b", None, "big"):
+        mine = sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0))
+        want[key] = h("\0".join(h((p or "") + "\0" + (q or "")) for _, _, p, q in mine))
+    assert got == want
+
+
 def test_numbers_within_spans(spark):
     df = spark.createDataFrame([("a", 5), ("a", 1), ("a", 12), ("b", 7), ("a", None), (None, 3), ("a", 11), (None, 30)], "k string, o int")
     assert {(r.k, r.o): r._n for r in catalog.numbered_within(df, "k", "o", 4).collect()} == {("a", None): 1, ("a", 1): 2, ("a", 5): 3, ("a", 11): 4, ("a", 12): 5, ("b", 7): 1, (None, 3): 1, (None, 30): 2}
