@@ -171,7 +171,10 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> AdditiveModel:
-    """A model of labels.quality (1 or 0; other rows are passed over) from at most max_rows labels."""
+    """A model of labels.quality (1 or 0; other rows are passed over) from at most max_rows labels.
+
+    Of an id that repeats, each label counts with each row.
+    """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_rows)
     known = docs.select(F.col("doc_id").alias("_doc"), text_of().alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # max_rows small rows at most

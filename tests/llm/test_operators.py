@@ -170,6 +170,12 @@ def test_token_files_of_an_empty_table(spark, empty):
     assert token_store.read_tokens(token_store.write_tokens(empty, shared_folder(spark), tokenizer_path(), end_id=2)).count() == 0
 
 
+def test_tokens_by_numbers_of_an_empty_store(spark, empty):
+    manifest = token_store.write_tokens(empty, shared_folder(spark), tokenizer_path(), end_id=2)
+    asked = spark.createDataFrame([(0,), (7,), (None,)], "number long")
+    assert [r.token for r in token_store.tokens_at(manifest, asked).collect()] == [None] * 3
+
+
 # exact duplicates
 
 
@@ -533,6 +539,29 @@ def test_quality_learns_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+def test_quality_on_the_driver_s_held_out_labels(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    scored = quality.score_documents(documents, quality.train(documents, labels)).join(labels, "doc_id").filter("held_out AND quality IN (0, 1)").collect()
+    good, bad = ([r.score for r in scored if r.quality == q] for q in (1, 0))
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(scored) > 200 and auc > 0.95
+    assert np.mean([r.predicted == r.quality for r in scored]) > 0.9
+
+
+def test_repeated_ids_in_labels_and_documents(spark):
+    """Each label of an id counts with each of its rows, in whatever order they come."""
+    rows = [(k, f"word {k} " * (k % 7 + 1)) for k in range(60)] + [(3, "other text"), (3, "other text")]
+    labels = [(k, k % 2, 0) for k in range(60)] + [(3, 0, 0), (3, 1, 0)]
+    models = []
+    for turn in (1, -1):
+        docs = spark.createDataFrame(rows[::turn], "doc_id long, text string").repartition(3)
+        models.append(quality.train(docs, spark.createDataFrame(labels[::turn], "doc_id long, quality int, toxic int").repartition(2)))
+    x = np.array([quality.features(t) for _, t in rows])
+    assert (models[0].score(x) == models[1].score(x)).all() and quality.score_documents(docs, models[0]).count() == len(rows)
+
+
 def test_quality_without_labels_or_texts(spark, docs, texts):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (10**9, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)

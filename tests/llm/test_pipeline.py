@@ -64,3 +64,9 @@ def test_run_against_brute_force(spark):
         lengths[r.doc_id] += r.length
         assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
     assert lengths == Counter({d: len(ids) for d, ids in want.items()})
+
+
+def test_run_over_no_documents(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
