@@ -106,10 +106,13 @@ class CoverTree:
 
 
 class Walk:
-    """Assigns points to their nearest centroids (ties: the smaller number); compared counts the exact distances."""
+    """Assigns points to their nearest centroids (ties: the smaller number).
+
+    met counts the distances of nodes' centres, compared those of points in pairs of leaves.
+    """
 
     def __init__(self, points: np.ndarray, tree: CoverTree, centroids: np.ndarray):
-        self.compared = 0
+        self.met = self.compared = 0
         self.cluster = np.zeros(len(points), dtype=np.int32)
         if not len(points):
             return
@@ -121,6 +124,7 @@ class Walk:
         q, r = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         while len(q):
+            self.met += len(q)
             apart = roots(squared(points[tree.centre[q]], centroids[sites.centre[r]]))
             np.minimum.at(bound, q, apart + tree.radius[q])
             radii = tree.radius[q] + sites.radius[r]
