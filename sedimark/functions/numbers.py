@@ -175,23 +175,29 @@ def quantity(value: Column, unit: Column, currency: Column) -> Column:
 
 
 def column_number(letters: Column) -> Column:
-    """A to 1, Z to 26, AA to 27."""
-    return F.aggregate(F.filter(F.split(F.upper(letters), ""), lambda c: c != ""), F.lit(0), lambda n, c: (n * 26 + F.ascii(c) - 64).cast("int"))
+    """A to 1, Z to 26, AA to 27, as a long."""
+    return F.aggregate(F.filter(F.split(F.upper(letters), ""), lambda c: c != ""), F.lit(0).cast("long"), lambda n, c: n * 26 + (F.ascii(c) - 64))
+
+
+#: The first numbers whose labels have one letter, two and so on, as far as a long goes.
+_FIRST_LABELS = [(26**k - 1) // 25 for k in range(1, 15)]
 
 
 def column_label(n: Column) -> Column:
-    """1 to A, 27 to AA; for the 16,384 columns of a sheet."""
-    letter = lambda x: F.char((x + 65).cast("long"))
-    m = n - 1
-    return F.when(n <= 26, letter(m)).when(n <= 702, F.concat(letter(F.floor(m / 26) - 1), letter(m % 26))).otherwise(F.concat(letter(F.floor((m - 26) / 676) - 1), letter(F.floor((m - 26) / 26) % 26), letter(m % 26)))
+    """1 to A, 26 to Z, 27 to AA, for all longs; 0 has no letters, a number below it no label."""
+    n = n.cast("long")
+    letter = lambda k, first: F.char(F.call_function("div", n - first, F.lit(26**k)) % 26 + 65)
+    letters = [F.when(n >= first, letter(k, first)).otherwise("") for k, first in enumerate(_FIRST_LABELS)]
+    return F.when(n >= 0, F.concat(*reversed(letters)))
 
 
 def cell_range(text: Column) -> Column:
     """struct(row_start, row_end, col_start, col_end) of an A1 range, ends in order; null if it isn't one."""
     pattern = r"^\$?([A-Za-z]{1,3})\$?(\d{1,7})(?::\$?([A-Za-z]{1,3})\$?(\d{1,7}))?$"
     part = lambda i: F.regexp_extract(text, pattern, i)
-    c1, r1 = column_number(part(1)), part(2).try_cast("int")
-    c2, r2 = F.when(part(3) == "", c1).otherwise(column_number(part(3))), F.coalesce(part(4).try_cast("int"), r1)
+    column = lambda i: column_number(part(i)).cast("int")
+    c1, r1 = column(1), part(2).try_cast("int")
+    c2, r2 = F.when(part(3) == "", c1).otherwise(column(3)), F.coalesce(part(4).try_cast("int"), r1)
     inside = text.rlike(pattern) & (F.greatest(c1, c2) <= 16384) & (F.greatest(r1, r2) <= 1048576) & (F.least(r1, r2) >= 1)
     return F.when(inside, F.struct(F.least(r1, r2).alias("row_start"), F.greatest(r1, r2).alias("row_end"), F.least(c1, c2).alias("col_start"), F.greatest(c1, c2).alias("col_end")))
 

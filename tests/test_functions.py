@@ -98,3 +98,14 @@ def test_greedy_windows(spark):
     pages = spark.createDataFrame([("d", i, n) for i, n in enumerate([5, 5, 0, 4, 9, 20, 1])], "doc string, page int, n int")
     got = {r.page: r.window for r in matching.greedy_windows(pages, ["doc"], "page", F.col("n"), 10, most=3).collect()}
     assert got == {0: 0, 1: 0, 3: 1, 4: 2, 5: None, 6: None}
+
+
+def test_column_labels_beyond_a_sheet(spark):
+    numbers_ = [0, 1, 26, 27, 702, 703, 18278, 18279, 120_000, 7_200_000, 26**7, 2**31, 2**63 - 1]
+
+    def label(n):
+        return "" if n == 0 else label((n - 1) // 26) + chr(65 + (n - 1) % 26)
+
+    df = spark.createDataFrame([(n,) for n in [*numbers_, -1, None]], "n long").select("n", numbers.column_label(F.col("n")).alias("label"))
+    got = {r.n: (r.label, r.back) for r in df.select("n", "label", numbers.column_number(F.col("label")).alias("back")).collect()}
+    assert got == {n: (label(n), n) for n in numbers_} | {-1: (None, None), None: (None, None)}
