@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sedimark.functions import folds, references
 from sedimark.operators import layout, listings
+from sedimark.plans import registry
 
 
 def rows(df):
@@ -183,3 +185,17 @@ def test_folds_stream_over_batches(spark):
     odd = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (None, 3), (1.0, 4)], "k double, o int").repartition(3)
     assert sorted(r.n for r in folds.folded(odd, ["k"], ["o"], count, "n long, last long").collect()) == [1, 1, 2]
     assert folds.folded(df.limit(0), ["k"], ["o"], count, "n long, last long").collect() == []
+
+
+def test_page_roles_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    words = "mots " * 300  # 1,200 letters
+    texts = [
+        words + "actúa " * 9, words + "act é " * 9, words + "éact " * 9, words + "\u017fecurities " * 9, words + "brokers " * 8, "x\rdisclaimer\rx", "x\u2028disclaimer\u2028x", "\x0bdisclaimer", "x\r\ndisclaimer\r\nx",
+        "\n".join(["12345678"] * 7 + ["words of no number"] * 18), "\n".join(["1234567 words of a line.."[:25]] * 3), "\n".join(["a 1"] * 3 + ["b"] * 2 + ["\xa0", "\u3000 "]), "a\x0bFigure 1: x", "Figure\x0b1: x", None, "", "\xa0",
+    ]
+    rows = [(n * 84 + k, text) for n, text in enumerate(texts) for k in range(84)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = {tuple(r) for r in registry.queries()["page_roles"](spark, str(tmp_path)).collect()}
+    assert found == set(con.execute(registry.oracle_sql()["page_roles"]).fetchall())
