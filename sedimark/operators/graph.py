@@ -27,9 +27,14 @@ def _levels(max_depth: int | None):
     return count(1) if max_depth is None else range(1, max_depth + 1)
 
 
+def _outgoing(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) written once, where they lie by their src, and never copied to the driver for a join: a walk reads them each level."""
+    return _cut(edges.select("src", "dst").filter("src IS NOT NULL").repartition("src")).hint("merge")
+
+
 def _new(found: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of found whose root and node aren't known; nulls are equal, so that a null root ends too."""
-    seen = known.select(F.col("root").alias("_root"), F.col("node").alias("_node"))
+    seen = known.select(F.col("root").alias("_root"), F.col("node").alias("_node")).hint("merge")
     return found.join(seen, F.col("root").eqNullSafe(F.col("_root")) & F.col("node").eqNullSafe(F.col("_node")), "left_anti")
 
 
@@ -40,10 +45,11 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
     the edges and leaves out what is known, so a node is expanded once for a root.
     It ends when a level finds nothing, or after max_depth levels if the caller sets it.
     """
-    known = frontier = start.select("root", "node").distinct().withColumn("depth", F.lit(0))
+    edges = _outgoing(edges)
+    known = frontier = _cut(start.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     for depth in _levels(max_depth):
-        found = frontier.select("root", F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("node")).distinct()
-        frontier = _cut(_new(found, known).withColumn("depth", F.lit(depth)), depth)
+        found = frontier.select("root", F.col("node").alias("src")).join(edges, "src").select("root", F.col("dst").alias("node")).distinct()
+        frontier = _cut(_new(found, known).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         known = _cut(known.unionByName(frontier), depth)
@@ -104,11 +110,12 @@ def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int | None = N
 
     max_depth, if the caller sets it, is the most edges of a way.
     """
-    known = frontier = start.select("root", "node", F.array(F.col("node")).alias("path"))
+    edges = _outgoing(edges)
+    known = frontier = _cut(start.select("root", "node", F.array(F.col("node")).alias("path")))
     for depth in _levels(max_depth):
-        step = frontier.withColumnRenamed("node", "src").join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        step = frontier.withColumnRenamed("node", "src").join(edges, "src").select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         best = step.groupBy("root", "node").agg(F.min("path").alias("path"))
-        frontier = _cut(_new(best, known), depth)
+        frontier = _cut(_new(best, known))
         if frontier.isEmpty():
             break
         known = _cut(known.unionByName(frontier), depth)

@@ -194,3 +194,15 @@ def test_lines(spark):
     found = retrieval.matched_lines(df, "text", ["alpha", "beta"])
     assert [(r.line_no, r.offset, r.matched) for r in found.orderBy("line_no").collect()] == [(0, 1, ["alpha", "beta"]), (1, 1, ["beta"]), (3, 1, ["alpha"])]
     assert [r.line_no for r in retrieval.best_lines(found, ["page"], 2).orderBy("line_no").collect()] == [0, 1]
+
+
+def test_walks_send_no_table_of_edges_to_the_driver(spark):
+    size = "spark.sql.maxBroadcastTableSize"
+    edges = spark.range(2, 3001).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"))
+    start = spark.range(1, 2).select(F.col("id").alias("root"), F.col("id").alias("node"))
+    spark.conf.set(size, 20_000)  # a larger one is refused
+    try:
+        assert graph.reach(edges, start).agg(F.count("*"), F.sum("node"), F.max("depth")).first()[:] == (3000, 4501500, 11)
+        assert graph.shortest_paths(edges, start).agg(F.count("*"), F.sum(F.size("path"))).first()[:] == (3000, sum(n.bit_length() for n in range(1, 3001)))
+    finally:
+        spark.conf.unset(size)
