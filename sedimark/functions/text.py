@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ LATIN_TERM = r"[a-z0-9][a-z0-9._/%+-]{1,}"
 CJK_RUN = r"[一-鿿]{2,}"
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value reckoned once however often then names it; written out, each use would reckon it anew."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 @F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode compatibility composition, for which Spark has no function."""

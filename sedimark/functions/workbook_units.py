@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sedimark.functions.numbers import narrowed
+from sedimark.functions.text import bound
 
 #: Names of currencies and their codes.
 CURRENCY_NAMES = {
@@ -151,6 +152,17 @@ def _scaled(pattern: str):
     return make
 
 
+def _taken(pattern: str, make):
+    """Adds the quantities of a pattern's matches to what was read before, and takes them out of the text that is left."""
+
+    def take(s: Column) -> Column:
+        left = s["left"]
+        twice = s["twice"] | F.exists(F.regexp_extract_all(left, F.lit(pattern), F.lit(0)), _has_two(pattern)) if pattern in (_MONEY, _SHARES) else s["twice"]
+        return F.struct(F.regexp_replace(left, pattern, " ").alias("left"), F.concat(s["units"], _matches(left, pattern, make)).alias("units"), twice.alias("twice"))
+
+    return take
+
+
 def source_unit(text: Column, expected: Column, metric: Column | None = None, number_format: bool = False) -> Column:
     """struct(status, dimension, scale, label): the one unit that a source's text states, held against the expected canonical unit.
 
@@ -166,32 +178,36 @@ def source_unit(text: Column, expected: Column, metric: Column | None = None, nu
     scaled = shown.rlike(r"[0#?],+(?=$|[^0#?,])") if number_format else F.lit(False)
     left = narrowed(_format_text(written) if number_format else written)
     left = F.regexp_replace(left, rf"(?i)({_CURRENCY})\s*\(\s*({_SCALE})\s*\)", "$1 $2")
-    found, twice = [], F.lit(False)
-    for pattern, dimension in _FIXED:
-        found.append(_matches(left, pattern, _constant(dimension)))
-        left = F.regexp_replace(left, pattern, " ")
-    for pattern in (_MONEY, _SHARES):
-        found.append(_matches(left, pattern, _scaled(pattern)))
-        twice = twice | F.exists(F.regexp_extract_all(left, F.lit(pattern), F.lit(0)), _has_two(pattern))
-        left = F.regexp_replace(left, pattern, " ")
-    for pattern, dimension in _PLAIN:
-        found.append(_matches(left, pattern, _constant(dimension)))
-        left = F.regexp_replace(left, pattern, " ")
-    units = F.array_distinct(F.concat(*found))
-    if metric is not None:
-        kind = metric_kind(metric)
-        units = F.filter(units, lambda u: kind.isNull() | (_kind_of(u["dimension"]) == kind))
-    goal, one = canonical_unit(expected), F.element_at(units, 1)
-    status = (
-        F.when(written == "", "missing")
-        .when(scaled, "display_scaled")
-        .when(twice, "two_scales")
-        .when(left.rlike(UNRESOLVED), "unresolved")
-        .when(F.size(units) == 0, "missing")
-        .when(F.size(units) > 1, "ambiguous")
-        .when(goal.isNull(), "unsupported")
-        .when(one == goal, "resolved")
-        .otherwise("conflict")
-    )
-    known = status.isin("resolved", "conflict")
-    return F.struct(status.alias("status"), F.when(known, one["dimension"]).alias("dimension"), F.when(known, one["scale"]).alias("scale"), F.when(known, unit_label(one)).alias("label"))
+    state = F.struct(left.alias("left"), F.array().cast("array<struct<dimension:string,scale:double>>").alias("units"), F.lit(False).alias("twice"))
+    steps = [(p, _constant(d)) for p, d in _FIXED] + [(p, _scaled(p)) for p in (_MONEY, _SHARES)] + [(p, _constant(d)) for p, d in _PLAIN]
+    for pattern, make in steps:
+        state = bound(state, _taken(pattern, make))
+    expects = canonical_unit(expected)
+    kind = metric_kind(metric) if metric is not None else None
+
+    def stated(s: Column) -> Column:
+        units = F.array_distinct(s["units"])
+        if kind is not None:
+            units = bound(kind, lambda k: F.filter(units, lambda u: k.isNull() | (_kind_of(u["dimension"]) == k)))
+        return F.struct(s["left"].alias("left"), s["twice"].alias("twice"), units.alias("units"), expects.alias("goal"))
+
+    def judged(s: Column) -> Column:
+        one = F.get(s["units"], F.lit(0))
+        status = (
+            F.when(written == "", "missing")
+            .when(scaled, "display_scaled")
+            .when(s["twice"], "two_scales")
+            .when(s["left"].rlike(UNRESOLVED), "unresolved")
+            .when(F.size(s["units"]) == 0, "missing")
+            .when(F.size(s["units"]) > 1, "ambiguous")
+            .when(s["goal"].isNull(), "unsupported")
+            .when(one == s["goal"], "resolved")
+            .otherwise("conflict")
+        )
+        return F.struct(status.alias("status"), one.alias("one"))
+
+    def told(s: Column) -> Column:
+        one, known = s["one"], s["status"].isin("resolved", "conflict")
+        return F.struct(s["status"].alias("status"), F.when(known, one["dimension"]).alias("dimension"), F.when(known, one["scale"]).alias("scale"), F.when(known, unit_label(one)).alias("label"))
+
+    return bound(bound(bound(state, stated), judged), told)

@@ -55,3 +55,8 @@ def test_labels_and_equal_codes(spark):
     q = units.canonical_unit(F.col("u"))
     got = [(tuple(r[0]) if r[0] else None, r[1]) for r in df.select(q, units.unit_label(q)).collect()]
     assert got == [(("CNY", 1e6), "百万CNY"), (("EUR", 1e8), "亿EUR"), (("CNY", 1e4), "万CNY"), (("USD", 1e9), "十亿USD"), (("GBP/share", 1.0), "GBP/股"), (("shares", 1e3), "千股"), (("ratio", 1.0), "%"), (("multiple", 1.0), "倍"), (None, None)]
+
+
+def test_each_pattern_is_looked_for_a_few_times(spark):
+    df = spark.range(1).select(units.source_unit(F.col("id").cast("string"), F.lit("CNYm")).alias("u")).select("u.status", "u.dimension", "u.scale")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 20
