@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sedimark.functions.text import bound
+
 #: Scale words of amounts in the order in which they are looked for, and what they multiply by.
 SCALES = (
     ("万亿", 1e12), ("千亿", 1e11), ("百亿", 1e10), ("十亿", 1e9), ("亿", 1e8), ("千万", 1e7), ("百万", 1e6), ("十万", 1e5), ("万", 1e4), ("千", 1e3),
@@ -101,7 +103,11 @@ def period(text: Column) -> Column:
     half that; the last digit of a year is no quarter, as in 2022Q3. Text without a year stays as it is written, but for full-width forms and
     spaces at its ends.
     """
-    clean = _bare(text)
+    return _period(_bare(text), narrowed(text))
+
+
+def _period(clean: Column, written: Column) -> Column:
+    """The period of a bare text, or what is written."""
 
     def found(pattern: str, *groups: int) -> Column:
         return F.coalesce(*[F.nullif(F.regexp_extract(clean, pattern, g), F.lit("")) for g in groups])
@@ -112,13 +118,18 @@ def period(text: Column) -> Column:
     quarter, half = F.translate(found(QUARTER, 1, 2, 3), "一二三四", "1234"), F.translate(found(HALF, 1, 2, 3), "上下", "12")
     return (
         F.when(last >= first, F.concat(F.lit("FY"), first, F.lit("-FY"), last))
-        .when(year.isNull(), narrowed(text))
+        .when(year.isNull(), written)
         .when(quarter.isNotNull(), F.concat(year, F.lit("Q"), quarter))
         .when(half.isNotNull(), F.concat(year, F.lit("H"), half))
         .otherwise(F.concat(F.lit("FY"), year))
     )
 
 
+def is_period(text: Column, canonical: Column) -> Column:
+    """Whether the period of a text in NFKC is the canonical one; the text is made bare once."""
+    return bound(F.trim(text), lambda t: bound(F.replace(F.lower(t), F.lit(" "), F.lit("")), lambda clean: _period(clean, t)) == canonical)
+
+
 def period_order(text: Column) -> Column:
     """struct(year, grain) that sorts canonical periods."""
     year = F.regexp_extract(text, r"(20\d{2})", 1).try_cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sedimark.functions.numbers import period
+from sedimark.functions.numbers import is_period
 from sedimark.functions.text import nfkc
 
 #: Dashes and quotes that count as one, and what they become.
@@ -20,7 +20,9 @@ _FOLDED, _PLAIN = "–—−‐‑“”‘’「」『』", "-----\"\"''\"\"\"\
 
 def compact(text: Column) -> Column:
     """NFKC, lower case, no white space, dashes and quotes folded: the form in which quotes are compared."""
-    return F.translate(F.regexp_replace(F.lower(nfkc(text)), r"\s+", ""), _FOLDED, _PLAIN)
+    whole = nfkc(text)
+    folded = F.when(whole.rlike(f"[{_FOLDED}]"), F.translate(whole, _FOLDED, _PLAIN)).otherwise(whole)
+    return F.regexp_replace(F.lower(folded), r"\s+", "")
 
 
 def quoted(text: Column, quote: Column, least: int = 6) -> Column:
@@ -177,4 +179,4 @@ PERIOD_WORDS = r"((?:fy|cy)?20\d{2}(?:\s*(?:年|[eaf]|h[12]|q[1-4]|[上下]半
 def period_quoted(canonical: Column, text: Column) -> Column:
     """Whether one of the periods that a text names is the canonical one; other digits of the text don't count."""
     named = F.regexp_extract_all(F.lower(nfkc(text)), F.lit(PERIOD_WORDS), F.lit(1))
-    return F.coalesce(F.exists(named, lambda p: period(p) == canonical), F.lit(False))
+    return F.coalesce(F.exists(named, lambda p: is_period(p, canonical)), F.lit(False))

@@ -199,3 +199,11 @@ def test_page_roles_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     found = {tuple(r) for r in registry.queries()["page_roles"](spark, str(tmp_path)).collect()}
     assert found == set(con.execute(registry.oracle_sql()["page_roles"]).fetchall())
+
+
+def test_claim_quality_looks_for_each_pattern_a_few_times(spark):
+    row = spark.range(1).selectExpr("1.5D AS v", "'FY' || id AS u", "'1.5 in FY2024' || id AS q", "0.5D + id AS c", "id")
+    col, zero, none = F.col, F.col("id"), F.lit(None).cast("double")
+    got = row.select(layout.claim_quality(col("v"), none, none, col("u"), F.lit("FY2024"), F.lit(True), col("q"), zero, zero, F.lit("Neutral"), col("c")).alias("g")).select("g.status", "g.issues", "g.confidence")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 4 and plan.count("translate(") <= 8
