@@ -51,7 +51,20 @@ def _joined(words: DataFrame, group: list[str], *carried: str) -> DataFrame:
     pieces = words.withColumn("_piece", F.struct("x", "word_no", F.concat(space, F.col("text")).alias("t")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["t"]), "")
     right, bottom = F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom")
-    return pieces.groupBy(*group).agg(text.alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), right, bottom, *[F.max(c).alias(c) for c in carried])
+    place = F.struct("x", "word_no")
+    ends = (F.min_by("height", place).alias("first_height"), F.max_by("height", place).alias("last_height"))
+    return pieces.groupBy(*group).agg(text.alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), right, bottom, *ends, *[F.max(c).alias(c) for c in carried])
+
+
+def _merged(segments: DataFrame, group: list[str], *carried: str) -> DataFrame:
+    """Text and box of each group's segments in their order: what _joined makes of their words, as a segment's words lie right of all before it."""
+    across = Window.partitionBy(*group).orderBy("segment")
+    before = F.max("right").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.lag("last_height").over(across)
+    space = F.when(last.isNotNull() & (F.col("x") - F.greatest(F.lit(0.0), before) > F.greatest(F.lit(1.5), F.least(last, F.col("first_height")) * 0.16)), " ").otherwise("")
+    pieces = segments.withColumn("_piece", F.struct("segment", F.concat(space, F.col("text")).alias("t")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["t"]), "")
+    return pieces.groupBy(*group).agg(text.alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), *[F.max(c).alias(c) for c in carried])
 
 
 def _search_region(segments: DataFrame, key: list[str]) -> DataFrame:
@@ -122,8 +135,8 @@ def page_layout(tokens: DataFrame, pages: DataFrame, key: list[str]) -> DataFram
     is far; between columns it breaks at the gutter. With two columns come what stands above
     them, the left, the right one (1 and 2), what lies across, and what stands below (0).
 
-    All steps are keyed by page, which is bounded by what a sheet holds. Words and segments are
-    written once to the shared folder, as several steps read them.
+    All steps are keyed by page, which is bounded by what a sheet holds. Segments are
+    written once to the shared folder, as several steps read them; words are read once.
     """
     place = [F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")]
     words = tokens.select(*key, *place, F.trim(F.regexp_replace("text", r"[\t\r\n ]+", " ")).alias("text")).filter("text <> ''").dropna(subset=["x", "y", "width", "height"])
@@ -135,7 +148,6 @@ def page_layout(tokens: DataFrame, pages: DataFrame, key: list[str]) -> DataFram
     far = F.when(F.col("x") - before > F.greatest(F.lit(12.0), F.col("typical") * 1.5), 1).otherwise(0)
     words = words.withColumn("_far", far).withColumn("segment", F.sum("_far").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_far")
     folder = shared_folder(tokens.sparkSession, "layout")
-    words = stored(words, folder, "words")
     segments = stored(_joined(words, [*line, "segment"], "page_width", "page_height"), folder, "segments")
     region = _search_region(segments, key).withColumnRenamed("bottom", "end")
     segments = stored(segments.join(region, key), folder, "regions")
@@ -147,8 +159,7 @@ def page_layout(tokens: DataFrame, pages: DataFrame, key: list[str]) -> DataFram
     guarded = F.max(inside).over(Window.partitionBy(*line)) & (reached <= F.col("gutter_to")) & (F.col("x") >= F.col("gutter_from"))
     apart = (F.col("x") - reached > F.greatest(F.lit(48.0), F.col("page_width") * 0.12)) | F.coalesce(guarded, F.lit(False))
     segments = segments.withColumn("_apart", F.when(apart, 1).otherwise(0)).withColumn("part", F.sum("_apart").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    marked = words.join(segments.select(*line, "segment", "part", "top", "end", "gutter_from", "gutter_to"), [*line, "segment"])
-    lines = _joined(marked, [*line, "part"], "top", "end", "gutter_from", "gutter_to")
+    lines = _merged(segments, [*line, "part"], "top", "end", "gutter_from", "gutter_to")
     width = F.greatest(F.lit(1.0), F.col("right") - F.col("x"))
     column = (
         F.when(F.col("right") <= F.col("gutter_to"), 1)

@@ -109,3 +109,10 @@ def test_gutters_against_every_position(spark, seed):
             want[page] = (-found[2], found[1] - found[2])
     frame = spark.createDataFrame(rows, "page string, text string, x double, y double, right double, bottom double, page_width double, page_height double, top double, end double")
     assert {r.page: (r.gutter_from, r.gutter_to) for r in pages._gutters(frame, ["page"]).collect()} == want and want
+
+
+def test_words_are_not_written_and_segments_join_as_their_words_do(spark, monkeypatch):
+    written, stored = [], pages.stored
+    monkeypatch.setattr(pages, "stored", lambda df, folder, name: written.append(name) or stored(df, folder, name))
+    got = laid(spark, [word("a", 40, 80, 10), word("b", 52, 80, 10), word("c", 80, 80, 10), word("d", 92, 80, 10)])
+    assert [r.text for r in got] == ["a b c d"] and written == ["segments", "regions"]
