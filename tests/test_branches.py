@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sedimark.operators.sessions import leaf_paths
+from sedimark.plans import structure
 from sedimark.streaming import branches, feeds
 
 ENTRY = "session string, id string, parent_id string, seq long"
@@ -57,3 +59,46 @@ def test_forgotten_tips_begin_branches_with_the_same_paths(spark, tmp_path):
 
 def test_no_entries(spark):
     assert branches.branch_paths(spark.createDataFrame([], branches.OWN)).collect() == []
+
+
+def summed(paths):
+    """What branch_totals gives, from the ways written out; an id is a letter and a number."""
+    ways = {}
+    for session, leaf, position, entry in paths:
+        ways.setdefault((session, leaf), {})[position] = entry
+    return {(s, leaf, len(way), way[0], sum(int(x[1:]) for x in way.values())) for (s, leaf), way in ways.items()}
+
+
+@pytest.mark.parametrize("close_after_ms", [None, 1])
+def test_totals_are_those_of_the_ways(spark, tmp_path, close_after_ms):
+    rows, folder = [*trees(random.Random(5)), ("a", "a90", "a77", 90)], f"file://{tmp_path}"  # a parent that isn't there
+    for n, (a, b) in enumerate([(0, 15), (15, 99)]):
+        spark.createDataFrame([r for r in rows if a <= r[3] < b], ENTRY).write.parquet(f"{folder}/in/{n}")
+        own = grow(spark, folder, close_after_ms).select("session", "branch", "id", "parent_id", "seq")
+    got = branches.branch_totals(own.unionByName(own), numbers=F.substring("id", 2, 9).cast("long"))
+    assert got.columns == ["session", "leaf", "entries", "root", "numbers"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(summed(branches.branch_paths(own).collect()))
+    assert {tuple(r) for r in branches.branch_paths(own).collect()} >= {("a", "a90", 0, "a90")}
+    assert branches.branch_totals(spark.createDataFrame([], branches.OWN)).collect() == []
+
+
+def test_many_forks_on_a_path_take_few_rounds_and_rows(spark, tmp_path, monkeypatch):
+    parent = {i: (i - 2 if i % 3 == 2 else i - 1) if i else None for i in range(180)}  # each error begins a branch, and all later ones follow from it
+    events = [(i, 7, "error" if i % 3 == 2 else "view") for i in parent]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    sizes, stored = [], branches.stored
+
+    def counted(df, folder, name):
+        out = stored(df, folder, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(branches, "stored", counted)
+    expected = set()
+    for leaf in parent.keys() - set(parent.values()):
+        way = [leaf]
+        while parent[way[-1]] is not None:
+            way.append(parent[way[-1]])
+        expected.add(("7", str(leaf), len(way), str(way[-1]), sum(way)))
+    assert {tuple(r) for r in structure.branch_growth(spark, str(tmp_path)).collect()} == expected
+    assert len(sizes) <= 10 and max(sizes) <= len(events)
